@@ -52,3 +52,16 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Hand at most so many rows at once to Python, so that long texts stay within a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def bounded_sample(rows: DataFrame, group: str, bound: int, key: str = "doc_id") -> DataFrame:
+    """About bound rows of each value of group at most, chosen by the key's hash: the same rows on every run.
+
+    Every row of a group has the same chance, bound / rows of the group; the counts cover all rows.
+    """
+    counts = {r[0]: r[1] for r in rows.where(F.col(group).isNotNull()).groupBy(group).count().collect()}
+    if not counts:
+        return rows.limit(0)
+    share = F.create_map(*[F.lit(x) for g, n in counts.items() for x in (g, min(1.0, bound / n))])
+    draw = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
+    return rows.where(draw < share[F.col(group)])

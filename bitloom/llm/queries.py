@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, sharding
+from . import langid, quality, sharding, toxicity
 from .common import documents, table
 
 SHARDS = 40
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_languages(documents(spark, sf_dir))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     equal = {s: 1.0 for s in range(SHARDS)}
     return sharding.assign_shards(documents(spark, sf_dir), equal, equal | {SHARDS: 1.0})
@@ -23,6 +31,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_language_id": op5_language_id,
+    "op6_toxicity": op6_toxicity,
     "op8_sharding": op8_sharding,
     "op9_quality_rules": op9_quality_rules,
 }
