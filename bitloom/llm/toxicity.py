@@ -48,18 +48,20 @@ def _subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _windows(n: int) -> list[tuple[int, int]]:
-    """Overlapping windows that cover n words; the last one is full if n allows."""
+    """Windows that cover n words side by side; the last one is full if n allows."""
     if n <= WINDOW:
         return [(0, n)] if n else []
-    starts = [*range(0, n - WINDOW, WINDOW // 2), n - WINDOW]
+    starts = [*range(0, n - WINDOW, WINDOW), n - WINDOW]
     return [(s, s + WINDOW) for s in starts]
 
 
-def fit(texts: list[str], toxic: list[int], steps: int = 60, rate: float = 0.15, seed: int = 7) -> ToxicityModel:
-    """Fit vectors and softmax together by Adam on whole batches.
+def fit(texts: list[str], toxic: list[int], share: float = 0.5, steps: int = 150, rate: float = 0.1, decay: float = 1e-5, least: int = 5, first: int = 10, seed: int = 7) -> ToxicityModel:
+    """Fit vectors and softmax together by Adam on whole batches, with weight decay.
 
-    Each window of a harmless text is an example of class 0. Of a toxic text, the windows that look worst so far is
-    the example of class 1 (all of its windows in the first steps).
+    The example of each text is the window that looks worst so far (in the first steps, all of its windows); all
+    windows of harmless texts are further examples of class 0. Subwords of fewer than least word occurrences, counted
+    once a document, get no vector. Both classes weigh alike while fitting; share, that of class 1 among all labelled
+    documents, then moves the bias.
     """
     vocab: dict[str, int] = {}
     tokens, starts, lengths, doc = [], [], [], []
@@ -74,34 +76,37 @@ def fit(texts: list[str], toxic: list[int], steps: int = 60, rate: float = 0.15,
             at += e - s
     if not tokens or len(set(toxic)) < 2:
         return ToxicityModel(np.zeros(1 << BITS, np.float32), -3.0)
-    tok, begin, size, doc = np.array(tokens), np.array(starts), np.array(lengths, float)[:, None], np.array(doc)
+    tok, begin, size, doc = np.array(tokens), np.array(starts), np.array(lengths, float), np.array(doc)
     label = np.array(toxic)[doc]
     window = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(tok))))
     bucket, word = _subwords(list(vocab))
+    pairs = np.unique(doc[window].astype(np.int64) * len(vocab) + tok) % len(vocab)
+    seen = np.bincount(bucket, weights=np.bincount(pairs, minlength=len(vocab))[word], minlength=1 << BITS)
+    n_grams = np.bincount(word, minlength=len(vocab))
+    bucket, word = bucket[frequent := seen[bucket] >= least], word[frequent]
     used, bucket = np.unique(bucket, return_inverse=True)
-    grams = np.bincount(word, minlength=len(vocab))[:, None].astype(float)
     rng = np.random.default_rng(seed)
     params = [rng.normal(0, 0.05, (len(used), DIM)), rng.normal(0, 0.5, DIM), np.zeros(1)]
     moment = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-    scatter = lambda index, values, n: np.stack([np.bincount(index, weights=values[:, k], minlength=n) for k in range(values.shape[1])], axis=1)
     for step in range(1, steps + 1):
         vectors, line, bias = params
-        words = scatter(word, vectors[bucket], len(vocab)) / grams
-        x = np.add.reduceat(words[tok], begin, axis=0) / size
-        z = np.clip(x @ line + bias[0], -30, 30)
-        p = 1 / (1 + np.exp(-z))
-        if step <= 8:
-            weight = np.ones(len(p))
+        words = np.bincount(word, weights=(vectors @ line)[bucket], minlength=len(vocab)) / n_grams
+        z = np.clip(np.add.reduceat(words[tok], begin) / size + bias[0], -30, 30)
+        if step <= first:
+            weight = np.ones(len(z))
         else:
             worst = np.full(len(texts), -np.inf)
             np.maximum.at(worst, doc, z)
-            weight = np.where(label == 1, z >= worst[doc], 1.0).astype(float)
+            weight = (z >= worst[doc]).astype(float)
         for c in (0, 1):
             weight[label == c] /= max(1e-9, weight[label == c].sum())
-        dz = weight * (p - label)
-        dx = dz[:, None] * line / size
-        dwords = scatter(tok, dx[window], len(vocab)) / grams
-        grads = [scatter(bucket, dwords[word], len(used)), x.T @ dz, np.array([dz.sum()])]
+        if step > first:
+            weight[label == 0] = 0.7 * weight[label == 0] + 0.3 / (label == 0).sum()
+        # The averages are linear: what a window's error says reaches its words, and their subwords, as one number each.
+        dz = weight * (1 / (1 + np.exp(-z)) - label)
+        dwords = np.bincount(tok, weights=(dz / size)[window], minlength=len(vocab)) / n_grams
+        dgram = np.bincount(bucket, weights=dwords[word], minlength=len(used))
+        grads = [dgram[:, None] * line + decay * vectors, vectors.T @ dgram, np.array([dz.sum()])]
         for i, (g, (m, v)) in enumerate(zip(grads, moment, strict=True)):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
@@ -109,7 +114,7 @@ def fit(texts: list[str], toxic: list[int], steps: int = 60, rate: float = 0.15,
     vectors, line, bias = params
     gram = np.zeros(1 << BITS, np.float32)
     gram[used] = vectors @ line
-    return ToxicityModel(gram, float(bias[0]))
+    return ToxicityModel(gram, float(bias[0] + np.log(share / (1 - share))))
 
 
 def train_toxicity_model(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> ToxicityModel:
@@ -120,7 +125,8 @@ def train_toxicity_model(docs: DataFrame, labels: DataFrame, per_class: int = SA
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("__toxic"))
     sample = bounded_sample(known.join(docs.select("doc_id").where("doc_id is not null").distinct(), "doc_id"), "__toxic", per_class)
     rows = docs.where(F.octet_length("text") <= LONGEST_SAMPLE).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "__toxic").dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
-    return fit(rows.column("text").to_pylist(), rows.column("__toxic").to_pylist())
+    share = known.agg(F.avg("__toxic")).first()[0] or 0.0
+    return fit(rows.column("text").to_pylist(), rows.column("__toxic").to_pylist(), min(max(share, 0.02), 0.5))
 
 
 def score_texts(model: ToxicityModel, texts: list[str | None], known: dict[str, float] | None = None) -> np.ndarray:
