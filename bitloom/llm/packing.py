@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 import math
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,24 +27,37 @@ END = 2
 #: Windows of a block, about.
 BLOCK = 128
 #: Strings between blanks that a task remembers the ids of.
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 #: By tokenizer file: what this worker process has encoded so far, over all of its tasks.
 _known: dict[str, dict[str, bytes]] = {}
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+def _stem(word: str) -> tuple[str, str]:
+    """A string that stands for word before the tokenizer, which lowers case and cuts marks off letters, and a last mark.
+
+    Only letters whose lower case is theirs alone, wherever they stand, are lowered here.
+    """
+    mark = word[-1] if len(word) > 1 and word[-1] in ",.!?;:" and word[:-1].isalpha() else ""
+    stem = word[:-1] if mark else word
+    return (stem.lower() if stem and max(stem) < "\u0130" else stem), mark
+
+
 def token_bytes(texts: list[str], tokenizer, known: dict[str, bytes]) -> list[bytes]:
     """The ids of each text, four bytes each, little-endian.
 
     The tokenizer drops white space and never joins across it, so strings between blanks are encoded once and looked up.
     """
     split = [x.replace("\n", " ").split(" ") for x in texts]
+    if len(known) > REMEMBERED:
+        known.clear()
     if new := list({w for words in split for w in words if w not in known}):
-        if len(known) > REMEMBERED:
-            known.clear()
-            new = list({w for words in split for w in words})
-        for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        stems = [_stem(w) for w in new]
+        unknown = list({x for pair in stems for x in pair if x not in known})
+        for w, e in zip(unknown, tokenizer.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
+            known[w] = array("I", e.ids).tobytes()
+        for w, (stem, mark) in zip(new, stems, strict=True):
+            known[w] = known[stem] + known[mark]
     return [b"".join(map(known.__getitem__, words)) for words in split]
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, packing, quality, sharding, suffix_dedup, toxicity
+from . import fingerprints, langid, packing, quality, sharding, suffix_dedup, toxicity
 from .common import documents, table
 
 SHARDS = 40
@@ -17,6 +17,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(documents(spark, sf_dir))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_languages(documents(spark, sf_dir))
 
@@ -41,6 +45,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
+    "op4_fingerprints": op4_fingerprints,
     "op5_language_id": op5_language_id,
     "op6_toxicity": op6_toxicity,
     "op8_sharding": op8_sharding,
