@@ -1,6 +1,6 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, in Spark's own functions.
 
-A text's parts (its paragraphs, and finer, the sentences of the first one and the words of its first sentence) are
+A text's parts (its paragraphs, and finer, the sentences of the first one and the first four words) are
 hashed; each digest is added to three of CELLS cells, which keep a count, the xor of the digests and the xor of their
 checks. Two texts' sketches subtract cell by cell; what they share cancels. Peeling takes digests from cells that hold
 one alone, until none is left: these are the parts that the texts do not share. If peeling gets stuck, both sketches
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import text_of
 
-CELLS = 48
+CELLS = 96
 HASHES = 3
 #: Sizes are CELLS * 4**0 .. 4**(SIZES - 1).
 SIZES = 10
@@ -30,23 +30,23 @@ def part_digests(text: Column) -> Column:
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.trim(x) != "")
     head = F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
     sentences = F.filter(F.split(head, r"(?<=[.!?]) +"), lambda x: F.trim(x) != "")
-    words = F.filter(F.split(F.coalesce(F.get(sentences, F.lit(0)), F.lit("")), " "), lambda x: x != "")
+    words = F.slice(F.filter(F.split(F.coalesce(F.get(sentences, F.lit(0)), F.lit("")), " "), lambda x: x != ""), 1, 4)
     both = F.concat(
         F.transform(lines, lambda x: F.xxhash64(F.lit(0), x)),
         F.transform(sentences, lambda x: F.xxhash64(F.lit(1), x)),
         F.transform(words, lambda x, i: F.xxhash64(F.lit(2), i, x)),
     )
-    return F.array_sort(F.array_distinct(both))
+    return F.sort_array(F.array_distinct(both))
 
 
-def _entries(digests: Column, size: Column, count: int) -> Column:
-    """The cells that each digest is added to (count 1) or taken from (-1): one in each third of the sketch."""
+def _cells_of(k: Column, count: Column, size: Column) -> Column:
+    """The cells that a digest is added to (count 1) or taken from (-1): one in each third of the sketch."""
     third = F.floor(size / HASHES)
+    return F.array(*[F.struct((F.pmod(F.xxhash64(k, F.lit(j), size), third) + j * third).cast("long").alias("pos"), count.cast("long").alias("c"), k.alias("k"), F.xxhash64(k, F.lit("check")).alias("h")) for j in range(HASHES)])
 
-    def of(d: Column) -> Column:
-        return F.array(*[F.struct((F.pmod(F.xxhash64(d, F.lit(j), size), third) + j * third).cast("long").alias("pos"), F.lit(count).cast("long").alias("c"), d.alias("k"), F.xxhash64(d, F.lit("check")).alias("h")) for j in range(HASHES)])
 
-    return F.flatten(F.transform(digests, of))
+def _entries(digests: Column, size: Column, count: int) -> Column:
+    return F.flatten(F.transform(digests, lambda d: _cells_of(d, F.lit(count), size)))
 
 
 def _merge(entries: Column) -> Column:
@@ -60,7 +60,7 @@ def _merge(entries: Column) -> Column:
         added = F.struct(e["pos"].alias("pos"), (a["cur"]["c"] + e["c"]).alias("c"), a["cur"]["k"].bitwiseXOR(e["k"]).alias("k"), a["cur"]["h"].bitwiseXOR(e["h"]).alias("h"))
         return F.struct(F.when(same, a["out"]).otherwise(closed(a)).alias("out"), F.when(same, added).otherwise(e).alias("cur"))
 
-    return F.aggregate(F.array_sort(entries), start, step, closed)
+    return F.aggregate(F.sort_array(entries), start, step, closed)
 
 
 def sketch(digests: Column, size: Column) -> Column:
@@ -73,20 +73,26 @@ def subtract(a: Column, b: Column) -> Column:
     return _merge(F.concat(a, F.transform(b, lambda x: F.struct(x["pos"].alias("pos"), (-x["c"]).alias("c"), x["k"].alias("k"), x["h"].alias("h")))))
 
 
+def _with(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def peel(cells: Column, size: Column) -> Column:
-    """struct(left, ours, theirs): how many digests of either side were recovered; left 0 if all were."""
-    start = F.struct(cells.alias("cells"), F.lit(0).alias("ours"), F.lit(0).alias("theirs"), F.lit(True).alias("going"))
+    """struct(left, found): how many cells are left (0: all was recovered) and how many digests were recovered."""
+    start = F.struct(cells.alias("cells"), F.lit(0).alias("found"), F.lit(True).alias("going"))
 
     def round_(s: Column, _: Column) -> Column:
         alone = F.filter(s["cells"], lambda x: (F.abs(x["c"]) == 1) & (x["h"] == F.xxhash64(x["k"], F.lit("check"))))
-        plus = F.array_distinct(F.transform(F.filter(alone, lambda x: x["c"] == 1), lambda x: x["k"]))
-        minus = F.array_distinct(F.transform(F.filter(alone, lambda x: x["c"] == -1), lambda x: x["k"]))
-        less = _merge(F.concat(s["cells"], _entries(plus, size, -1), _entries(minus, size, 1)))
-        return F.when(~s["going"], s).otherwise(
-            F.struct(less.alias("cells"), (s["ours"] + F.size(plus)).alias("ours"), (s["theirs"] + F.size(minus)).alias("theirs"), (F.size(alone) > 0).alias("going"))
+        digests = F.array_distinct(F.transform(alone, lambda x: F.struct(x["k"].alias("k"), x["c"].alias("c"))))
+        taken = lambda d: F.struct(
+            F.when(F.size(d) == 0, s["cells"]).otherwise(_merge(F.concat(s["cells"], F.flatten(F.transform(d, lambda x: _cells_of(x["k"], -x["c"], size)))))).alias("cells"),
+            (s["found"] + F.size(d)).alias("found"),
+            (F.size(d) > 0).alias("going"),
         )
+        return F.when(~s["going"], s).otherwise(_with(digests, taken))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, round_, lambda s: F.struct(F.size(s["cells"]).alias("left"), s["ours"].alias("ours"), s["theirs"].alias("theirs")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, round_, lambda s: F.struct(F.size(s["cells"]).alias("left"), s["found"].alias("found")))
 
 
 def likeness(ours: Column, theirs: Column, base_ours: Column, base_theirs: Column) -> Column:
@@ -95,21 +101,16 @@ def likeness(ours: Column, theirs: Column, base_ours: Column, base_theirs: Colum
     The difference comes from peeling the sketches; they are made larger until peeling succeeds. Two texts without
     parts are alike (1). Should no size succeed, which needs colliding digests, the digests are compared themselves.
     """
-    start = F.struct(F.lit(False).alias("done"), F.lit(0).alias("ours"), F.lit(0).alias("theirs"))
-
+    start = F.struct(F.lit(False).alias("done"), F.lit(0).alias("found"))
     sizes = F.array(*[F.lit(CELLS * 4**i).cast("long") for i in range(SIZES)])
 
     def attempt(s: Column, size: Column) -> Column:
         cells = F.when(size == CELLS, subtract(base_ours, base_theirs)).otherwise(_merge(F.concat(_entries(ours, size, 1), _entries(theirs, size, -1))))
-        found = peel(cells, size)
-        return F.when(s["done"], s).otherwise(
-            F.aggregate(F.array(found), s, lambda _, x: F.struct((x["left"] == 0).alias("done"), x["ours"].alias("ours"), x["theirs"].alias("theirs")))
-        )
+        return F.when(s["done"], s).otherwise(_with(peel(cells, size), lambda x: F.struct((x["left"] == 0).alias("done"), x["found"].alias("found"))))
 
-    found = F.aggregate(sizes, start, attempt, lambda s: F.when(s["done"], F.size(ours) - s["ours"]).otherwise(F.size(F.array_intersect(ours, theirs))))
-    every = lambda shared: F.size(ours) + F.size(theirs) - shared
-    ratio = F.element_at(F.transform(F.array(found), lambda x: F.when(every(x) == 0, F.lit(1.0)).otherwise(x / every(x))), 1)
-    return ratio.cast("double")
+    both = F.size(ours) + F.size(theirs)
+    differ = F.aggregate(sizes, start, attempt, lambda s: F.when(s["done"], s["found"]).otherwise(both - 2 * F.size(F.array_intersect(ours, theirs))))
+    return _with(differ, lambda d: F.when(both == 0, F.lit(1.0)).otherwise((both - d) / (both + d))).cast("double")
 
 
 def render(cells: Column) -> Column:

@@ -39,7 +39,7 @@ def quality_features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     # Hashes of the 3-word windows beside their places, sorted: equal windows are then neighbours.
     base = base.withColumn(
         "__g",
-        F.when(n >= 3, F.array_sort(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(F.get("__w", i), F.get("__w", i + 1), F.get("__w", i + 2)).alias("h"), i.alias("i"))))).otherwise(
+        F.when(n >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(F.get("__w", i), F.get("__w", i + 1), F.get("__w", i + 2)).alias("h"), i.alias("i"))))).otherwise(
             F.array().cast("array<struct<h:bigint,i:int>>")
         ),
     )
