@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, langid, packing, quality, sharding, suffix_dedup, toxicity
+from . import bpe, fingerprints, langid, near_dedup, packing, quality, sharding, suffix_dedup, toxicity
 from .common import documents, table
 
 SHARDS = 40
@@ -33,6 +33,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicate_classes(documents(spark, sf_dir))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     equal = {s: 1.0 for s in range(SHARDS)}
     return sharding.assign_shards(documents(spark, sf_dir), equal, equal | {SHARDS: 1.0})
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_fingerprints": op4_fingerprints,
     "op5_language_id": op5_language_id,
     "op6_toxicity": op6_toxicity,
+    "op7_near_dedup": op7_near_dedup,
     "op8_sharding": op8_sharding,
     "op9_quality_rules": op9_quality_rules,
     "op10_suffix_dedup": op10_suffix_dedup,
