@@ -51,7 +51,7 @@ def token_bytes(texts: list[str], tokenizer, known: dict[str, bytes]) -> list[by
     split = [x.replace("\n", " ").split(" ") for x in texts]
     if len(known) > REMEMBERED:
         known.clear()
-    if new := list({w for words in split for w in words if w not in known}):
+    if new := list(set().union(*split).difference(known)):
         stems = [_stem(w) for w in new]
         unknown = list({x for pair in stems for x in pair if x not in known})
         for w, e in zip(unknown, tokenizer.encode_batch_fast(unknown, add_special_tokens=False), strict=True):

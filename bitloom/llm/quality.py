@@ -25,14 +25,15 @@ SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def quality_features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str | None = "lang") -> DataFrame:
+def quality_features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str | None = "lang", row: bool = False) -> DataFrame:
     """Counts and ratios of every whole text, computed in Spark's own functions.
 
     Null text counts as a text without words: all counts 0, all ratios 0. Words are runs without ASCII white space.
-    Repeated rows give repeated results. A null stratum is the stratum ''. Other columns are ignored.
+    Repeated rows give repeated results. A null stratum is the stratum ''. Other columns are ignored; with row, a
+    struct __row holds all of them.
     """
     t = text_of("__t")
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__t"), (F.coalesce(F.col(stratum).cast("string"), F.lit("")) if stratum else F.lit("")).alias("stratum"))
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__t"), (F.coalesce(F.col(stratum).cast("string"), F.lit("")) if stratum else F.lit("")).alias("stratum"), *([F.struct(*docs.columns).alias("__row")] if row else []))
     base = base.withColumn("__w", F.filter(F.split(F.translate(t, SPACES, " " * len(SPACES)), " "), lambda w: w != ""))
     base = base.withColumn("__l", F.filter(F.split(t, "\n", -1), lambda x: F.length(F.translate(x, SPACES, "")) > 0))
     n = F.size("__w")
@@ -56,6 +57,7 @@ def quality_features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         F.col("__r").cast("long").alias("n_repeat_words"),
         F.size("__l").cast("long").alias("n_lines"),
         F.length(F.regexp_replace(t, r"[^\p{Lu}]+", "")).cast("long").alias("n_upper"),
+        *(["__row"] if row else []),
     )
     over = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
     return counted.select(
@@ -115,3 +117,13 @@ def apply_quality_rules(docs: DataFrame, labels: DataFrame, rate: float = 0.02,
     """All documents with their counts and the verdict kept. Empty input: empty result; no labels: only base rules."""
     features = materialize(quality_features(docs))
     return judge(features, risk_controlled_cutoffs(features, labels, rate, delta))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, rate: float = 0.02, delta: float = 0.05) -> DataFrame:
+    """The rows of docs that the rules keep, with all their columns.
+
+    The cutoffs, a row for each stratum, come from features that are written once; the texts themselves are then judged
+    in a second pass where they lie, so that none is shuffled and repeated rows need no key.
+    """
+    cutoffs = materialize(risk_controlled_cutoffs(materialize(quality_features(docs)), labels, rate, delta))
+    return judge(quality_features(docs, row=True), cutoffs).where("kept").select("__row.*")
