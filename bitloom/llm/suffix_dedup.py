@@ -26,7 +26,7 @@ from .common import arrow_batches, materialize, text_of
 THRESHOLD = 50
 GRAM = 20
 #: Bytes of text that a task works on at once, and that one group of the sort holds the places of.
-BATCH = 1_000_000
+BATCH = 500_000
 GROUP = 4_000_000
 POSITIONS, RANGES, PLACES = 0, 1, 2
 FOUND = "doc_id long, kind int, data binary"
