@@ -110,7 +110,7 @@ def judge(features: DataFrame, cutoffs: DataFrame, grid: dict[str, tuple[float,
     fails = F.lit(False)
     for m in grid:
         fails = fails | F.coalesce(F.col(m) > F.col(f"cut_{m}"), F.lit(False))
-    return features.join(cutoffs, "stratum", "left").withColumn("kept", ~F.col("base_failed") & ~fails)
+    return features.join(cutoffs, "stratum", "left").withColumn("__passes", ~fails).withColumn("kept", ~F.col("base_failed") & F.col("__passes"))
 
 
 def apply_quality_rules(docs: DataFrame, labels: DataFrame, rate: float = 0.02, delta: float = 0.05) -> DataFrame:
@@ -126,4 +126,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, rate: float = 0.02, delta: flo
     in a second pass where they lie, so that none is shuffled and repeated rows need no key.
     """
     cutoffs = materialize(risk_controlled_cutoffs(materialize(quality_features(docs)), labels, rate, delta))
-    return judge(quality_features(docs, row=True), cutoffs).where("kept").select("__row.*")
+    judged = judge(quality_features(docs, row=True).withColumn("__bad", F.col("base_failed").cast("int")), cutoffs)
+    # One comparison of columns from both sides of the join: a condition on the texts' side alone would be pushed into
+    # the features and compute them once for each mention.
+    return judged.where(F.greatest("__bad", (~F.col("__passes")).cast("int")) == 0).select("__row.*")
