@@ -5,8 +5,8 @@ over them: each step joins the leftmost pair with the least rank, found in a lit
 that they merge into, as a perfect hash table in three literal arrays). Decoding concatenates the binary pieces of the ids.
 
 Distinct words are folded once if they are frequent: all words are counted, and the most frequent ones, CACHE at most
-and of 64 bytes at most, are encoded first and broadcast. The other words of a document, a few in a hundred, are folded
-where they stand, so no text and no pair of document and word is ever shuffled.
+and of 64 bytes at most, are encoded first and broadcast. The other words, a few in a hundred, are folded where they stand, each distinct one of
+a batch of documents once; so no text and no pair of document and word is ever shuffled.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import arrow_batches, text_of
 
 #: Words that are encoded before the documents and broadcast, at most, and their longest.
-CACHE = 300_000
+CACHE = 1_000_000
 LONGEST_CACHED = 64
 NONE = 1 << 30
 
@@ -36,14 +36,14 @@ NONE = 1 << 30
 class Merges:
     """A vocabulary as literals: the id of each byte, the piece of each id, and the perfect hash table of merges.
 
-    The pair (a, b), as a * 65536 + b, lies in slot pmod(xxhash64(pair, shift), slots), shift being shifts[pmod(xxhash64(pair), len(shifts))].
+    The pair (a, b), as a * 65536 + b, lies in slot pmod(xxhash64(pair, shift), len(slots)), where shift is
+    shifts[pmod(xxhash64(pair), len(shifts))]; the slot holds pair * 65536 + the id that the pair merges into, or -1.
     """
 
     byte_ids: tuple[int, ...]
     pieces: tuple[bytes, ...]
     shifts: np.ndarray
-    pairs: np.ndarray
-    merged: np.ndarray
+    slots: np.ndarray
 
 
 def _xx(value: np.ndarray, seed: np.ndarray) -> np.ndarray:
@@ -76,22 +76,23 @@ def load_merges(path: str) -> Merges:
             if a is not None and b is not None:
                 found[a << 16 | b] = rank
     pairs = np.fromiter(found, np.uint64, len(found))
+    held = (pairs << np.uint64(16)).astype(np.int64) + np.fromiter(found.values(), np.int64, len(found))
     first = _xx(pairs, np.full(len(pairs), 42, np.uint64))
-    slots, buckets = 2 * len(pairs) + 1, len(pairs) // 2 + 1
-    bucket = _pmod(first, buckets)
-    shifts, table, merged = np.zeros(buckets, np.int64), np.full(slots, -1, np.int64), np.full(slots, NONE, np.int64)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-    groups = sorted(np.split(order, cuts[1:]), key=len, reverse=True)
-    for g in groups:
-        for shift in range(1 << 20):
-            slot = _pmod(_xx(np.full(len(g), shift, np.uint64), first[g]), slots)
-            if (table[slot] < 0).all() and len(set(slot.tolist())) == len(g):
-                break
-        shifts[bucket[g[0]]] = shift
-        table[slot] = pairs[g].astype(np.int64)
-        merged[slot] = [found[int(p)] for p in pairs[g]]
-    return Merges(tuple(ranks[bytes([i])] for i in range(256)), tuple(pieces), shifts, table, merged)
+    shifts, slots = np.zeros(len(pairs) // 2 + 1, np.int64), np.full(len(pairs) * 3 // 2 + 1, -1, np.int64)
+    bucket = _pmod(first, len(shifts))
+    size = np.bincount(bucket, minlength=len(shifts))[bucket]
+    for n in sorted(set(size.tolist()), reverse=True):  # full buckets first, while many slots are free
+        left, shift = np.flatnonzero(size == n), 0
+        while len(left):  # a bucket takes the first shift that puts all of its pairs into free slots of their own
+            slot = _pmod(_xx(np.full(len(left), shift, np.uint64), first[left]), len(slots))
+            wanted = np.bincount(slot, minlength=len(slots))
+            bad = np.zeros(len(shifts), bool)
+            bad[bucket[left][(slots[slot] >= 0) | (wanted[slot] > 1)]] = True
+            good = ~bad[bucket[left]]
+            slots[slot[good]] = held[left[good]]
+            shifts[bucket[left[good]]] = shift
+            left, shift = left[~good], shift + 1
+    return Merges(tuple(ranks[bytes([i])] for i in range(256)), tuple(pieces), shifts, slots)
 
 
 def _literal(values: list, kind: str) -> Column:
@@ -111,31 +112,30 @@ class Codec:
         self.byte_ids = _literal(list(merges.byte_ids), "int")
         self.pieces = _literal([base64.b64encode(p).decode() for p in merges.pieces], "binary")
         self.shifts = _literal(merges.shifts.tolist(), "bigint")
-        self.pairs = _literal(merges.pairs.tolist(), "bigint")
-        self.merged = _literal(merges.merged.tolist(), "int")
-        self.buckets, self.slots = len(merges.shifts), len(merges.pairs)
+        self.slots = _literal(merges.slots.tolist(), "bigint")
+        self.n_shifts, self.n_slots = len(merges.shifts), len(merges.slots)
 
-    def rank(self, a: Column, b: Column) -> Column:
-        """The id that the pieces a and b merge into, which is its rank; NONE if they don't."""
-        pair = F.shiftleft(a.cast("long"), 16) + b
-        slot = lambda p: F.pmod(F.xxhash64(p, F.get(self.shifts, F.pmod(F.xxhash64(p), F.lit(self.buckets)))), F.lit(self.slots))
-        return _with(pair, lambda p: _with(slot(p), lambda s: F.when(F.get(self.pairs, s) == p, F.get(self.merged, s)).otherwise(F.lit(NONE))))
+    def ranks(self, pairs: Column) -> Column:
+        """For each pair of ids (as one number) the id that they merge into, which is its rank; NONE if they don't."""
+        slot = lambda p: F.pmod(F.xxhash64(p, F.get(self.shifts, F.pmod(F.xxhash64(p), F.lit(self.n_shifts)))), F.lit(self.n_slots))
+        return F.transform(F.transform(pairs, lambda p: F.struct(p.alias("p"), F.get(self.slots, slot(p)).alias("v"))), lambda x: F.when(F.shiftright(x["v"], 16) == x["p"], x["v"].bitwiseAND(65535).cast("int")).otherwise(F.lit(NONE)))
 
     def encode(self, word: Column) -> Column:
         """The ids of a word: while a pair merges, the leftmost one of the least rank does."""
-        singles = F.transform(F.split(F.decode(F.encode(word, "utf-8"), "iso-8859-1"), ""), lambda c: F.get(self.byte_ids, F.ascii(c)))
+        singles = F.transform(F.split(F.decode(word.cast("binary"), "iso-8859-1"), ""), lambda c: F.get(self.byte_ids, F.ascii(c)))
+        pair = lambda a, b: F.shiftleft(a.cast("long"), 16) + b
 
         def fold(ids: Column) -> Column:
-            ranks = F.transform(F.slice(ids, 2, F.size(ids)), lambda b, i: self.rank(F.get(ids, i), b))
+            ranks = self.ranks(F.transform(F.slice(ids, 2, F.size(ids)), lambda b, i: pair(F.get(ids, i), b)))
             start = F.struct(ids.alias("ids"), ranks.alias("ranks"))
 
             def join(s: Column, least: Column, p: Column) -> Column:
                 n = F.size(s["ids"])
-                left = F.when(p > 1, F.array(self.rank(F.get(s["ids"], p - 2), least))).otherwise(F.array().cast("array<int>"))
-                right = F.when(p + 1 < n, F.array(self.rank(least, F.get(s["ids"], p + 1)))).otherwise(F.array().cast("array<int>"))
+                left, right = pair(F.get(s["ids"], p - 2), least), pair(least, F.get(s["ids"], p + 1))
+                new = F.when((p > 1) & (p + 1 < n), F.array(left, right)).when(p > 1, F.array(left)).when(p + 1 < n, F.array(right)).otherwise(F.array().cast("array<bigint>"))
                 return F.struct(
                     F.concat(F.slice(s["ids"], 1, p - 1), F.array(least), F.slice(s["ids"], p + 2, n)).alias("ids"),
-                    F.concat(F.slice(s["ranks"], 1, F.greatest(p - 2, F.lit(0))), left, right, F.slice(s["ranks"], p + 2, n)).alias("ranks"),
+                    F.concat(F.slice(s["ranks"], 1, F.greatest(p - 2, F.lit(0))), self.ranks(new), F.slice(s["ranks"], p + 2, n)).alias("ranks"),
                 )
 
             def step(s: Column, _: Column) -> Column:
@@ -188,50 +188,63 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
     with the square of its bytes (slices of arrays), which matters from some ten thousand bytes on.
     """
     spark = docs.sparkSession
-    arrow_batches(spark, 500)
+    arrow_batches(spark)
     codec = Codec(load_merges(path))
     rows = docs.select("doc_id", text_of().alias("text"))
-    frequent = frequent_words(rows, pattern, cache).select("word", codec.encode(F.col("word")).alias("ids")).withColumn("piece", codec.decode(F.col("ids")))
+
+    def folded(words: Column) -> Column:
+        """ids as decimal text with a blank after each, how many, and the bytes that they decode to."""
+        ids = F.transform(words, codec.encode)
+        return F.transform(ids, lambda x: F.struct(F.concat(F.array_join(F.transform(x, lambda i: i.cast("string")), " "), F.lit(" ")).alias("ids"), F.size(x).alias("n"), codec.decode(x).alias("piece")))
+
+    frequent = frequent_words(rows, pattern, cache).select("word", F.get(folded(F.array("word")), F.lit(0)).alias("f")).select("word", "f.*")
     shared = spark.sparkContext.broadcast(frequent.toArrow().combine_chunks())
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value.column("word")
-        known = known.chunk(0) if known.num_chunks else pa.array([], pa.string())
+        """One row for each batch: ids of documents, their words as places in the broadcast table and the rare words after it."""
+        known = _column(shared.value, "word")
         for batch in batches:
             lists = batch.column(1)
             words = lists.flatten()
             codes = pc.index_in(words, value_set=known)
-            missing = codes.is_null()
+            rare = words.filter(codes.is_null()).dictionary_encode()
+            code = pc.fill_null(codes, 0).to_numpy(zero_copy_only=False).copy()
+            code[codes.is_null().to_numpy(zero_copy_only=False)] = rare.indices.to_numpy() + len(known)
             offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            before = np.concatenate([[0], np.cumsum(missing.to_numpy(zero_copy_only=False))])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pc.fill_null(codes, -1)), pa.ListArray.from_arrays(pa.array(before[offsets], pa.int32()), words.filter(missing))], ["doc_id", "codes", "rare"]
-            )
+            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            yield pa.RecordBatch.from_arrays([one(batch.column(0)), one(pa.array(offsets, pa.int32())), one(pa.array(code, pa.int32())), one(rare.dictionary)], ["doc_ids", "offsets", "codes", "rare"])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        known_ids = table.column("ids").to_pylist()
-        text_of_word = [b"".join(b"%d " % i for i in ids) for ids in known_ids]
-        pieces = table.column("piece").to_pylist()
-        sizes = np.array([len(x) for x in known_ids] + [0], np.int64)
+        known = [_column(table, x) for x in ("ids", "n", "piece")]
         for batch in batches:
-            out: list[tuple] = []
-            for doc_id, codes, rare_ids, rare_pieces in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                code = codes.values.to_numpy()
-                n = int(sizes[code].sum()) + sum(map(len, rare_ids))  # -1 is the last size, 0
-                listed = code.tolist()
-                rare = iter(b"".join(b"%d " % i for i in ids) for ids in rare_ids)
-                joined = b"".join([text_of_word[c] if c >= 0 else next(rare) for c in listed])[:-1]
-                rare = iter(rare_pieces)
-                decoded = b"".join([pieces[c] if c >= 0 else next(rare) for c in listed])
-                row = (doc_id, n, hashlib.sha256(joined).hexdigest(), hashlib.sha256(decoded).hexdigest())
+            for r in range(batch.num_rows):
+                doc_ids, offsets, codes, rare = (batch.column(i)[r].values for i in range(4))
+                offsets = offsets.to_numpy()
+                new = pa.StructArray.from_arrays(rare.flatten(), ["ids", "n", "piece"])
+                ids, sizes, pieces = (pa.concat_arrays([k, new.field(x).cast(k.type)]) for k, x in zip(known, ("ids", "n", "piece"), strict=True))
+                total = np.concatenate([[0], np.cumsum(sizes.take(codes).to_numpy())])[offsets]
+                texts, decoded = (_runs(x.take(codes), offsets) for x in (ids, pieces))
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                cols = [doc_ids, pa.array(np.diff(total), pa.int64()), pa.array([hashlib.sha256(x[:-1]).hexdigest() for x in texts], pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in decoded], pa.string())]
                 if with_ids:
-                    row += (list(map(int, joined.split())), decoded)
-                out.append(row)
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_ids else [])]
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), *([pa.list_(pa.int32()), pa.binary()] if with_ids else [])]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names)
-
-    looked = rows.select(F.col("doc_id").cast("long"), words_of(F.col("text"), pattern).alias("words")).mapInArrow(look_up, "doc_id long, codes array<int>, rare array<string>")
-    folded = looked.select("doc_id", "codes", F.transform("rare", codec.encode).alias("rare_ids")).withColumn("rare_pieces", F.transform("rare_ids", codec.decode))
-    return folded.mapInArrow(assemble, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * with_ids)
+                    names += ["ids", "decoded"]
+                    cols += [pa.array([list(map(int, bytes(x).split())) for x in texts], pa.list_(pa.int32())), pa.array([bytes(x) for x in decoded], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names)
+
+    looked = rows.select(F.col("doc_id").cast("long"), words_of(F.col("text"), pattern).alias("words")).mapInArrow(look_up, "doc_ids array<bigint>, offsets array<int>, codes array<int>, rare array<string>")
+    rare = looked.select("doc_ids", "offsets", "codes", folded(F.col("rare")).alias("rare"))
+    return rare.mapInArrow(assemble, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * with_ids)
+
+
+def _column(table: pa.Table, name: str) -> pa.Array:
+    column = table.column(name)
+    return column.chunk(0) if column.num_chunks else pa.array([], column.type)
+
+
+def _runs(values: pa.Array, offsets: np.ndarray) -> list[memoryview]:
+    """The bytes of each run of values, which lie one after another in the array's buffer."""
+    _, places, data = values.buffers()
+    at = np.frombuffer(places, np.int32, len(values) + 1, values.offset * 4)[offsets]
+    view = memoryview(data) if data is not None else memoryview(b"")
+    return [view[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]

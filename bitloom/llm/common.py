@@ -52,6 +52,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Hand at most so many rows at once to Python, so that long texts stay within a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def bounded_sample(rows: DataFrame, group: str, bound: int, key: str = "doc_id") -> DataFrame:
