@@ -27,7 +27,7 @@ THRESHOLD = 50
 GRAM = 20
 #: Bytes of text that a task works on at once, and that one group of the sort holds the places of.
 BATCH = 500_000
-GROUP = 4_000_000
+GROUP = 8_000_000
 POSITIONS, RANGES, PLACES = 0, 1, 2
 FOUND = "doc_id long, kind int, data binary"
 DEALT = "digit long, n int, data binary"
@@ -232,6 +232,7 @@ def _contexts(threshold: int, digits: int):
         for batch in batches:
             docs, ats, keys, lefts, rights, found = [], [], [], [], [], []
             for doc_id, text, blobs in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                text = text or b""
                 both = np.frombuffer(b"".join(blobs), np.dtype([("at", "<u4"), ("a", "<u8")]))
                 at = both["at"].astype(np.int64)
                 data = np.frombuffer(b"\0" * span + text + b"\0" * threshold, np.uint8)
@@ -293,21 +294,22 @@ def _last_pass(threshold: int):
     return run
 
 
-def find_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def find_repeats(docs: DataFrame, threshold: int = THRESHOLD, key: str = "doc_id") -> DataFrame:
     """(doc_id, kind, data): what of each text repeats threshold bytes of a document with a smaller id.
 
-    Kind POSITIONS: places whose whole surroundings repeat; RANGES: byte ranges. docs has doc_id and text; rows with
-    a null id take no part.
+    Kind POSITIONS: places whose whole surroundings repeat; RANGES: byte ranges. docs has the columns key (long, not
+    null) and text first; others are carried to the join of the last pass, so that it can share its exchange with a
+    join of docs on doc_id that follows.
     """
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), text_of().alias("text"))
+    rows = docs.select(F.col(key).alias("doc_id"), text_of().alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     digits = int(min(max(32, total // GROUP), 1 << 16))
     dealt = rows.where(F.octet_length("text") >= threshold).mapInArrow(_first_pass(threshold, digits), DEALT)
     # What batches settled has digit -1; it is spread by a negative number of its own, as its documents are.
     dealt = dealt.withColumn("digit", F.when(F.col("digit") < 0, -1 - F.pmod(F.xxhash64("data"), F.lit(digits))).otherwise(F.col("digit")))
     found = materialize(dealt.groupBy("digit").applyInArrow(_second_pass, FOUND))
-    unclear = found.where(F.col("kind") == PLACES).groupBy("doc_id").agg(F.collect_list("data").alias("blobs"))
-    contexts = rows.join(unclear, "doc_id").select("doc_id", "text", "blobs").mapInArrow(_contexts(threshold, digits), DEALT)
+    unclear = found.where(F.col("kind") == PLACES).groupBy(F.col("doc_id").alias(key)).agg(F.collect_list("data").alias("__blobs"))
+    contexts = docs.join(unclear, key).select(key, "text", "__blobs", *docs.columns[2:]).mapInArrow(_contexts(threshold, digits), DEALT)
     return found.where(F.col("kind") != PLACES).unionByName(contexts.groupBy("digit").applyInArrow(_last_pass(threshold), FOUND))
 
 
@@ -337,10 +339,14 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, with_text: bool
     rest from the returned text. Empty input: empty result.
     """
     arrow_batches(docs.sparkSession, 500)
-    lists = find_repeats(docs, threshold).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("kind", "data")).alias("__found"))
     names = docs.columns if with_text else ["doc_id"]
     rest = [c for c in names if c != "text"]
-    rows = docs.select(*rest, "text", F.col("doc_id").cast("long").alias("__id")).join(lists, "__id", "left").select(*rest, "text", "__found")
+    known = docs.where("doc_id is not null")
+    rows = known.select(F.col("doc_id").cast("long").alias("__id"), "text", *[F.col(c).alias(f"__{i}") for i, c in enumerate(rest)])
+    lists = find_repeats(rows, threshold, "__id").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("kind", "data")).alias("__found"))
+    renamed = [F.col(f"__{i}").alias(c) for i, c in enumerate(rest)]
+    rows = rows.join(lists, "__id", "left").select(*renamed, "text", "__found")
+    rows = rows.union(docs.where("doc_id is null").select(*rest, "text", F.lit(None).cast("array<struct<kind:int,data:binary>>")))
     at = len(rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
