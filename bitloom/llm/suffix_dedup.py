@@ -27,7 +27,9 @@ THRESHOLD = 50
 GRAM = 20
 #: Bytes of text that a task works on at once, and that one group of the sort holds the places of.
 BATCH = 500_000
-GROUP = 8_000_000
+GROUP = 4_000_000
+#: Groups of the sort, at least, so that small inputs are spread as well.
+LEAST_GROUPS = 96
 POSITIONS, RANGES, PLACES = 0, 1, 2
 FOUND = "doc_id long, kind int, data binary"
 DEALT = "digit long, n int, data binary"
@@ -204,6 +206,7 @@ def _second_pass(table: pa.Table) -> pa.Table:
         c[:, 2:] = np.frombuffer(d, np.uint8, n * 6, n * 20).reshape(n, 6)
         parts.append([*_columns(d, n, ("<u8", "<i8", "<u4")), c.view("<u8").reshape(n)])
     a, doc, at, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
     order = np.argsort(a, kind="stable")
     new = _runs(a[order])
     alone = new & np.append(new[1:], True)
@@ -268,6 +271,7 @@ def _last_pass(threshold: int):
         for d, n in zip(table.column("data").to_pylist(), table.column("n").to_pylist(), strict=True):
             parts.append([*_columns(d, n, ("<u8", "<i8", "<u4", "u1", "u1")), np.frombuffer(d, np.uint8, n * width, n * 22).reshape(n, width)])
         a, doc, at, left, right, context = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
         context = np.ascontiguousarray(np.pad(context, ((0, 0), (0, 8))))
         docs, starts = [], []
         for j in range(span):
@@ -303,7 +307,7 @@ def find_repeats(docs: DataFrame, threshold: int = THRESHOLD, key: str = "doc_id
     """
     rows = docs.select(F.col(key).alias("doc_id"), text_of().alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    digits = int(min(max(32, total // GROUP), 1 << 16))
+    digits = int(min(max(LEAST_GROUPS, total // GROUP), 1 << 16))
     dealt = rows.where(F.octet_length("text") >= threshold).mapInArrow(_first_pass(threshold, digits), DEALT)
     # What batches settled has digit -1; it is spread by a negative number of its own, as its documents are.
     dealt = dealt.withColumn("digit", F.when(F.col("digit") < 0, -1 - F.pmod(F.xxhash64("data"), F.lit(digits))).otherwise(F.col("digit")))
