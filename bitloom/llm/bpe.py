@@ -192,22 +192,19 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
     codec = Codec(load_merges(path))
     rows = docs.select("doc_id", text_of().alias("text"))
 
-    def folded(words: Column) -> Column:
-        """ids as decimal text with a blank after each, how many, and the bytes that they decode to."""
-        ids = F.transform(words, codec.encode)
-        return F.transform(ids, lambda x: F.struct(F.concat(F.array_join(F.transform(x, lambda i: i.cast("string")), " "), F.lit(" ")).alias("ids"), F.size(x).alias("n"), codec.decode(x).alias("piece")))
-
-    frequent = frequent_words(rows, pattern, cache).select("word", F.get(folded(F.array("word")), F.lit(0)).alias("f")).select("word", "f.*")
-    shared = spark.sparkContext.broadcast(frequent.toArrow().combine_chunks())
+    frequent = frequent_words(rows, pattern, cache).select("word", codec.encode(F.col("word")).alias("ids")).toArrow().combine_chunks()
+    words, word_ids = (spark.sparkContext.broadcast(_column(frequent, x)) for x in ("word", "ids"))
+    decimals, pieces = (spark.sparkContext.broadcast(x) for x in _by_id(load_merges(path)))
+    del frequent
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row for each batch: ids of documents, their words as places in the broadcast table and the rare words after it."""
-        known = _column(shared.value, "word")
+        """One row for each batch: ids of documents, their words as places in the broadcast list and the rare words after it."""
+        known = words.value
         for batch in batches:
             lists = batch.column(1)
-            words = lists.flatten()
-            codes = pc.index_in(words, value_set=known)
-            rare = words.filter(codes.is_null()).dictionary_encode()
+            found = lists.flatten()
+            codes = pc.index_in(found, value_set=known)
+            rare = found.filter(codes.is_null()).dictionary_encode()
             code = pc.fill_null(codes, 0).to_numpy(zero_copy_only=False).copy()
             code[codes.is_null().to_numpy(zero_copy_only=False)] = rare.indices.to_numpy() + len(known)
             offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
@@ -215,26 +212,22 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
             yield pa.RecordBatch.from_arrays([one(batch.column(0)), one(pa.array(offsets, pa.int32())), one(pa.array(code, pa.int32())), one(rare.dictionary)], ["doc_ids", "offsets", "codes", "rare"])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        known = [_column(table, x) for x in ("ids", "n", "piece")]
         for batch in batches:
             for r in range(batch.num_rows):
                 doc_ids, offsets, codes, rare = (batch.column(i)[r].values for i in range(4))
-                offsets = offsets.to_numpy()
-                new = pa.StructArray.from_arrays(rare.flatten(), ["ids", "n", "piece"])
-                ids, sizes, pieces = (pa.concat_arrays([k, new.field(x).cast(k.type)]) for k, x in zip(known, ("ids", "n", "piece"), strict=True))
-                total = np.concatenate([[0], np.cumsum(sizes.take(codes).to_numpy())])[offsets]
-                texts, decoded = (_runs(x.take(codes), offsets) for x in (ids, pieces))
+                lists = pa.concat_arrays([word_ids.value, rare.cast(word_ids.value.type)]).take(codes)
+                ids, offsets = lists.flatten(), (lists.offsets.to_numpy() - lists.offsets[0].as_py())[offsets.to_numpy()]
+                texts, decoded = (_runs(x.value.take(ids), offsets) for x in (decimals, pieces))
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                cols = [doc_ids, pa.array(np.diff(total), pa.int64()), pa.array([hashlib.sha256(x[:-1]).hexdigest() for x in texts], pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in decoded], pa.string())]
+                cols = [doc_ids, pa.array(np.diff(offsets), pa.int64()), pa.array([hashlib.sha256(x[:-1]).hexdigest() for x in texts], pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in decoded], pa.string())]
                 if with_ids:
                     names += ["ids", "decoded"]
-                    cols += [pa.array([list(map(int, bytes(x).split())) for x in texts], pa.list_(pa.int32())), pa.array([bytes(x) for x in decoded], pa.binary())]
+                    cols += [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), ids), pa.array([bytes(x) for x in decoded], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     looked = rows.select(F.col("doc_id").cast("long"), words_of(F.col("text"), pattern).alias("words")).mapInArrow(look_up, "doc_ids array<bigint>, offsets array<int>, codes array<int>, rare array<string>")
-    rare = looked.select("doc_ids", "offsets", "codes", folded(F.col("rare")).alias("rare"))
-    return rare.mapInArrow(assemble, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * with_ids)
+    folded = looked.select("doc_ids", "offsets", "codes", F.transform("rare", codec.encode).alias("rare"))
+    return folded.mapInArrow(assemble, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * with_ids)
 
 
 def _column(table: pa.Table, name: str) -> pa.Array:
@@ -242,6 +235,11 @@ def _column(table: pa.Table, name: str) -> pa.Array:
     return column.chunk(0) if column.num_chunks else pa.array([], column.type)
 
 
+def _by_id(merges: Merges) -> tuple[pa.Array, pa.Array]:
+    """For each id its decimal text with a blank after it, and its piece."""
+    return pa.array([b"%d " % i for i in range(len(merges.pieces))], pa.binary()), pa.array(merges.pieces, pa.binary())
+
+
 def _runs(values: pa.Array, offsets: np.ndarray) -> list[memoryview]:
     """The bytes of each run of values, which lie one after another in the array's buffer."""
     _, places, data = values.buffers()
