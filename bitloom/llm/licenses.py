@@ -56,7 +56,8 @@ def band_keys(window: Column) -> Column:
 
 
 def template_shingles(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    rows = spark.createDataFrame(sorted(templates.items()), "license string, template string")
+    pairs = [F.struct(F.lit(name).alias("license"), F.lit(text).alias("template")) for name, text in sorted(templates.items())]
+    rows = spark.range(1).select(F.explode(F.array(*pairs)).alias("t")).select("t.*") if pairs else spark.range(0).select(F.lit("").alias("license"), F.lit("").alias("template"))
     return rows.select("license", F.array_distinct(shingle_hashes(F.col("template"))).alias("shingles")).where(F.size("shingles") > 0)
 
 
