@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, text_of
+from .common import arrow_batches, materialize, text_of
 
 #: Words that are encoded before the documents and broadcast, at most, and their longest.
 CACHE = 1_000_000
@@ -149,8 +149,15 @@ class Codec:
         return _with(singles, fold)
 
     def decode(self, ids: Column) -> Column:
-        """The bytes of ids: their pieces, one after another."""
-        return F.aggregate(ids, F.lit(b""), lambda a, i: F.concat(a, F.get(self.pieces, i)))
+        """The bytes of ids: their pieces, one after another; runs of 256 ids first, so that long texts are not copied for each id."""
+        join = lambda parts: F.aggregate(parts, F.lit(b""), lambda a, x: F.concat(a, x))
+        runs = F.when(F.size(ids) > 0, F.sequence(F.lit(0), F.floor((F.size(ids) - 1) / 256).cast("int"))).otherwise(F.array().cast("array<int>"))
+        return join(F.transform(runs, lambda k: join(F.transform(F.slice(ids, 256 * k + 1, F.lit(256)), lambda i: F.get(self.pieces, i)))))
+
+
+def decode_documents(encoded: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
+    """encoded with a binary column of the bytes that its ids stand for. Null ids: null; no ids: empty; an unknown id: null."""
+    return encoded.withColumn(to, F.when(F.col(ids).isNotNull(), Codec(load_merges(path)).decode(F.col(ids))))
 
 
 def words_of(text: Column, pattern: str) -> Column:
@@ -168,8 +175,6 @@ def frequent_words(docs: DataFrame, pattern: str, most: int = CACHE) -> DataFram
 
     parts = docs.select(words_of(text_of(), pattern).alias("words")).mapInArrow(count, "word string, n long")
     counts = parts.where(F.octet_length("word") <= LONGEST_CACHED).groupBy("word").agg(F.sum("n").alias("n"))
-    from .common import materialize
-
     counts = materialize(counts)
     least, total = 1, 0
     for n, words in counts.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():

@@ -59,6 +59,14 @@ def test_bpe(spark, docs, toy, empty):
     assert bpe.encode_documents(empty, path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_decoding(spark):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    pieces = bpe.load_merges(path).pieces
+    rows = [(1, [5, 300, 40000]), (2, []), (3, None), (4, [7] * 700 + [1000])]
+    got = dict(bpe.decode_documents(spark.createDataFrame(rows, "doc_id long, ids array<int>"), path).select("doc_id", "decoded").collect())
+    assert got[3] is None and all(bytes(got[i]) == b"".join(pieces[x] for x in ids) for i, ids in rows if ids is not None)
+
+
 def test_merge_table():
     m = bpe.load_merges(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     held = m.slots[m.slots >= 0]
