@@ -256,6 +256,56 @@ SQL: dict[str, tuple[str, str | None]] = {
 }
 
 
+def _stencil(pixels: str) -> str:
+    """Each sample with its neighbours t_3 .. t4, edges repeated."""
+    near = ", ".join(
+        f"coalesce({'lag' if d < 0 else 'lead'}(v, {abs(d)}) over (partition by vec_id order by i), {'first_value' if d < 0 else 'last_value'}(v) over (partition by vec_id order by i rows between unbounded preceding and unbounded following)) as t{str(d).replace('-', '_')}"
+        for d in (-3, -2, -1, 1, 2, 3, 4)
+    )
+    return f"select vec_id, cast(i as bigint) as i, v, {near} from ({pixels})"
+
+
+def _constrained(tap: str) -> str:
+    """A neighbour's difference, held by strength 6 and a shift of 2."""
+    return f"sign({tap} - v) * least(abs({tap} - v), greatest(0, 6 - (abs({tap} - v) >> 2)))"
+
+
+def _both(select: str) -> tuple[str, str]:
+    return select.format(_stencil(SPARK_PIX)), select.format(_stencil(DUCK_PIX))
+
+
+_SUM = f"4 * ({_constrained('t_1')} + {_constrained('t1')}) + 2 * ({_constrained('t_2')} + {_constrained('t2')})"
+SQL |= {
+    "fir8": _both("select vec_id, i, cast(greatest(0, least(255, (2 * (t_2 + t3) - 14 * (t_1 + t2) + 76 * (v + t1) + 64) >> 7)) as bigint) as y from ({})"),
+    "deblock_narrow": _both(
+        """select vec_id, i, cast(greatest(0, least(255, v - f)) as bigint) as q, cast(greatest(0, least(255, t_1 + f)) as bigint) as p
+        from (select *, greatest(-128, least(127, greatest(-128, least(127, t_2 - t1)) + 3 * (v - t_1) + 4)) >> 3 as f from ({})) where i % 4 = 0 and i > 0 and abs(t_1 - v) * 2 + (abs(t_2 - t1) >> 1) <= 60"""
+    ),
+    "cdef_1d": _both(
+        f"""select vec_id, i, cast(greatest(least(v, t_2, t_1, t1, t2), least(greatest(v, t_2, t_1, t1, t2), v + ((8 + s - case when s < 0 then 1 else 0 end) >> 4))) as bigint) as y
+        from (select *, cast({_SUM} as int) as s from ({{}}))"""
+    ),
+    "wht4": tuple(
+        f"""select vec_id, cast({part} as bigint) as block, cast(sum(v) as bigint) as c0, cast(sum(case when i % 4 < 2 then v else -v end) as bigint) as c1,
+        cast(sum(case when i % 4 in (0, 3) then v else -v end) as bigint) as c2, cast(sum(case when i % 2 = 0 then v else -v end) as bigint) as c3 from ({pixels}) group by vec_id, {part}"""
+        for pixels, part in ((SPARK_PIX, "i div 4"), (DUCK_PIX, "i // 4"))
+    ),
+    "bytes_fields": (
+        "select doc_id, b >> 7 as forbidden, (b >> 3) & 15 as unit_type, (b >> 2) & 1 as has_extension, (b >> 1) & 1 as has_size from (select doc_id, ascii(substring(text, 1, 1)) as b from {documents}) where b < 128",
+        None,
+    ),
+    "adaptive_cdf": (
+        """select user_id, r.p[0] as p0, r.p[1] as p1, r.p[2] as p2, r.p[3] as p3, r.c as n from (select user_id, aggregate(array_sort(collect_list(struct(ts, event_id, cast(event_id * 7 % 5 as int) as sym))),
+            named_struct('p', array(26215, 19661, 13108, 6554), 'c', 0),
+            (s, x) -> named_struct('p', transform(s.p, (v, i) -> if(i < x.sym, v + shiftright(32768 - v, 5 + shiftright(s.c, 4)), v - shiftright(v, 5 + shiftright(s.c, 4)))), 'c', least(32, s.c + 1))) as r
+        from {events} group by user_id)""",
+        "select user_id, cast(r[1] as int) as p0, cast(r[2] as int) as p1, cast(r[3] as int) as p2, cast(r[4] as int) as p3, cast(r[5] as int) as n from (select user_id, list_reduce(list_prepend([26215, 19661, 13108, 6554, 0], list([event_id * 7 % 5, 0, 0, 0, 0] order by ts, event_id)), lambda s, x: ["
+        + ", ".join(f"case when {i} < x[1] then s[{i + 1}] + ((32768 - s[{i + 1}]) >> (5 + (s[5] >> 4))) else s[{i + 1}] - (s[{i + 1}] >> (5 + (s[5] >> 4))) end" for i in range(4))
+        + ", least(32, s[5] + 1)]) as r from events group by user_id)",
+    ),
+}
+
+
 def tables_of(sql: str) -> list[str]:
     return sorted(set(re.findall(r"\{(\w+)\}", sql)))
 
