@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import arrow_batches, materialize, text_of
 
 #: Words that are encoded before the documents and broadcast, at most, and their longest.
-CACHE = 1_000_000
+CACHE = 750_000
 LONGEST_CACHED = 64
 NONE = 1 << 30
 
@@ -194,6 +194,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
     """
     spark = docs.sparkSession
     arrow_batches(spark)
+    spark.conf.set("spark.sql.maxPlanStringLength", "20000")  # the driver keeps a text of each plan, literals and all
     codec = Codec(load_merges(path))
     rows = docs.select("doc_id", text_of().alias("text"))
 
