@@ -10,6 +10,11 @@ buckets with a representative of their own, so that a large bucket yields many d
 candidates than a few for each member. All groups are built by combinable minima. First each node's best candidate by its samples is
 verified by exact weighted Jaccard similarity; of the other candidates only those that join two components still
 matter, and all of these are verified.
+
+Representatives stand for a whole bucket only where its members proved to be one component. The members of every other
+bucket are compared without them: two texts of similarity s share one of their rarest shingles, those before the last
+s of a text's weight, so that texts with such a shingle in common, of different components and with enough weight left
+from that shingle on, are all candidates (prefix filter), and those that could be similar by their samples are verified.
 """
 
 from __future__ import annotations
@@ -33,6 +38,8 @@ DAMPING = 0.1
 DF_BITS = 18
 #: Candidates whose samples agree less often than this differ far too much (0.8 less four deviations).
 LEAST_AGREEING = 11
+#: Texts with a rare shingle in common are compared in parts of about this many against all.
+PART = 1024
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)]
 _BASE, _INVERSE = np.uint64(0x5851F42D4C957F2D), np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
 
@@ -217,6 +224,43 @@ def _stars(keys: DataFrame, draws: int) -> DataFrame:
     return pairs.select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b"))
 
 
+def _rarest(shared, similarity: float):
+    """Rows (node, label, text) to (node, label, shingle, before, total) for the rarest shingles of each text.
+
+    Shingles are ordered by idf and hash; before is the weight of those that are rarer, total that of all. Shingles
+    after which less than similarity of the total is left cannot be the first that two similar texts share.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, h, tf = shingles(batch.column(2).to_pylist())
+            w = weights(h, tf, shared.value).astype(float)
+            order = np.lexsort((h, -shared.value[(h >> np.uint64(64 - DF_BITS)).astype(np.int64)], owner))
+            h, w = h[order], w[order]
+            total = np.bincount(owner, weights=w, minlength=batch.num_rows)[owner]
+            sums = np.cumsum(w) - w
+            begins = np.flatnonzero(np.diff(owner, prepend=-1))
+            before = sums - np.repeat(sums[begins], np.diff(np.append(begins, len(owner))))
+            at = np.flatnonzero(before <= (1 - similarity + 1e-6) * total)
+            of = pa.array(owner[at])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(h[at].view(np.int64)), pa.array(before[at]), pa.array(total[at])], ["node", "label", "shingle", "before", "total"])
+
+    return run
+
+
+def _across(members: DataFrame, shared, similarity: float) -> DataFrame:
+    """All pairs (a, b) of members (node, label, text) with different labels that can have this similarity."""
+    rare = materialize(members.select("node", "label", "text").mapInArrow(_rarest(shared, similarity), "node long, label long, shingle long, before double, total double"))
+    mixed = rare.groupBy("shingle").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
+    rare = rare.join(mixed.select("shingle", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "shingle")
+    a = rare.select("shingle", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), *[F.col(c).alias(f"{c}_a") for c in ("node", "label", "before", "total")])
+    b = rare.select("shingle", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "before", "total")])
+    left = F.least(F.col("total_a") - F.col("before_a"), F.col("total_b") - F.col("before_b"))
+    can = left * (1 + similarity) >= (similarity - 1e-6) * (F.col("total_a") + F.col("total_b"))
+    met = a.join(b, (a["shingle"] == b["shingle"]) & (a["part"] == b["part"]) & (F.col("node_a") > F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & can)
+    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
 def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id) of every row; class_id is the least doc_id of its class.
 
@@ -235,7 +279,7 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
     key = lambda *parts: F.xxhash64(*parts)
     coarse = sigs.select("node", F.posexplode("bands").alias("i", "band")).select("node", key("i", "band").alias("key"))
     stars = materialize(_stars(coarse, 4).distinct())
-    members = stars.select(F.col("a").alias("node")).union(stars.select(F.col("b").alias("node"))).distinct()
+    members = materialize(stars.select(F.col("a").alias("node")).union(stars.select(F.col("b").alias("node"))).distinct())
     finer = [(i, (i + d) % BANDS) for d in (1, 2, 3) for i in range(BANDS)]
     fine = (
         sigs.join(members, "node", "left_semi")
@@ -244,8 +288,9 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
     )
     pairs = stars.union(_stars(fine, 1)).distinct()
     a, b = (sigs.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
-    pairs = materialize(_agreeing(pairs.join(a, "a").join(b, "b")).where(F.col("agree") >= LEAST_AGREEING).select("a", "b", "agree"))
-    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    alike = lambda these: _agreeing(these.join(a, "a").join(b, "b")).where(F.col("agree") >= LEAST_AGREEING).select("a", "b", "agree")
+    pairs = materialize(alike(pairs))
+    ends = members.select(F.col("node").alias("doc_id"))
     # Texts are merged with ids of no proven bound, at every size, so that the ids are broadcast at none.
     texts = materialize(rows.join(ends.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "text"))
 
@@ -258,7 +303,14 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
     labels = components(links)
     la, lb = (labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab")
     open_ = pairs.join(best, ["a", "b"], "left_anti").join(la, "a", "left").join(lb, "b", "left").where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b"))
-    labels = components(links.union(verified(open_.select("a", "b"))))
+    links = materialize(links.union(verified(open_.select("a", "b"))))
+    labels = components(links)
+    # Buckets of several components: two nodes are compared above, of more nodes perhaps not all.
+    placed = coarse.join(members, "node", "left_semi").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    mixed = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("n > 2 and low != high")
+    apart = placed.join(mixed, "key", "left_semi").select("node", "label").distinct()
+    across = materialize(alike(_across(texts.join(apart, "node"), shared, similarity)).join(pairs, ["a", "b"], "left_anti"))
+    labels = components(links.union(verified(across)))
     classes = nodes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("class_id"))
     return digests.join(classes, "digest").select("doc_id", "class_id")
 

@@ -193,6 +193,29 @@ def test_near_duplicates(spark, docs, toy, empty):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted({i for i, _ in toy} - {21, 23, 24})
 
 
+def test_near_duplicates_with_a_common_template(spark):
+    template = " ".join(f"t{i}" for i in range(200))
+    own = lambda key, n: " ".join(f"{key}x{i}" for i in range(n))
+    rows = [(i, f"{template} {own(f's{i}', 46)}") for i in range(300)]
+    for i in range(60):
+        rows += [(1000 + 2 * i + j, f"{template} {own(f'p{i}', 24)} {own(f'q{i}{j}', 22)}") for j in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    idf = near_dedup.idf_table(*near_dedup.document_counts(docs))
+    owner, h, tf = near_dedup.shingles([t for _, t in rows])
+    weight = near_dedup.weights(h, tf, idf)
+    bags = [dict(zip(h[owner == i].tolist(), weight[owner == i].tolist())) for i in range(len(rows))]
+
+    def similarity(a, b):
+        common = sum(min(w, b[x]) for x, w in a.items() if x in b)
+        return common / (sum(a.values()) + sum(b.values()) - common)
+
+    linked = [(rows[i][0], rows[j][0]) for i in range(len(rows)) for j in range(i) if similarity(bags[i], bags[j]) >= 0.8]
+    assert len(linked) == 60
+    got = by_id(near_dedup.near_duplicate_classes(docs), "class_id")
+    assert sum(got[a] == got[b] for a, b in linked) >= 58
+    assert len(set(got.values())) >= len(rows) - 60
+
+
 def test_consistent_sampling_estimates_similarity():
     a = prose(7, 400).split()
     b = a[:300] + prose(8, 100).split()
