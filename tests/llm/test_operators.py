@@ -84,6 +84,17 @@ def test_licenses(spark, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def test_whole_licenses(spark):
+    whole = ["apache-2.0-text", "gpl-3.0-text", "mpl-2.0-text", "bsd-2-clause-text", "bsd-3-clause-text", "isc-text", "mit-text-whole", "gpl-3.0-header", "lgpl-2.1-header", "mpl-2.0-header"]
+    commented = lambda text: "\n".join(f" * // -- {line}" for line in text.splitlines())
+    rows = [(i, prose(i, 100) + "\n" + commented(licenses.TEMPLATES[name]) + "\n" + prose(50 + i, 70)) for i, name in enumerate(whole)]
+    rows += [(90, licenses.TEMPLATES["gpl-3.0-text"][:9000]), (91, " ".join(licenses.TEMPLATES["isc-text"].split()[:50]))]
+    got = {(r[0], r[1]): r[2] for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, name in enumerate(whole):
+        assert got[i, name] >= 0.99
+    assert not any(i in (90, 91) and name in whole for i, name in got)
+
+
 def test_packing(spark, docs, toy, empty):
     from tokenizers import Tokenizer
 
