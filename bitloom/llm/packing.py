@@ -9,6 +9,7 @@ partition with nearly equal windows is left. If its fullest window exceeds the c
 from __future__ import annotations
 
 import heapq
+import json
 import math
 import zlib
 from array import array
@@ -31,23 +32,48 @@ REMEMBERED = 1_000_000
 #: By tokenizer file: what this worker process has encoded so far, over all of its tasks.
 _known: dict[str, dict[str, bytes]] = {}
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+#: The tokenizer settings under which a text may be encoded string by string between its blanks. White
+#: space is dropped and never joined across, and composing or lowering characters never reaches across a blank.
+SEPARABLE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "truncation": None,
+    "padding": None,
+}
+
+
+def separable(tokenizer_json: str) -> bool:
+    """True if texts of this tokenizer may be encoded string by string; others are encoded whole."""
+    settings = json.loads(tokenizer_json)
+    return all(settings.get(k) == v for k, v in SEPARABLE.items())
 
 
 def _stem(word: str) -> tuple[str, str]:
     """A string that stands for word before the tokenizer, which lowers case and cuts marks off letters, and a last mark.
 
-    Only letters whose lower case is theirs alone, wherever they stand, are lowered here.
+    Only words of letters below U+0130 are taken apart: from there on, lower case can add a mark of its own (U+0130),
+    which the tokenizer would join with the mark that follows.
     """
+    if not word or max(word) >= "\u0130":
+        return word, ""
     mark = word[-1] if len(word) > 1 and word[-1] in ",.!?;:" and word[:-1].isalpha() else ""
-    stem = word[:-1] if mark else word
-    return (stem.lower() if stem and max(stem) < "\u0130" else stem), mark
+    return (word[:-1] if mark else word).lower(), mark
 
 
-def token_bytes(texts: list[str], tokenizer, known: dict[str, bytes]) -> list[bytes]:
-    """The ids of each text, four bytes each, little-endian.
+def token_bytes(texts: list[str], tokenizer, known: dict[str, bytes] | None) -> list[bytes]:
+    """The ids of each text, four bytes each, little-endian; known None: texts are encoded whole.
 
-    The tokenizer drops white space and never joins across it, so strings between blanks are encoded once and looked up.
+    Strings between blanks are encoded once and looked up.
     """
+    if known is None:
+        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
     split = [x.replace("\n", " ").split(" ") for x in texts]
     if len(known) > REMEMBERED:
         known.clear()
@@ -64,9 +90,11 @@ def token_bytes(texts: list[str], tokenizer, known: dict[str, bytes]) -> list[by
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: int | None = END, with_ids: bool = False) -> DataFrame:
     """Tokenize every whole text and cut its ids into pieces of at most capacity: whole windows first, then the rest.
 
-    docs has doc_id and text. Null text counts as empty: only the end id is left (without an end id, no piece).
-    A null doc_id is kept. Repeated rows give repeated pieces. With with_ids, a column ids holds the ids themselves
-    (binary, four bytes each, little-endian). Empty input: no pieces.
+    docs has doc_id and text; other columns, whatever their names, are ignored. Null text counts as empty: only the
+    end id is left (without an end id, no piece). A null doc_id is kept. Repeated rows give repeated pieces. With
+    with_ids, a column ids holds the ids themselves (binary, four bytes each, little-endian). Names of special tokens
+    in a text are ordinary text, so that no document can write a control id. A text of any length is one row of a
+    batch; its cost is linear. Empty input: no pieces.
     """
     arrow_batches(docs.sparkSession, 500)
     last = b"" if end is None else np.array([end], dtype="<u4").tobytes()
@@ -78,8 +106,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_path)
+        known = _known.setdefault(tokenizer_path, {}) if separable(tokenizer.to_str()) else None
         tokenizer.encode_special_tokens = True
-        known = _known.setdefault(tokenizer_path, {})
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), token_bytes(batch.column(1).to_pylist(), tokenizer, known), strict=True):
@@ -161,9 +189,20 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK)
 
 
 def _place(block: int, group: pd.DataFrame, capacity: int) -> pd.DataFrame:
+    """The window and offset of each piece of one block.
+
+    Pieces below a 64th of the capacity are first strung together to items of about that size, so that a block has
+    some ten thousand items at most, however small its pieces are, and its partial partitions a bounded size.
+    """
     group = group.sort_values(["length", "__row"], ascending=[False, True], kind="stable")
-    window = np.array(pack_sizes(group["length"].tolist(), capacity), dtype=np.int64)
-    out = pd.DataFrame({"__row": group["__row"].to_numpy(), "sequence_id": (int(block) << 32) + window, "length": group["length"].to_numpy()})
+    lengths, least = group["length"].to_numpy(), max(1, capacity // 64)
+    small = lengths < least
+    before = np.cumsum(np.where(small, lengths, 0)) - np.where(small, lengths, 0)
+    item = np.where(small, np.count_nonzero(~small) + before // least, np.arange(len(lengths)))
+    item = np.unique(item, return_inverse=True)[1]
+    sizes = np.bincount(item, weights=lengths).astype(np.int64)
+    window = np.array(pack_sizes(sizes.tolist(), capacity), dtype=np.int64)[item]
+    out = pd.DataFrame({"__row": group["__row"].to_numpy(), "sequence_id": (int(block) << 32) + window, "length": lengths})
     out["offset"] = out.groupby("sequence_id")["length"].cumsum() - out["length"]
     return out[["__row", "sequence_id", "offset"]]
 

@@ -123,6 +123,38 @@ def test_packing(spark, docs, toy, empty):
     assert packing.pack_documents(empty, path).count() == 0
 
 
+def test_tokens_equal_those_of_whole_texts():
+    """Strings between blanks against whole texts: all characters that lower case or composition changes, and a sample of the rest, before each mark."""
+    import unicodedata
+    from array import array
+
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert packing.separable(tokenizer.to_str())
+    tokenizer.encode_special_tokens = True
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    chars = [c for i, c in enumerate(chars) if i % 97 == 0 or i < 0x600 or c.lower() != c or unicodedata.normalize("NFC", c) != c or unicodedata.combining(c)]
+    texts = [" ".join(f"a{c}{m} {c}{m} A{c}b{m}" for m in ",.!?;:") for c in chars]
+    texts += ["Maç BİTTİ! KADİ. Bu İYİ, değil?", "ΑΣ. ΣΑΣ, x<|endoftext|>. <|endoftext|>", "", " ", "\n\n", "it's I'LL. 'd, d'.", "a\u00a0b\u2003c\td\r\ne"]
+    got = packing.token_bytes(texts, tokenizer, {})
+    assert got == [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    other = tokenizer.to_str().replace('"Lowercase"', '"StripAccents"')
+    assert not packing.separable(other)
+    assert packing.token_bytes(["Écoute ça."], tokenizer, None) == packing.token_bytes(["Écoute ça."], tokenizer, {})
+
+
+def test_packing_of_tiny_pieces_is_bounded():
+    import pandas as pd
+
+    got = packing._place(3, pd.DataFrame({"__row": range(50_000), "length": [1] * 49_000 + [4096] * 3 + [700] * 997}), 4096)
+    lengths = dict(zip(range(50_000), [1] * 49_000 + [4096] * 3 + [700] * 997))
+    got["length"] = got["__row"].map(lengths)
+    sums = got.groupby("sequence_id")["length"].sum()
+    assert sums.max() <= 4096 and len(sums) <= 1.25 * sum(lengths.values()) / 4096 and sorted(got["__row"]) == list(range(50_000))
+    assert (got.sort_values(["sequence_id", "offset"]).groupby("sequence_id")["length"].cumsum() - got["length"] == got["offset"]).all()
+
+
 def test_differencing_is_near_equal():
     r = random.Random(3)
     sizes = [r.randint(1, 900) for _ in range(300)]
