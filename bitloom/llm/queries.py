@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, fingerprints, langid, licenses, near_dedup, packing, quality, sharding, suffix_dedup, toxicity
 from .common import documents, table
+from .oracles import ORACLES as ORACLES
 
 SHARDS = 40
 
@@ -67,4 +68,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
-ORACLES: dict[str, str] = {}

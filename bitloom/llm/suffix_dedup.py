@@ -1,14 +1,21 @@
 """Removal of byte strings that repeat across documents, by a depth-limited radix sort of suffixes.
 
-Suffixes are ordered only through THRESHOLD bytes, in passes from the most significant digit on. Two suffixes that
-agree through the threshold hold the same GRAM-byte string with the least hash among the strings that lie inside
-(a minimizer), at the same place; so the first digit is the hash of that string, and only its places are dealt out,
-one in about sixteen. The second digit is the hash of all that any window around the place can hold. Suffixes that are
-alone after a pass leave; where the second digit still tells suffixes apart that share the first, a last pass compares
-the windows themselves. Equal groups are exactly the repeated windows.
-
-Within a task's batch, copies of a place with both digits equal are settled at once and only the smallest document
-goes on, so that a passage which a third of all documents share reaches its group once a batch, not once a document.
+Suffixes are ordered only through THRESHOLD bytes, by their own bytes, in passes from the most significant digit on (a
+digit is eight bytes), and only groups that are still equal and hold several documents go on. Equal groups after the
+last digit are exactly the repeated windows; nothing is taken as equal that was not compared byte by byte.
+
+Not every suffix needs to be dealt out. Two windows that agree through the threshold hold the same GRAM bytes at the
+same place (the largest of the strings inside by a hash that only serves to choose: an anchor), so it is enough to
+order the suffixes that begin at anchors, one place in about sixteen, and then the windows around those still equal:
+
+1. In a task's batch, anchors are ordered by their GRAM bytes. Where several documents of the batch share them, the
+   surroundings are ordered as well, and windows that repeat a smaller document of the batch are settled at once.
+2. The other anchors are dealt out by their GRAM bytes, ordered by them, and leave if one document alone has them.
+3. What is left is dealt out once more with all bytes that a window around the anchor can hold. Equal surroundings are
+   settled first; for what is left, the windows at each offset are ordered through all of their bytes.
+
+A GRAM that very many places share is dealt out by the bytes beside it too: every window around it holds 15 more on
+its right or 16 more on its left, so the places go once to the group of the one and once to that of the other.
 """
 
 from __future__ import annotations
@@ -25,14 +32,19 @@ from .common import arrow_batches, materialize, text_of
 
 THRESHOLD = 50
 GRAM = 20
-#: Bytes of text that a task works on at once, and that one group of the sort holds the places of.
-BATCH = 500_000
-GROUP = 4_000_000
+#: Bytes of text that a task works on at once, and that one group of the sort holds the anchors of.
+BATCH = 2_000_000
+GROUP = 8_000_000
 #: Groups of the sort, at least, so that small inputs are spread as well.
-LEAST_GROUPS = 96
-POSITIONS, RANGES, PLACES = 0, 1, 2
+LEAST_GROUPS = 24
+#: Anchors with equal GRAM bytes from which on these are dealt out by the bytes beside them as well.
+HOT = 2_000
+#: The same in one batch, after equal surroundings are settled.
+HOT_IN_BATCH = 64
+RANGES, PLACES = 1, 2
 FOUND = "doc_id long, kind int, data binary"
 DEALT = "digit long, n int, data binary"
+PLACE = np.dtype([("at", "<u4"), ("hot", "u1")])
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 
 
@@ -42,11 +54,6 @@ def _mix(x: np.ndarray, k: int) -> np.ndarray:
     return x
 
 
-def _words(data: np.ndarray) -> np.ndarray:
-    """The eight bytes from every place on, as one number."""
-    return np.ndarray(shape=(len(data) - 7,), dtype="<u8", buffer=data.data, strides=(1,))
-
-
 def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
     """pick (minimum or maximum) over every run of width values."""
     have, size = x, 1
@@ -55,18 +62,17 @@ def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(have[: len(x) - width + 1], have[width - size : width - size + len(x) - width + 1]) if size < width else have
 
 
-def _planes(*columns: np.ndarray) -> bytes:
-    """Columns of integers, byte plane by byte plane: what the values share is then easy to compress."""
-    return b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns)
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of integers or byte strings, byte plane by byte plane, compressed."""
+    return pa.compress(b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns), codec="zstd", asbytes=True)
 
 
-def _columns(data: bytes, n: int, kinds: tuple[str, ...]) -> list[np.ndarray]:
-    out, at = [], 0
-    for kind in kinds:
-        size = np.dtype(kind).itemsize
-        planes = np.frombuffer(data, np.uint8, n * size, at).reshape(size, n)
-        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(n))
-        at += n * size
+def _unpack(data: bytes, n: int, widths: tuple[int, ...]) -> list[np.ndarray]:
+    """The columns as arrays of shape (n, width) of bytes."""
+    data, out, at = pa.decompress(data, decompressed_size=n * sum(widths), codec="zstd", asbytes=True), [], 0
+    for width in widths:
+        out.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T))
+        at += n * width
     return out
 
 
@@ -79,6 +85,44 @@ def _runs(*sorted_columns: np.ndarray) -> np.ndarray:
     return new
 
 
+def _digit(rows: np.ndarray, at: int) -> np.ndarray:
+    """The eight bytes from place at on of rows of bytes, as numbers in the order of the bytes."""
+    return np.ascontiguousarray(rows[:, at : at + 8]).view(">u8").reshape(-1).astype(np.uint64)
+
+
+def _digits(begin: int, end: int) -> list[int]:
+    """Where the digits of the bytes from begin to end begin; the last one may overlap the one before."""
+    return [*range(begin, end - 8, 8), end - 8]
+
+
+def radix_pass(rows: np.ndarray, group: np.ndarray, key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One digit further: rows in order of group and key, with their new group; groups of one document leave."""
+    order = np.lexsort((key, group))
+    rows, group, key = rows[order], group[order], key[order]
+    if not len(rows):
+        return rows, group
+    new = _runs(group, key)
+    group, begins = np.cumsum(new) - 1, np.flatnonzero(new)
+    d = doc[rows]
+    several = (np.minimum.reduceat(d, begins) < np.maximum.reduceat(d, begins))[group]
+    return rows[several], group[several]
+
+
+def still_equal(context: np.ndarray, digits: list[int], rows: np.ndarray, group: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Passes over all digits; only what is still equal to another document's bytes is carried from one to the next."""
+    for at in digits:
+        if len(rows):
+            rows, group = radix_pass(rows, group, _digit(context[rows], at), doc)
+    return rows, group
+
+
+def _repeats(rows: np.ndarray, group: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Of rows in groups, those whose group also holds a smaller document."""
+    d = doc[rows]
+    smallest = np.minimum.reduceat(d, np.flatnonzero(_runs(group)))[np.unique(group, return_inverse=True)[1]] if len(rows) else d
+    return rows[d > smallest]
+
+
 def _by_document(doc: np.ndarray, kind: int, *columns: np.ndarray) -> pa.RecordBatch:
     """One row for each document with its columns' values, interleaved, as binary."""
     order = np.argsort(doc, kind="stable")
@@ -91,20 +135,49 @@ def _by_document(doc: np.ndarray, kind: int, *columns: np.ndarray) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(doc[begins], pa.int64()), pa.array(np.full(len(begins), kind, np.int32)), blobs], ["doc_id", "kind", "data"])
 
 
-def _padded(texts: list[bytes], threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All texts with zeros between them, and where each begins and ends."""
+def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges of each document, those that touch made one."""
+    order = np.lexsort((start, doc))
+    doc, start, end = doc[order], start[order].astype(np.int64), end[order].astype(np.int64)
+    if not len(doc):
+        return doc, start.astype(np.uint32), end.astype(np.uint32)
+    # Documents are set apart by more than any place, so that one running maximum serves them all.
+    apart = np.cumsum(np.append(0, doc[1:] != doc[:-1])) << 33
+    reach = np.maximum.accumulate(end + apart)
+    new = np.append(True, (start + apart)[1:] > reach[:-1])
+    last = np.append(np.flatnonzero(new)[1:], len(doc)) - 1
+    return doc[new], start[new].astype(np.uint32), (reach - apart)[last].astype(np.uint32)
+
+
+class Anchors:
+    """The anchors of some texts: doc and at (its place in the text), and the bytes around it."""
+
+    def __init__(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray, text: np.ndarray, at: np.ndarray, threshold: int) -> None:
+        self.data, self.text, self.at, self.threshold, self.span = data, text, at, threshold, threshold - GRAM + 1
+        self.where = begin[text] + at
+        self.left, self.right = np.minimum(at, self.span - 1), np.minimum(size[text] - at, threshold)
+
+    def gram_digits(self, of: np.ndarray | slice = slice(None)) -> list[np.ndarray]:
+        w = np.lib.stride_tricks.sliding_window_view(self.data, GRAM)[self.where[of]]
+        return [_digit(w, k) for k in _digits(0, GRAM)]
+
+    def context(self, of: np.ndarray) -> np.ndarray:
+        """The span - 1 bytes before the anchor and threshold from it on; zeros stand for what lies beyond the text."""
+        width = self.span - 1 + self.threshold
+        rows = np.lib.stride_tricks.sliding_window_view(self.data, width)[self.where[of] - (self.span - 1)].copy()
+        k = np.arange(width)
+        rows[(k < (self.span - 1 - self.left[of])[:, None]) | (k >= (self.span - 1 + self.right[of])[:, None])] = 0
+        return rows
+
+
+def anchors_of(texts: list[bytes], threshold: int) -> Anchors:
+    """The anchors of all windows of threshold bytes: in each the string of GRAM bytes with the largest hash."""
+    span = threshold - GRAM + 1
     gap = b"\0" * (threshold + 8)
     data = np.frombuffer(gap + gap.join(texts) + gap, np.uint8)
     size = np.array([len(t) for t in texts], np.int64)
     begin = len(gap) + np.concatenate([[0], np.cumsum(size + len(gap))[:-1]]).astype(np.int64)
-    return data, begin, begin + size
-
-
-def places(texts: list[bytes], threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The minimizers of all windows of threshold bytes: text number, byte place in it, first and second digit."""
-    span = threshold - GRAM + 1
-    data, begin, end = _padded(texts, threshold)
-    w = _words(data)
+    w = np.ndarray(shape=(len(data) - 7,), dtype="<u8", buffer=data.data, strides=(1,))
     g = _mix(w, 0)[: len(w) - 12]
     g += _mix(w[8:], 1)[: len(g)]
     g ^= g >> np.uint64(29)
@@ -112,69 +185,80 @@ def places(texts: list[bytes], threshold: int) -> tuple[np.ndarray, np.ndarray,
     g = _mix(g, 3)
     g ^= g >> np.uint64(29)
     g |= np.uint64(1)
-    least = _sliding(g, span, np.minimum)
-    inside = np.zeros(len(least) + 1, np.int8)
-    fits = end - begin >= threshold
+    most = _sliding(g, span, np.maximum)
+    inside = np.zeros(len(most) + 1, np.int8)
+    fits = size >= threshold
     inside[begin[fits]] += 1
-    inside[end[fits] - threshold + 1] -= 1
-    least[np.cumsum(inside[:-1], dtype=np.int8) == 0] = 0
-    most = _sliding(np.concatenate([np.zeros(span - 1, np.uint64), least, np.zeros(span - 1, np.uint64)]), span, np.maximum)[: len(g)]
-    at = np.flatnonzero(g[: len(most)] == most)
-    text = np.searchsorted(begin, at, side="right") - 1
-    left, right = np.minimum(at - begin[text], span - 1), np.minimum(end[text] - at, threshold)
-    # Zeros stand for what lies beyond a text's ends; the two lengths tell them from zeros in it.
-    c = _mix((left * 256 + right).astype(np.uint64), 0)
-    for k in (*range(-(span - 1), 0, 8), *range(GRAM, threshold, 8)):
-        o = np.minimum(k, threshold - 8) if k > 0 else k
-        v = w[at + o]
-        if k < 0:
-            keep = np.clip(left + k + 8, 0, 8)  # bytes of these eight that lie before the text are zeros or another text's
-            v = np.where(left >= -k, v, np.where(keep > 0, v >> ((np.uint64(8) - keep.astype(np.uint64)) * np.uint64(8) % np.uint64(64)), np.uint64(0)))
-        else:
-            keep = np.clip(right - o, 0, 8)
-            v = np.where(keep == 8, v, v & ((np.uint64(1) << (keep.astype(np.uint64) * np.uint64(8) % np.uint64(64))) - np.uint64(1)))
-        c ^= _mix(v, 1)
-        c = _mix(c, 2)
-        c ^= c >> np.uint64(29)
-    return text, at - begin[text], g[at], c
-
-
-def _first_pass(threshold: int, digits: int):
-    """Batches of (doc_id, text) to dealt places (digit >= 0) and ranges that the batch itself settles (digit -1)."""
-    span = threshold - GRAM + 1
+    inside[begin[fits] + size[fits] - threshold + 1] -= 1
+    # A place is an anchor if its hash is the largest of some window: the smallest of the largest that it lies in.
+    most[np.cumsum(inside[:-1], dtype=np.int8) == 0] = ~np.uint64(0)
+    edge = np.full(span - 1, ~np.uint64(0))
+    least = _sliding(np.concatenate([edge, most, edge]), span, np.minimum)[: len(g)]
+    where = np.flatnonzero(g[: len(least)] == least)
+    text = np.searchsorted(begin, where, side="right") - 1
+    return Anchors(data, begin, size, text, where - begin[text], threshold)
+
+
+def settle(doc: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray, context: np.ndarray, group: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (in groups of equal GRAM bytes) whose whole surroundings repeat a smaller document's, and the rest.
+
+    Of equal surroundings, those of the smallest document stand for all in what follows.
+    """
+    rows = np.arange(len(doc))
+    rows, group = radix_pass(rows, group, left.astype(np.uint64) * np.uint64(256) + right.astype(np.uint64), doc)
+    repeats = _repeats(*still_equal(context, _digits(0, context.shape[1]), rows, group, doc), doc)
+    rest = np.ones(len(doc), bool)
+    rest[repeats] = False
+    return repeats, np.flatnonzero(rest)
+
+
+def _passed_on(kind: int, doc: np.ndarray, *columns: np.ndarray) -> list[tuple[int, int, bytes]]:
+    """Rows by document as one dealt row of digit -kind, if there are any."""
+    part = _by_document(doc, kind, *columns)
+    if not part.num_rows:
+        return []
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, part.schema) as writer:
+        writer.write_batch(part)
+    return [(-kind, part.num_rows, sink.getvalue().to_pybytes())]
+
+
+def _first_pass(threshold: int, groups: int):
+    """Batches of (doc_id, text) to dealt anchors (digit >= 0); what the batch itself finds, by document, has digit -kind."""
 
     def batch_of(ids: list[int], texts: list[bytes]) -> Iterator[pa.RecordBatch]:
         doc_ids = np.array(ids, np.int64)
-        text, at, a, c = places(texts, threshold)
-        doc = doc_ids[text]
-        order = np.lexsort((at, doc, c, a))
-        text, at, a, c, doc = (x[order] for x in (text, at, a, c, doc))
-        if not len(a):
+        found = anchors_of(texts, threshold)
+        if not len(found.at):
             return
-        group = np.cumsum(_runs(a, c)) - 1
-        smallest = doc[np.flatnonzero(_runs(a, c))][group]
-        settled = doc > smallest
-        size = np.array([len(t) for t in texts], np.int64)
-        out_digit, out_n, out_data = [], [], []
-        if settled.any():
-            t, p = text[settled], at[settled]
-            order = np.lexsort((p, t))
-            t, p = t[order], p[order]
-            s, e = np.maximum(p - (span - 1), 0), np.minimum(p + threshold, size[t])
-            new = _runs(t)
-            new[1:] |= s[1:] > e[:-1]
-            last = np.append(np.flatnonzero(new)[1:], len(t)) - 1
-            out_digit.append(-1)
-            out_n.append(int(new.sum()))
-            out_data.append(_planes(doc_ids[t[new]], s[new].astype(np.uint32), e[last].astype(np.uint32)))
-        rest = ~settled
-        a, c, doc, at = a[rest], c[rest], doc[rest], at[rest]
-        digit = (a >> np.uint64(32)) * np.uint64(digits) >> np.uint64(32)
-        for lo, hi in zip(cuts := np.flatnonzero(_runs(digit)), np.append(cuts[1:], len(a)), strict=True):
-            out_digit.append(int(digit[lo]))
-            out_n.append(int(hi - lo))
-            out_data.append(_planes(a[lo:hi] >> np.uint64(16), doc[lo:hi], at[lo:hi].astype(np.uint32)) + np.ascontiguousarray(c[lo:hi].view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(out_digit, pa.int64()), pa.array(out_n, pa.int32()), pa.array(out_data, pa.binary())], ["digit", "n", "data"])
+        doc, words = doc_ids[found.text], found.gram_digits()
+        order = np.lexsort(words[::-1])
+        new = _runs(*(w[order] for w in words))
+        group, begins = np.cumsum(new) - 1, np.flatnonzero(new)
+        several = (np.minimum.reduceat(doc[order], begins) < np.maximum.reduceat(doc[order], begins))[group]
+        shared, of = order[several], group[several]
+        out: list[tuple[int, int, bytes]] = []
+        left_over = np.ones(len(order), bool)
+        if len(shared):
+            repeats, rest = settle(doc[shared], found.at[shared], found.left[shared], found.right[shared], found.context(shared), of, threshold)
+            left_over[np.flatnonzero(several)[repeats]] = False
+            r = shared[repeats]
+            out += _passed_on(RANGES, *_merged(doc[r], found.at[r] - found.left[r], found.at[r] + found.right[r]))
+        # Where very many are left, it is settled that others are to meet them as hot; one of them tells so.
+        many = left_over & (np.bincount(group[left_over], minlength=len(begins))[group] >= HOT_IN_BATCH) & several
+        r = order[many]
+        out += _passed_on(PLACES, doc[r], found.at[r].astype(np.uint32), np.ones(len(r), np.uint8))
+        told = np.zeros(len(order), np.uint8)
+        told[np.flatnonzero(many)[_runs(group[many])]] = 1
+        go = (left_over & ~many) | (told > 0)
+        rows, told = order[go], told[go]
+        digit = _group_of(words, rows, groups)
+        by = np.argsort(digit, kind="stable")
+        digit, rows, told = digit[by], rows[by], told[by]
+        for lo, hi in zip(cuts := np.flatnonzero(_runs(digit)), np.append(cuts[1:], len(rows)), strict=True):
+            o = rows[lo:hi]
+            out.append((int(digit[lo]), int(hi - lo), _pack(*(w[o].astype(">u8") for w in words), doc[o], found.at[o].astype(np.uint32), told[lo:hi])))
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], ["digit", "n", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
@@ -194,139 +278,144 @@ def _first_pass(threshold: int, digits: int):
     return run
 
 
+def _group_of(words: list[np.ndarray], rows: np.ndarray, groups: int) -> np.ndarray:
+    """The group that bytes are dealt to, even where many begin alike."""
+    h = np.zeros(len(rows), np.uint64)
+    for k, w in enumerate(words):
+        h = _mix(h ^ _mix(w[rows], k % 3), 3)
+        h ^= h >> np.uint64(29)
+    return ((h >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)
+
+
 def _second_pass(table: pa.Table) -> pa.Table:
-    """All places of one digit: those that repeat a smaller document's, and those that need the last pass."""
+    """All anchors of one group: those whose GRAM bytes several documents hold, by document."""
+    blobs, sizes = table.column("data").to_pylist(), table.column("n").to_pylist()
     if table.column("digit")[0].as_py() < 0:
-        parts = [_columns(d, n, ("<i8", "<u4", "<u4")) for d, n in zip(table.column("data").to_pylist(), table.column("n").to_pylist(), strict=True)]
-        doc, s, e = (np.concatenate(x) for x in zip(*parts, strict=True))
-        return pa.Table.from_batches([_by_document(doc, RANGES, s, e)])
-    parts = []
-    for d, n in zip(table.column("data").to_pylist(), table.column("n").to_pylist(), strict=True):
-        c = np.zeros((n, 8), np.uint8)
-        c[:, 2:] = np.frombuffer(d, np.uint8, n * 6, n * 20).reshape(n, 6)
-        parts.append([*_columns(d, n, ("<u8", "<i8", "<u4")), c.view("<u8").reshape(n)])
-    a, doc, at, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in blobs])
+    n_words = len(_digits(0, GRAM))
+    parts = [_unpack(d, n, (*[8] * n_words, 8, 4, 1)) for d, n in zip(blobs, sizes, strict=True)]
+    *words, doc, at, told = (np.concatenate(x) for x in zip(*parts, strict=True))
     del parts
-    order = np.argsort(a, kind="stable")
-    new = _runs(a[order])
-    alone = new & np.append(new[1:], True)
-    order = order[~alone]
-    a, doc, at, c = a[order], doc[order], at[order], c[order]
-    order = np.lexsort((at, doc, c, a))
-    a, doc, at, c = a[order], doc[order], at[order], c[order]
-    if not len(a):
-        return pa.Table.from_batches([_by_document(doc, POSITIONS, at)])
-    new = _runs(a, c)
-    smallest = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-    repeats = doc > smallest
-    first = ~repeats
-    by_a = np.flatnonzero(_runs(a))
-    low, high = np.minimum.reduceat(smallest, by_a), np.maximum.reduceat(smallest, by_a)
-    kinds = np.add.reduceat(new.astype(np.int64), by_a)
-    unclear = first & np.repeat((kinds > 1) & (low < high), np.diff(np.append(by_a, len(a))))
-    return pa.Table.from_batches([_by_document(doc[repeats], POSITIONS, at[repeats]), _by_document(doc[unclear], PLACES, at[unclear], a[unclear])])
-
-
-def _contexts(threshold: int, digits: int):
-    """Batches of (doc_id, text, blobs of places) to dealt contexts: all that a window around a place can hold."""
+    words = [w.view(">u8").reshape(-1).astype(np.uint64) for w in words]
+    doc, at, told = doc.view("<i8").reshape(-1), at.view("<u4").reshape(-1), told.reshape(-1)
+    rows, group = np.arange(len(doc)), np.zeros(len(doc), np.int64)
+    others = doc.copy()
+    for w in words:  # an anchor that tells of many counts as several documents
+        order = np.lexsort((w[rows], group))
+        rows, group = rows[order], group[order]
+        new = _runs(group, w[rows]) if len(rows) else np.empty(0, bool)
+        group, begins = np.cumsum(new) - 1, np.flatnonzero(new)
+        if len(rows):
+            d = others[rows]
+            several = (np.minimum.reduceat(d, begins) < np.maximum.reduceat(d, begins)) | (np.maximum.reduceat(told[rows], begins) > 0)
+            rows, group = rows[several[group]], group[several[group]]
+    hot = (np.bincount(group)[group] >= HOT) | (np.bincount(group, weights=told[rows])[group] > 0) if len(group) else np.empty(0, bool)
+    ask = told[rows] == 0
+    return pa.Table.from_batches([_by_document(doc[rows[ask]], PLACES, at[rows[ask]], hot[ask].astype(np.uint8))])
+
+
+def _contexts(threshold: int, groups: int):
+    """Batches of (doc_id, text, blobs of places) to dealt surroundings: all that a window around an anchor can hold."""
     span = threshold - GRAM + 1
+    right = (span - 1) // 2
+    #: By part, the bytes that it is dealt by: GRAM alone, and for hot ones with those on the right or on the left.
+    keys = {0: (span - 1, span - 1 + GRAM), 1: (span - 1, span - 1 + GRAM + right), 2: (span - 1 - (right + 1), span - 1 + GRAM)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, ats, keys, lefts, rights, found = [], [], [], [], [], []
-            for doc_id, text, blobs in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                text = text or b""
-                both = np.frombuffer(b"".join(blobs), np.dtype([("at", "<u4"), ("a", "<u8")]))
-                at = both["at"].astype(np.int64)
-                data = np.frombuffer(b"\0" * span + text + b"\0" * threshold, np.uint8)
-                at = at[fits := at + GRAM <= len(text)]
-                found.append(np.lib.stride_tricks.sliding_window_view(data, span - 1 + threshold)[at + 1])
-                docs.append(np.full(len(at), doc_id, np.int64))
-                ats.append(at)
-                keys.append(both["a"][fits])
-                lefts.append(np.minimum(at, span - 1))
-                rights.append(np.minimum(len(text) - at, threshold))
-            doc, at, a, left, right = (np.concatenate(x) for x in (docs, ats, keys, lefts, rights))
-            context = np.concatenate(found)
-            digit = (a >> np.uint64(16)) * np.uint64(digits) >> np.uint64(32)
-            order = np.argsort(digit, kind="stable")
-            rows = [], [], []
-            for lo, hi in zip(cuts := np.flatnonzero(_runs(digit[order])), np.append(cuts[1:], len(order)), strict=True):
-                o = order[lo:hi]
-                rows[0].append(int(digit[o[0]]))
-                rows[1].append(len(o))
-                rows[2].append(_planes(a[o], doc[o], at[o].astype(np.uint32), left[o].astype(np.uint8), right[o].astype(np.uint8)) + context[o].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.binary())], ["digit", "n", "data"])
+            docs, texts, text, places = [], [], [], []
+            for doc_id, data, blobs in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                both = np.frombuffer(b"".join(blobs), PLACE)
+                both = both[both["at"].astype(np.int64) + GRAM <= len(data or b"")]
+                docs.append(doc_id)
+                texts.append(data or b"")
+                text.append(np.full(len(both), len(texts) - 1))
+                places.append(both)
+            both, text = np.concatenate(places), np.concatenate(text)
+            gap = b"\0" * (threshold + 8)
+            data = np.frombuffer(gap + gap.join(texts) + gap, np.uint8)
+            size = np.array([len(t) for t in texts], np.int64)
+            begin = len(gap) + np.concatenate([[0], np.cumsum(size + len(gap))[:-1]]).astype(np.int64)
+            out: list[tuple[int, int, bytes]] = []
+            for lo in range(0, len(both), 100_000):
+                of = slice(lo, lo + 100_000)
+                found = Anchors(data, begin, size, text[of], both["at"][of].astype(np.int64), threshold)
+                context, doc, hot = found.context(np.arange(len(found.at))), np.array(docs, np.int64)[text[of]], both["hot"][of] > 0
+                for part, (a, b) in keys.items():
+                    rows = np.flatnonzero(hot if part else ~hot)
+                    if not len(rows):
+                        continue
+                    digit = _group_of([_digit(context, k) for k in _digits(a, b)], rows, groups)
+                    by = np.argsort(digit, kind="stable")
+                    digit, rows = digit[by], rows[by]
+                    for i, j in zip(cuts := np.flatnonzero(_runs(digit)), np.append(cuts[1:], len(rows)), strict=True):
+                        o = rows[i:j]
+                        columns = doc[o], found.at[o].astype(np.uint32), found.left[o].astype(np.uint8), found.right[o].astype(np.uint8), np.full(len(o), part, np.uint8)
+                        out.append((int(digit[i]), len(o), _pack(*columns, context[o])))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], ["digit", "n", "data"])
 
     return run
 
 
 def _last_pass(threshold: int):
-    """All contexts of one digit: the ranges whose windows also lie around the same gram in a smaller document."""
+    """All surroundings of one group: the ranges of windows that a smaller document holds too."""
     span = threshold - GRAM + 1
-    width = span - 1 + threshold
+    width, middle = span - 1 + threshold, span - 1
+    right = (span - 1) // 2
 
     def run(table: pa.Table) -> pa.Table:
-        parts = []
-        for d, n in zip(table.column("data").to_pylist(), table.column("n").to_pylist(), strict=True):
-            parts.append([*_columns(d, n, ("<u8", "<i8", "<u4", "u1", "u1")), np.frombuffer(d, np.uint8, n * width, n * 22).reshape(n, width)])
-        a, doc, at, left, right, context = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts = [_unpack(d, n, (8, 4, 1, 1, 1, width)) for d, n in zip(table.column("data").to_pylist(), table.column("n").to_pylist(), strict=True)]
+        doc, at, left, beyond, part, context = (np.concatenate(x) for x in zip(*parts, strict=True))
         del parts
-        context = np.ascontiguousarray(np.pad(context, ((0, 0), (0, 8))))
-        docs, starts = [], []
-        for j in range(span):
-            fits = np.flatnonzero((span - 1 - j <= left) & (GRAM + j <= right))
-            h = a[fits].copy()
-            for k in (*range(0, threshold - 8, 8), threshold - 8):
-                h ^= _mix(np.ascontiguousarray(context[fits, j + k : j + k + 8]).view("<u8").reshape(-1), 1)
-                h = _mix(h, 2)
-                h ^= h >> np.uint64(29)
-            order = np.lexsort((doc[fits], h))
-            d = doc[fits][order]
-            new = _runs(h[order])
-            repeats = d > d[np.flatnonzero(new)][np.cumsum(new) - 1] if len(d) else np.empty(0, bool)
-            docs.append(d[repeats])
-            starts.append(at[fits][order][repeats].astype(np.int64) - (span - 1) + j)
-        doc, s = np.concatenate(docs), np.concatenate(starts)
-        order = np.lexsort((s, doc))
-        doc, s = doc[order], s[order]
-        new = _runs(doc) if len(doc) else np.empty(0, bool)
-        new[1:] |= s[1:] > s[:-1] + threshold
-        last = np.append(np.flatnonzero(new)[1:], len(s)) - 1 if len(s) else np.empty(0, int)
-        return pa.Table.from_batches([_by_document(doc[new], RANGES, s[new].astype(np.uint32), (s[last] + threshold).astype(np.uint32))])
+        doc, at, left, beyond, part = doc.view("<i8").reshape(-1), at.view("<u4").reshape(-1).astype(np.int64), left.reshape(-1).astype(np.int64), beyond.reshape(-1).astype(np.int64), part.reshape(-1)
+        rows, group = still_equal(context, _digits(middle, middle + GRAM), np.arange(len(doc)), part.astype(np.int64), doc)
+        docs, starts, ends = [], [], []
+        if len(rows):
+            repeats, rest = settle(doc[rows], at[rows], left[rows], beyond[rows], context[rows], group, threshold)
+            r = rows[repeats]
+            docs.append(doc[r])
+            starts.append(at[r] - left[r])
+            ends.append(at[r] + beyond[r])
+            rows, group = rows[rest], group[rest]
+        # Windows at small offsets hold the bytes on the right, the others those on the left: what shares neither leaves.
+        for sides, digits, offsets in (((0, 1), _digits(middle + GRAM - 1, middle + GRAM + right), range(right + 1)), ((0, 2), _digits(middle - right - 1, middle), range(right + 1, span))):
+            side = np.isin(part[rows], sides)
+            near, of = still_equal(context, digits, rows[side], group[side], doc)
+            for offset in offsets:
+                fits = (left[near] >= offset) & (beyond[near] >= threshold - offset)
+                r = _repeats(*still_equal(context, _digits(middle - offset, middle - offset + threshold), near[fits], of[fits], doc), doc)
+                docs.append(doc[r])
+                starts.append(at[r] - offset)
+                ends.append(at[r] - offset + threshold)
+        doc, start, end = _merged(np.concatenate(docs), np.concatenate(starts), np.concatenate(ends))
+        return pa.Table.from_batches([_by_document(doc, RANGES, start, end)])
 
     return run
 
 
 def find_repeats(docs: DataFrame, threshold: int = THRESHOLD, key: str = "doc_id") -> DataFrame:
-    """(doc_id, kind, data): what of each text repeats threshold bytes of a document with a smaller id.
+    """(doc_id, kind, data): byte ranges of each text that repeat threshold bytes of a document with a smaller id.
 
-    Kind POSITIONS: places whose whole surroundings repeat; RANGES: byte ranges. docs has the columns key (long, not
-    null) and text first; others are carried to the join of the last pass, so that it can share its exchange with a
-    join of docs on doc_id that follows.
+    docs has the columns key (long, not null) and text first; others are carried to the join of the last pass, so that
+    it can share its exchange with a join of docs on doc_id that follows.
     """
     rows = docs.select(F.col(key).alias("doc_id"), text_of().alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    digits = int(min(max(LEAST_GROUPS, total // GROUP), 1 << 16))
-    dealt = rows.where(F.octet_length("text") >= threshold).mapInArrow(_first_pass(threshold, digits), DEALT)
-    # What batches settled has digit -1; it is spread by a negative number of its own, as its documents are.
-    dealt = dealt.withColumn("digit", F.when(F.col("digit") < 0, -1 - F.pmod(F.xxhash64("data"), F.lit(digits))).otherwise(F.col("digit")))
+    groups = int(max(LEAST_GROUPS, total // GROUP))
+    dealt = rows.where(F.octet_length("text") >= threshold).mapInArrow(_first_pass(threshold, groups), DEALT)
+    # What batches found has a digit below 0; it is spread by numbers of its own.
+    dealt = dealt.withColumn("digit", F.when(F.col("digit") < 0, -1 - F.pmod(F.xxhash64("data"), F.lit(groups))).otherwise(F.col("digit")))
     found = materialize(dealt.groupBy("digit").applyInArrow(_second_pass, FOUND))
     unclear = found.where(F.col("kind") == PLACES).groupBy(F.col("doc_id").alias(key)).agg(F.collect_list("data").alias("__blobs"))
-    contexts = docs.join(unclear, key).select(key, "text", "__blobs", *docs.columns[2:]).mapInArrow(_contexts(threshold, digits), DEALT)
-    return found.where(F.col("kind") != PLACES).unionByName(contexts.groupBy("digit").applyInArrow(_last_pass(threshold), FOUND))
+    contexts = docs.join(unclear, key).select(key, "text", "__blobs", *docs.columns[2:]).mapInArrow(_contexts(threshold, groups), DEALT)
+    return found.where(F.col("kind") == RANGES).unionByName(contexts.groupBy("digit").applyInArrow(_last_pass(threshold), FOUND))
 
 
-def covered(found: list[dict], size: int, threshold: int = THRESHOLD) -> np.ndarray:
+def covered(found: list[dict], size: int) -> np.ndarray:
     """Begin and end of the maximal removed runs of a text of size bytes, as rows of an array."""
-    span = threshold - GRAM + 1
-    parts = []
-    for x in found:
-        v = np.frombuffer(x["data"], "<u4").astype(np.int64)
-        parts.append(np.stack([np.maximum(v - (span - 1), 0), v + threshold], 1) if x["kind"] == POSITIONS else v.reshape(-1, 2))
-    if not parts:
+    if not found:
         return np.empty((0, 2), np.int64)
-    both = np.minimum(np.concatenate(parts), size)
+    both = np.minimum(np.frombuffer(b"".join(x["data"] for x in found), "<u4").astype(np.int64).reshape(-1, 2), size)
     both = both[np.argsort(both[:, 0], kind="stable")]
     reach = np.maximum.accumulate(both[:, 1])
     new = np.append(True, both[1:, 0] > reach[:-1])
@@ -340,7 +429,8 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, with_text: bool
     its sake. Rows with one doc_id are one document: equal texts lose the same bytes; of different texts under one id
     each also loses, as far as it reaches, what is found in the others. Equal texts under different ids: all but the
     smallest id's are removed wholly, if they have threshold bytes. A cut inside a character drops that character's
-    rest from the returned text. Empty input: empty result.
+    rest from the returned text. A text of any length is worked on whole, at some fifty bytes of memory for each of
+    its bytes. Other columns are kept or ignored, whatever their names. Empty input: empty result.
     """
     arrow_batches(docs.sparkSession, 500)
     names = docs.columns if with_text else ["doc_id"]
@@ -358,7 +448,7 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, with_text: bool
             sizes, removed, spans, digests, texts = [], [], [], [], []
             for text, found in zip(batch.column(at).cast(pa.binary()).to_pylist(), batch.column(at + 1).to_pylist(), strict=True):
                 data = text or b""
-                runs = covered(found or [], len(data), threshold)
+                runs = covered(found or [], len(data))
                 runs = runs[runs[:, 1] > runs[:, 0]]
                 cuts = [0, *runs.ravel().tolist(), len(data)]
                 kept = b"".join(data[cuts[i] : cuts[i + 1]] for i in range(0, len(cuts), 2)) if len(runs) else data
