@@ -24,9 +24,15 @@ def text_of(name: str = "text") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests, one machine) a new temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset and everything runs on one machine (tests), it is set to a new temporary folder; on a cluster
+    that would be a folder which the others cannot see, so there it has to be set.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -39,6 +45,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Delete the files of a materialized table that no plan reads any more."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        if folder.getName().startswith("table-"):
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def is_training(doc_id: str = "doc_id") -> Column:
     """True where crc32(doc_id as text) mod 4 is not 2; a null id is held out of training as well."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 != 2, F.lit(False))

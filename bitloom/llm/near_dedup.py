@@ -1,9 +1,12 @@
 """Near-duplicate classes: improved consistent weighted sampling over TF-IDF shingles, banded and verified.
 
-A text's shingles are its runs of five words (lower case, without ASCII white space), weighted by (1 + ln tf) * idf.
-idf comes from document counts of hashed shingles over the whole corpus, kept in a table of fixed size, and is damped
-(1 + DAMPING * ln(N / df) / ln N): otherwise the few shingles that a copy has for itself would outweigh what thousands
-of copies share. HASHES consistent weighted samples make BANDS bands; texts with an equal band are candidates.
+A text's shingles are its runs of five words (lower case, without ASCII white space), weighted by (1 + ln tf) * idf
+with idf = 1 + ln((1 + N) / (1 + df)). N and df count distinct texts: a text that was copied a thousand times is no
+evidence that its shingles are common ones. df is read from hashed counters of a fixed size (a count-min table of two
+rows, less what other shingles add on average), so that what is broadcast does not grow; on large corpora the counts
+of rare shingles are therefore uncertain by the table's noise, the same for every text that holds them.
+
+HASHES consistent weighted samples make BANDS bands; texts with an equal band are candidates.
 
 Equal texts are one node. In a bucket, every node is paired with up to four representatives only; pairs of bands make finer
 buckets with a representative of their own, so that a large bucket yields many different partners and still no more
@@ -20,6 +23,7 @@ from that shingle on, are all candidates (prefix filter), and those that could b
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +31,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, materialize, text_of
+from .common import arrow_batches, materialize, release, text_of
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 8, 3
 HASHES = BANDS * ROWS
-DAMPING = 0.1
-#: Document counts are kept in so many hashed counters (2**DF_BITS).
-DF_BITS = 18
+#: Document counts are kept in two rows of so many hashed counters (2**DF_BITS).
+DF_BITS = 21
+#: Parts that the counters are summed up in.
+DF_PARTS = 64
 #: Candidates whose samples agree less often than this differ far too much (0.8 less four deviations).
 LEAST_AGREEING = 11
 #: Texts with a rare shingle in common are compared in parts of about this many against all.
@@ -86,38 +91,57 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return owner[at], h[at], np.diff(np.append(at, len(h)))
 
 
-def document_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Hashed document counts of all shingles (an array of fixed size) and the number of documents."""
+def _counters(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The counter of each shingle in either row."""
+    return (h >> np.uint64(64 - DF_BITS)).astype(np.int64), ((h * _K[3]) >> np.uint64(64 - DF_BITS)).astype(np.int64)
+
+
+def document_counts(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """Hashed counts (two rows of a fixed size) of the rows of texts (text) that hold each shingle, and how many rows there are."""
+    size = 2 << DF_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(1 << DF_BITS, np.int64), 0
+        total, n = np.zeros((2, 1 << DF_BITS), np.int32), 0
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            n += len(texts)
-            _, h, _ = shingles(texts)
-            total += np.bincount((h >> np.uint64(64 - DF_BITS)).astype(np.int64), minlength=1 << DF_BITS)
-        parts = total.reshape(64, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([p.astype("<i8").tobytes() for p in parts], pa.binary()), pa.array([n] * 64, pa.int64())], ["part", "counts", "n"])
+            n += batch.num_rows
+            _, h, _ = shingles(batch.column(0).to_pylist())
+            for row, at in zip(total, _counters(h), strict=True):
+                row += np.bincount(at, minlength=1 << DF_BITS).astype(np.int32)
+        parts = [pa.compress(p.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True) for p in total.reshape(DF_PARTS, -1)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(DF_PARTS), pa.int32()), pa.array(parts, pa.binary()), pa.array([n] * DF_PARTS, pa.int64())], ["part", "counts", "n"])
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, "<i8") for x in table.column("counts").to_pylist())
+        total = np.zeros(size // DF_PARTS, np.int64)
+        for x in table.column("counts").to_pylist():
+            planes = np.frombuffer(pa.decompress(x, decompressed_size=4 * len(total), codec="zstd", asbytes=True), np.uint8)
+            total += np.ascontiguousarray(planes.reshape(4, -1).T).view("<i4").reshape(-1)
         return pa.table({"part": table.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary()), "n": pa.array([sum(table.column("n").to_pylist())], pa.int64())})
 
     schema = "part int, counts binary, n long"
-    rows = docs.select(text_of()).mapInArrow(count, schema).groupBy("part").applyInArrow(add, schema).orderBy("part").collect()
+    rows = texts.select("text").mapInArrow(count, schema).groupBy("part").applyInArrow(add, schema).orderBy("part").collect()
     if not rows:
-        return np.zeros(1 << DF_BITS, np.int64), 0
-    return np.concatenate([np.frombuffer(r["counts"], "<i8") for r in rows]), rows[0]["n"]
+        return np.zeros((2, 1 << DF_BITS), np.int64), 0
+    return np.concatenate([np.frombuffer(r["counts"], "<i8") for r in rows]).reshape(2, -1), rows[0]["n"]
+
+
+@dataclass(frozen=True)
+class Idf:
+    """1 + ln((1 + n) / (1 + df)) of shingles; df is the smaller of two counters, less the average counter of its row."""
+
+    df: np.ndarray
+    n: int
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        a, b = _counters(h)
+        return 1 + np.log((1 + self.n) / (1 + np.minimum(self.df[0][a], self.df[1][b])))
 
 
-def idf_table(counts: np.ndarray, n: int) -> np.ndarray:
-    """idf of each counter: what other shingles add to a counter on average is taken off its count first."""
-    df = np.clip(counts - (counts.mean() if len(counts) else 0), 1, max(n, 1))
-    return (1 + DAMPING * np.log(max(n, 1) / df) / np.log(max(n, 3))).astype(np.float32)
+def idf_table(counts: np.ndarray, n: int) -> Idf:
+    return Idf(np.clip(np.rint(counts - counts.mean(axis=1, keepdims=True)), 1, max(n, 1)).astype(np.float32), n)
 
 
-def weights(h: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return (1 + np.log(tf)).astype(np.float32) * idf[(h >> np.uint64(64 - DF_BITS)).astype(np.int64)]
+def weights(h: np.ndarray, tf: np.ndarray, idf: Idf) -> np.ndarray:
+    return ((1 + np.log(tf)) * idf(h)).astype(np.float32)
 
 
 def _random_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -198,20 +222,38 @@ def _similar(shared, similarity: float):
     return run
 
 
+#: A key that very many rows look up is looked up by so many groups of them at most.
+SALTS = 256
+
+
+def _look_up(rows: DataFrame, key: str, table: DataFrame, column: str) -> DataFrame:
+    """rows, which have a column node, with the value of column (null: none) that table (node, column) has for key.
+
+    Rows are dealt out by key and a salt from their node, so that a key which a third of all rows look up does not
+    meet in one task; each pair of key and salt fetches the value once.
+    """
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    slots = salted.select(F.col(key).alias("slot_key"), F.col("salt").alias("slot_salt")).distinct()
+    values = slots.join(table.select(F.col("node").alias("slot_key"), F.col(column).alias("found")), "slot_key")
+    return salted.join(values, (F.col(key) == F.col("slot_key")) & (F.col("salt") == F.col("slot_salt")), "left").drop("salt", "slot_key", "slot_salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node of each node's component, by min-label steps with pointer jumping.
 
-    edges has long columns a and b. The state of every step is written to the shared folder.
+    edges has long columns a and b. The state of every step is written to the shared folder, and that of the step
+    before deleted. A component of any size is spread over many tasks: minima combine, and look-ups are salted.
     """
-    both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
+    both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct().withColumnRenamed("a", "node"))
+    labels = materialize(both.groupBy("node").agg(F.least(F.col("node"), F.min("b")).alias("label")))
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels["node"] == near["a"], "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("new"))
-        jump = step.select(F.col("node").alias("at"), F.col("new").alias("jumped"))
-        step = step.join(jump, step["new"] == jump["at"], "left").select("node", "label", F.least("new", F.coalesce("jumped", "new")).alias("new"))
+        near = _look_up(both, "b", labels, "label").groupBy("node").agg(F.min("found").alias("near"))
+        step = labels.join(near, "node", "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("new"))
+        step = _look_up(step, "new", labels, "label").select("node", "label", F.least("new", F.coalesce("found", "new")).alias("new"))
         step = materialize(step)
+        release(labels)
         if step.where("label != new").isEmpty():
+            release(both)
             return step.select("node", F.col("new").alias("label"))
         labels = step.select("node", F.col("new").alias("label"))
 
@@ -235,7 +277,7 @@ def _rarest(shared, similarity: float):
         for batch in batches:
             owner, h, tf = shingles(batch.column(2).to_pylist())
             w = weights(h, tf, shared.value).astype(float)
-            order = np.lexsort((h, -shared.value[(h >> np.uint64(64 - DF_BITS)).astype(np.int64)], owner))
+            order = np.lexsort((h, -shared.value(h), owner))
             h, w = h[order], w[order]
             total = np.bincount(owner, weights=w, minlength=batch.num_rows)[owner]
             sums = np.cumsum(w) - w
@@ -266,16 +308,21 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
 
     A class is a connected component of links: equal texts, and texts whose weighted Jaccard similarity is at least
     similarity. Texts without a word (null counts as empty) are linked to equal texts only. A null doc_id: class_id is
-    that of the equal texts with an id, else null. Repeated rows share a class. Empty input: empty result.
+    that of the equal texts with an id, else null. Repeated rows share a class; of different texts under one id, one
+    (the least by its digest) stands for it. Texts of any length are one row of a batch, at some hundred bytes of
+    memory for each of their words. Other columns are ignored, whatever their names. Empty input: empty result.
     """
     spark = docs.sparkSession
     arrow_batches(spark, 300)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    shared = spark.sparkContext.broadcast(idf_table(*document_counts(rows)))
     digests = rows.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
     nodes = materialize(digests.groupBy("digest").agg(F.min("doc_id").alias("node")))
-    signed = rows.where("doc_id is not null").select("doc_id", "text").mapInArrow(_signatures(shared), "node long, sig binary, bands array<bigint>")
-    sigs = materialize(signed.join(nodes.select("node").where("node is not null"), "node", "left_semi").dropDuplicates(["node"]))
+    # One row for each distinct text; texts are merged with ids of no proven bound, so that the ids are broadcast at no size.
+    heads = nodes.where("node is not null").select("node").distinct()
+    whole = rows.withColumnRenamed("doc_id", "node").join(heads.hint("merge"), "node", "left_semi").groupBy("node").agg(F.min_by("text", F.md5(F.col("text").cast("binary"))).alias("text"))
+    whole = materialize(whole)
+    shared = spark.sparkContext.broadcast(idf_table(*document_counts(whole)))
+    sigs = materialize(whole.select("node", "text").mapInArrow(_signatures(shared), "node long, sig binary, bands array<bigint>"))
     key = lambda *parts: F.xxhash64(*parts)
     coarse = sigs.select("node", F.posexplode("bands").alias("i", "band")).select("node", key("i", "band").alias("key"))
     stars = materialize(_stars(coarse, 4).distinct())
@@ -290,9 +337,8 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY) -> D
     a, b = (sigs.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
     alike = lambda these: _agreeing(these.join(a, "a").join(b, "b")).where(F.col("agree") >= LEAST_AGREEING).select("a", "b", "agree")
     pairs = materialize(alike(pairs))
-    ends = members.select(F.col("node").alias("doc_id"))
-    # Texts are merged with ids of no proven bound, at every size, so that the ids are broadcast at none.
-    texts = materialize(rows.join(ends.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("node"), "text"))
+    texts = materialize(whole.join(members.hint("merge"), "node", "left_semi"))
+    release(whole)
 
     def verified(these: DataFrame) -> DataFrame:
         ta, tb = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")).hint("merge") for x in "ab")

@@ -5,7 +5,8 @@ from __future__ import annotations
 #: Every 50-byte string of a text with its place; those that a smaller document holds; runs of them; what lies between.
 OP10_SUFFIX_DEDUP = """
 with texts as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
-strings as (select doc_id, s, substr(h, 2 * s + 1, 100) as g from (select doc_id, h, unnest(range(0, greatest(0, length(h) // 2 - 49))) as s from texts)),
+chunks as (select doc_id, k, substr(h, 2000 * k + 1, 2098) as h from (select doc_id, h, unnest(range(0, length(h) // 2000 + 1)) as k from texts)),
+strings as (select doc_id, 1000 * k + s as s, substr(h, 2 * s + 1, 100) as g from (select doc_id, k, h, unnest(range(0, least(1000, length(h) // 2 - 49))) as s from chunks)),
 firsts as (select g, min(doc_id) as f from strings group by g),
 repeats as (select doc_id, s from strings join firsts using (g) where doc_id > f),
 marked as (select doc_id, s, case when s <= lag(s) over (partition by doc_id order by s) + 50 then 0 else 1 end as opens from repeats),
@@ -25,4 +26,25 @@ select t.doc_id, cast(length(h) // 2 as bigint) as n_bytes, cast(coalesce(n_remo
 from texts t left join counts c on t.doc_id = c.doc_id left join kept k on t.doc_id = k.doc_id
 """
 
-ORACLES: dict[str, str] = {"op10_suffix_dedup": OP10_SUFFIX_DEDUP}
+#: All links: distinct texts of a weighted Jaccard similarity of 0.8 or more over their TF-IDF shingles.
+NEAR_LINKS = """
+texts as (select coalesce(text, '') as text, min(doc_id) as node from documents group by coalesce(text, '')),
+words as (select node, list_filter(string_split_regex(lower(text), '[\\x09-\\x0D ]+'), lambda x: x <> '') as w from texts),
+cut as (select node, unnest(case when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as g from words where len(w) > 0),
+tf as (select node, g, count(*) as n from cut group by node, g),
+df as (select g, count(*) as d from tf group by g),
+weighted as (select node, g, (1 + ln(n)) * (1 + ln((1.0 + (select count(*) from texts)) / (1 + d))) as w from tf join df using (g)),
+totals as (select node, sum(w) as t from weighted group by node),
+commons as (select a.node as a, b.node as b, sum(least(a.w, b.w)) as c from weighted a join weighted b on a.g = b.g and a.node > b.node group by a.node, b.node),
+links as (select a, b from commons join totals x on x.node = a join totals y on y.node = b where c >= 0.8 * (x.t + y.t - c) - 1e-9)
+"""
+#: Components of all links, and what holds for equal texts.
+OP7_NEAR_DEDUP = f"""
+with recursive {NEAR_LINKS},
+ways as (select a, b from links union select b, a from links),
+reach(a, b) as (select a, a from ways union select r.a, w.b from reach r join ways w on r.b = w.a),
+classes as (select a, min(b) as class_id from reach group by a)
+select d.doc_id, coalesce(class_id, node) as class_id from documents d join texts t on coalesce(d.text, '') = t.text left join classes on a = node
+"""
+
+ORACLES: dict[str, str] = {"op7_near_dedup": OP7_NEAR_DEDUP, "op10_suffix_dedup": OP10_SUFFIX_DEDUP}

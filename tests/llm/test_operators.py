@@ -1,6 +1,7 @@
 """Each operator against brute force on small tables, with nulls, empty and long texts, ties and clashing columns."""
 
 import hashlib
+import math
 import random
 import zlib
 
@@ -241,12 +242,14 @@ def test_near_duplicates_with_a_common_template(spark):
     own = lambda key, n: " ".join(f"{key}x{i}" for i in range(n))
     rows = [(i, f"{template} {own(f's{i}', 46)}") for i in range(300)]
     for i in range(60):
-        rows += [(1000 + 2 * i + j, f"{template} {own(f'p{i}', 24)} {own(f'q{i}{j}', 22)}") for j in (0, 1)]
+        rows += [(1000 + 2 * i + j, f"{template} {own(f'p{i}', 90)} {own(f'q{i}{j}', 8)}") for j in (0, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    idf = near_dedup.idf_table(*near_dedup.document_counts(docs))
     owner, h, tf = near_dedup.shingles([t for _, t in rows])
-    weight = near_dedup.weights(h, tf, idf)
-    bags = [dict(zip(h[owner == i].tolist(), weight[owner == i].tolist())) for i in range(len(rows))]
+    df = dict(zip(*np.unique(h, return_counts=True)))
+    exact = [1 + math.log((1 + len(rows)) / (1 + df[x])) for x in h]
+    idf = near_dedup.idf_table(*near_dedup.document_counts(docs))
+    assert np.isclose(idf(h), exact).mean() > 0.99
+    bags = [dict(zip(h[owner == i].tolist(), ((1 + np.log(tf)) * exact)[owner == i].tolist())) for i in range(len(rows))]
 
     def similarity(a, b):
         common = sum(min(w, b[x]) for x, w in a.items() if x in b)
@@ -263,7 +266,7 @@ def test_consistent_sampling_estimates_similarity():
     a = prose(7, 400).split()
     b = a[:300] + prose(8, 100).split()
     owner, h, tf = near_dedup.shingles([" ".join(a), " ".join(b)])
-    weight = near_dedup.weights(h, tf, np.ones(1 << near_dedup.DF_BITS, np.float32))
+    weight = near_dedup.weights(h, tf, lambda h: np.ones(len(h)))
     sides = [dict(zip(h[owner == k].tolist(), weight[owner == k].tolist())) for k in (0, 1)]
     common = sum(min(v, sides[1].get(x, 0)) for x, v in sides[0].items())
     exact = common / (sum(map(lambda s: sum(s.values()), sides)) - common)
@@ -275,6 +278,36 @@ def test_components(spark):
     edges = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (9, 8), (12, 2), (7, 7)], "a long, b long")
     got = dict(map(tuple, near_dedup.components(edges).collect()))
     assert got == {2: 2, 3: 2, 4: 2, 5: 2, 12: 2, 8: 8, 9: 8}
+    star = spark.range(1, 3000).selectExpr("id as a", "if(id % 2 = 0, 0, id - 1) as b")
+    assert {r["label"] for r in near_dedup.components(star).collect()} == {0}
+    assert near_dedup.components(edges.limit(0)).count() == 0
+
+
+def test_suffix_dedup_splits_hot_anchors(spark, monkeypatch):
+    """A passage that many documents hold between differing neighbours, in several batches and groups."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 5)
+    monkeypatch.setattr(suffix_dedup, "HOT_IN_BATCH", 3)
+    monkeypatch.setattr(suffix_dedup, "BATCH", 900)
+    r = random.Random(9)
+    word = lambda n: "".join(r.choice("abcdef ") for _ in range(n))
+    common, tails = word(44), [word(30) for _ in range(3)]
+    rows = [(i, word(40) + r.choice(tails)[: r.randint(0, 30)] + common + r.choice(tails)[: r.randint(0, 30)] + word(20)) for i in range(70)]
+    got = by_id(suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    want = brute_repeats(rows)
+    assert got == want and 10 < sum(n > 0 for _, n, _, _ in want.values()) < 70
+
+
+def test_a_very_long_text(spark):
+    """One text of a million bytes beside a short one that it repeats."""
+    r = random.Random(4)
+    long = " ".join(r.choice(WORDS) + str(r.randint(0, 10**6)) for _ in range(90_000))
+    docs = spark.createDataFrame([(1, long[500_000:500_200]), (2, long), (3, long + " end")], "doc_id long, text string")
+    got = by_id(suffix_dedup.remove_repeats(docs), "n_removed", "n_spans")
+    assert got == {1: (0, 0), 2: (200, 1), 3: (len(long), 1)} or got[3][0] >= len(long)
+    near = by_id(near_dedup.near_duplicate_classes(docs), "class_id")
+    assert near == {1: (1,), 2: (2,), 3: (2,)}
+    quick = by_id(fingerprints.fingerprint_documents(docs.where("doc_id = 1")), "near_next")
+    assert quick == {1: (1.0,)}
 
 
 def test_sharding(spark, docs, toy, empty):
