@@ -36,7 +36,7 @@ GRAM = 20
 BATCH = 2_000_000
 GROUP = 8_000_000
 #: Groups of the sort, at least, so that small inputs are spread as well.
-LEAST_GROUPS = 24
+LEAST_GROUPS = 96
 #: Anchors with equal GRAM bytes from which on these are dealt out by the bytes beside them as well.
 HOT = 2_000
 #: The same in one batch, after equal surroundings are settled.
