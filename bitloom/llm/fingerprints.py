@@ -1,10 +1,12 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, in Spark's own functions.
 
-A text's parts (its paragraphs, and finer, the sentences of the first one and the first four words) are
-hashed; each digest is added to three of CELLS cells, which keep a count, the xor of the digests and the xor of their
-checks. Two texts' sketches subtract cell by cell; what they share cancels. Peeling takes digests from cells that hold
-one alone, until none is left: these are the parts that the texts do not share. If peeling gets stuck, both sketches
-are made again four times as large.
+A text's parts are its paragraphs; one of more than LONG characters counts as its sentences, cut also after words of
+twelve letters or more, so that a paragraph without marks has parts as well. Where a cut lies depends on the text
+beside it alone, so every place of a text weighs alike and an edit changes only the parts that it touches. Each part's
+digest is added to three of CELLS cells, which keep a count, the xor of the digests and the xor of their checks. Two
+texts' sketches subtract cell by cell; what they share cancels. Peeling takes digests from cells that hold one alone,
+until none is left: these are the digests of the parts that the texts do not share. If peeling gets stuck, both
+sketches are made again four times as large.
 
 Cells are kept sparse, as a sorted array of those that are not empty.
 """
@@ -17,50 +19,54 @@ from pyspark.sql import functions as F
 
 from .common import text_of
 
-CELLS = 96
+CELLS = 144
+#: Paragraphs of more characters are cut into sentences.
+LONG = 200
 HASHES = 3
-#: Sizes are CELLS * 4**0 .. 4**(SIZES - 1).
-SIZES = 10
-ROUNDS = 24
-CELL = "struct<pos:bigint,c:bigint,k:bigint,h:bigint>"
+#: Sizes are CELLS * 4**0 .. 4**(SIZES - 1); a third of the largest is below 2**20, as a digest has 20 bits for each.
+SIZES = 8
+ROUNDS = 32
+PIECE = r"([.!?]|[^ \n]{12}) +"
 
 
 def part_digests(text: Column) -> Column:
-    """Distinct 64-bit digests of a text's parts, sorted; none for an empty text."""
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.trim(x) != "")
-    head = F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
-    sentences = F.filter(F.split(head, r"(?<=[.!?]) +"), lambda x: F.trim(x) != "")
-    words = F.slice(F.filter(F.split(F.coalesce(F.get(sentences, F.lit(0)), F.lit("")), " "), lambda x: x != ""), 1, 4)
-    both = F.concat(
-        F.transform(lines, lambda x: F.xxhash64(F.lit(0), x)),
-        F.transform(sentences, lambda x: F.xxhash64(F.lit(1), x)),
-        F.transform(words, lambda x, i: F.xxhash64(F.lit(2), i, x)),
-    )
-    return F.sort_array(F.array_distinct(both))
+    """Distinct 60-bit digests of a text's parts, sorted; none for an empty text."""
+    pieces = lambda x: F.when(F.length(x) > LONG, F.split(F.regexp_replace(x, PIECE, "$1\n"), "\n", -1)).otherwise(F.array(x))
+    parts = F.filter(F.flatten(F.transform(F.split(text, "\n", -1), pieces)), lambda x: F.trim(x) != "")
+    return F.sort_array(F.array_distinct(F.transform(parts, lambda x: F.conv(F.substring(F.md5(x.cast("binary")), 1, 15), 16, 10).cast("long"))))
+
+
+def check_of(digest: Column) -> Column:
+    return F.xxhash64(digest, F.lit("check"))
 
 
-def _cells_of(k: Column, count: Column, size: Column) -> Column:
-    """The cells that a digest is added to (count 1) or taken from (-1): one in each third of the sketch."""
+def _cells_of(k: Column, h: Column, count: Column, size: Column) -> Column:
+    """The cells that a digest is added to (count 1) or taken from (-1): one in each third of the sketch, by 20 of its bits."""
     third = F.floor(size / HASHES)
-    return F.array(*[F.struct((F.pmod(F.xxhash64(k, F.lit(j), size), third) + j * third).cast("long").alias("pos"), count.cast("long").alias("c"), k.alias("k"), F.xxhash64(k, F.lit("check")).alias("h")) for j in range(HASHES)])
+    return F.array(*[F.struct((F.pmod(F.shiftright(k, 20 * j), third) + j * third).cast("long").alias("pos"), count.cast("long").alias("c"), k.alias("k"), h.alias("h")) for j in range(HASHES)])
 
 
 def _entries(digests: Column, size: Column, count: int) -> Column:
-    return F.flatten(F.transform(digests, lambda d: _cells_of(d, F.lit(count), size)))
+    checked = F.transform(digests, lambda d: F.struct(d.alias("k"), check_of(d).alias("h")))
+    return F.flatten(F.transform(checked, lambda d: _cells_of(d["k"], d["h"], F.lit(count), size)))
+
+
+def _with(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def _merge(entries: Column) -> Column:
-    """Entries of one cell added up; cells that come to nothing leave."""
-    none = F.array().cast(f"array<{CELL}>")
-    start = F.struct(none.alias("out"), F.struct(F.lit(-1).cast("long").alias("pos"), *[F.lit(0).cast("long").alias(x) for x in "ckh"]).alias("cur"))
-    closed = lambda a: F.when((a["cur"]["c"] == 0) & (a["cur"]["k"] == 0) & (a["cur"]["h"] == 0), a["out"]).otherwise(F.concat(a["out"], F.array(a["cur"])))
+    """Entries of one cell added up; cells that come to nothing leave. Linear after the sort: runs are cut out and added."""
+    none = F.struct(*[F.lit(0).cast("long").alias(x) for x in ("pos", "c", "k", "h")])
+    add = lambda a, e: F.struct(e["pos"].alias("pos"), (a["c"] + e["c"]).alias("c"), a["k"].bitwiseXOR(e["k"]).alias("k"), a["h"].bitwiseXOR(e["h"]).alias("h"))
 
-    def step(a: Column, e: Column) -> Column:
-        same = a["cur"]["pos"] == e["pos"]
-        added = F.struct(e["pos"].alias("pos"), (a["cur"]["c"] + e["c"]).alias("c"), a["cur"]["k"].bitwiseXOR(e["k"]).alias("k"), a["cur"]["h"].bitwiseXOR(e["h"]).alias("h"))
-        return F.struct(F.when(same, a["out"]).otherwise(closed(a)).alias("out"), F.when(same, added).otherwise(e).alias("cur"))
+    def of(s: Column) -> Column:
+        starts = F.filter(F.transform(s, lambda e, i: F.when((i == 0) | (F.get(s, i - 1)["pos"] != e["pos"]), i)), lambda i: i.isNotNull())
+        cells = lambda b: F.transform(b, lambda at, i: F.aggregate(F.slice(s, at + 1, F.coalesce(F.get(b, i + 1), F.size(s)) - at), none, add))
+        return F.filter(_with(starts, cells), lambda x: (x["c"] != 0) | (x["k"] != 0) | (x["h"] != 0))
 
-    return F.aggregate(F.sort_array(entries), start, step, closed)
+    return _with(F.sort_array(entries), of)
 
 
 def sketch(digests: Column, size: Column) -> Column:
@@ -73,21 +79,16 @@ def subtract(a: Column, b: Column) -> Column:
     return _merge(F.concat(a, F.transform(b, lambda x: F.struct(x["pos"].alias("pos"), (-x["c"]).alias("c"), x["k"].alias("k"), x["h"].alias("h")))))
 
 
-def _with(value: Column, use) -> Column:
-    """use(value), with value computed once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def peel(cells: Column, size: Column) -> Column:
-    """struct(left, found): how many cells are left (0: all was recovered) and how many digests were recovered."""
-    start = F.struct(cells.alias("cells"), F.lit(0).alias("found"), F.lit(True).alias("going"))
+    """struct(left, found): how many cells are left (0: all was recovered), and the digests k with c: 1 of the first text, -1 of the second."""
+    start = F.struct(cells.alias("cells"), F.array().cast("array<struct<k:bigint,c:bigint>>").alias("found"), F.lit(True).alias("going"))
 
     def round_(s: Column, _: Column) -> Column:
-        alone = F.filter(s["cells"], lambda x: (F.abs(x["c"]) == 1) & (x["h"] == F.xxhash64(x["k"], F.lit("check"))))
-        digests = F.array_distinct(F.transform(alone, lambda x: F.struct(x["k"].alias("k"), x["c"].alias("c"))))
+        alone = F.filter(s["cells"], lambda x: (F.abs(x["c"]) == 1) & (x["h"] == check_of(x["k"])))
+        digests = F.array_distinct(F.transform(alone, lambda x: F.struct(x["k"].alias("k"), x["c"].alias("c"), x["h"].alias("h"))))
         taken = lambda d: F.struct(
-            F.when(F.size(d) == 0, s["cells"]).otherwise(_merge(F.concat(s["cells"], F.flatten(F.transform(d, lambda x: _cells_of(x["k"], -x["c"], size)))))).alias("cells"),
-            (s["found"] + F.size(d)).alias("found"),
+            F.when(F.size(d) == 0, s["cells"]).otherwise(_merge(F.concat(s["cells"], F.flatten(F.transform(d, lambda x: _cells_of(x["k"], x["h"], -x["c"], size)))))).alias("cells"),
+            F.concat(s["found"], F.transform(d, lambda x: F.struct(x["k"].alias("k"), x["c"].alias("c")))).alias("found"),
             (F.size(d) > 0).alias("going"),
         )
         return F.when(~s["going"], s).otherwise(_with(digests, taken))
@@ -95,34 +96,44 @@ def peel(cells: Column, size: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, round_, lambda s: F.struct(F.size(s["cells"]).alias("left"), s["found"].alias("found")))
 
 
-def likeness(ours: Column, theirs: Column, base_ours: Column, base_theirs: Column) -> Column:
-    """Shared parts over all parts of two texts, from their digests and their sketches of CELLS cells.
+def differing(ours: Column, theirs: Column, base_ours: Column, base_theirs: Column) -> Column:
+    """array(struct(k, c)): the digests that one text has alone (c 1: the first, -1: the second), recovered from sketches.
 
-    The difference comes from peeling the sketches; they are made larger until peeling succeeds. Two texts without
-    parts are alike (1). Should no size succeed, which needs colliding digests, the digests are compared themselves.
+    base_ours and base_theirs are the sketches of CELLS cells; larger ones are made from the digests until peeling
+    succeeds. Null should no size succeed, which needs colliding digests.
     """
-    start = F.struct(F.lit(False).alias("done"), F.lit(0).alias("found"))
+    start = F.struct(F.lit(False).alias("done"), F.array().cast("array<struct<k:bigint,c:bigint>>").alias("found"))
     sizes = F.array(*[F.lit(CELLS * 4**i).cast("long") for i in range(SIZES)])
 
     def attempt(s: Column, size: Column) -> Column:
         cells = F.when(size == CELLS, subtract(base_ours, base_theirs)).otherwise(_merge(F.concat(_entries(ours, size, 1), _entries(theirs, size, -1))))
         return F.when(s["done"], s).otherwise(_with(peel(cells, size), lambda x: F.struct((x["left"] == 0).alias("done"), x["found"].alias("found"))))
 
+    return F.aggregate(sizes, start, attempt, lambda s: F.when(s["done"], s["found"]))
+
+
+def likeness(ours: Column, theirs: Column, base_ours: Column, base_theirs: Column) -> Column:
+    """Shared parts over all parts of two texts: what they do not share comes from their sketches.
+
+    Two texts without parts are alike (1). Should no sketch succeed, the digests are compared themselves.
+    """
     both = F.size(ours) + F.size(theirs)
-    differ = F.aggregate(sizes, start, attempt, lambda s: F.when(s["done"], s["found"]).otherwise(both - 2 * F.size(F.array_intersect(ours, theirs))))
+    differ = F.coalesce(_with(differing(ours, theirs, base_ours, base_theirs), lambda d: F.when(d.isNotNull(), F.size(d))), both - 2 * F.size(F.array_intersect(ours, theirs)))
     return _with(differ, lambda d: F.when(both == 0, F.lit(1.0)).otherwise((both - d) / (both + d))).cast("double")
 
 
 def render(cells: Column) -> Column:
-    """A sketch as text: place, count, digests and checks of each cell that is not empty, in hexadecimal."""
-    return F.array_join(F.transform(cells, lambda x: F.concat_ws(".", F.hex(x["pos"]), x["c"].cast("string"), F.hex(x["k"]), F.hex(x["h"]))), " ")
+    """A sketch as text: place, count and digests of each cell that is not empty, in hexadecimal (checks follow from the digests)."""
+    return F.array_join(F.transform(cells, lambda x: F.concat_ws(".", F.hex(x["pos"]), x["c"].cast("string"), F.hex(x["k"]))), " ")
 
 
 def with_next_text(docs: DataFrame, per_bucket: int = 2000, most_buckets: int = 4096) -> DataFrame:
     """docs (doc_id, text) with next_text: the text of the next document by descending doc_id; after the last, the first.
 
     Null ids come last; ties follow the text. Ranges of ids with about per_bucket rows each (bounds from approximate
-    percentiles) are ordered by themselves; what follows a range is looked up in a table of one row for each range.
+    percentiles; from per_bucket * most_buckets rows on, ranges grow and their sort spills) are ordered by themselves;
+    what follows a range is looked up in a table of one row for each range, so of most_buckets + 1 rows at most, which
+    is what the window without partitions and the broadcast hold.
     """
     n = docs.count()
     buckets = max(1, min(most_buckets, n // per_bucket))
