@@ -1,10 +1,12 @@
-"""Quality rules with risk-controlled cutoffs.
-
-Each rule compares a ratio with a cutoff. The cutoffs are chosen on labelled rows so that, in each stratum, the share
-of good documents that a rule rejects is below a stated rate with stated confidence: a cutoff qualifies only if the
-exact binomial tail says that so few rejections would be improbable at that rate, and the confidence is divided by
-the number of (stratum, rule, cutoff) tests. The strictest cutoff that qualifies is used; where none does, the rule
-rejects nothing in that stratum.
+"""Quality rules with risk-controlled thresholds.
+
+Each rule compares a ratio with a cutoff. The rules' cutoffs lie on a common ladder, from lenient to strict, and a
+stratum's cutoffs are one step of it. A step qualifies if the exact binomial tail says that rejecting so few of the
+good documents among the labelled ones would be improbable if all rules together rejected more than a stated rate.
+Steps are tested in fixed order, from lenient to strict, until one fails, each at the full level: such a sequence keeps
+the chance of any false qualification at that level without dividing it further. Across strata it is divided by their
+number (Bonferroni), so that with the stated confidence no stratum loses more good documents than the rate. Where not
+even the first step qualifies, the rules reject nothing in that stratum.
 """
 
 from __future__ import annotations
@@ -14,13 +16,14 @@ from pyspark.sql import functions as F
 
 from .common import materialize, text_of
 
-#: Candidate cutoffs of each rule, strictest first. A ratio above the cutoff is a rejection.
+#: The ladder: cutoffs of each rule from the most lenient to the strictest step. A ratio above the cutoff is a rejection.
 GRID = {
-    "symbol_ratio": (0.01, 0.02, 0.03, 0.05, 0.08, 0.12, 0.2, 0.3),
-    "dup_line_ratio": (0.1, 0.2, 0.3, 0.4, 0.5, 0.7),
-    "repeat_ratio": (0.05, 0.1, 0.15, 0.2, 0.3, 0.4),
-    "upper_ratio": (0.05, 0.1, 0.2, 0.3, 0.5, 0.7),
+    "symbol_ratio": (0.3, 0.2, 0.12, 0.08, 0.05, 0.03, 0.02, 0.01),
+    "dup_line_ratio": (0.8, 0.6, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1),
+    "repeat_ratio": (0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1),
+    "upper_ratio": (0.7, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1),
 }
+RATE, DELTA = 0.02, 0.05
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -29,8 +32,9 @@ def quality_features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """Counts and ratios of every whole text, computed in Spark's own functions.
 
     Null text counts as a text without words: all counts 0, all ratios 0. Words are runs without ASCII white space.
-    Repeated rows give repeated results. A null stratum is the stratum ''. Other columns are ignored; with row, a
-    struct __row holds all of them.
+    Repeated rows give repeated results. A null stratum is the stratum ''. Other columns are ignored, whatever their
+    names; with row, a struct __row holds all of them. There are no ties: equal texts have equal counts. The cost of a
+    text of n words is that of sorting n hashes.
     """
     t = text_of("__t")
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__t"), (F.coalesce(F.col(stratum).cast("string"), F.lit("")) if stratum else F.lit("")).alias("stratum"), *([F.struct(*docs.columns).alias("__row")] if row else []))
@@ -84,25 +88,24 @@ def binomial_tail(n: Column, k: Column, rate: float) -> Column:
     return F.aggregate(steps, start, step, lambda a: a["s"])
 
 
-def risk_controlled_cutoffs(features: DataFrame, labels: DataFrame, rate: float = 0.02, delta: float = 0.05, grid: dict[str, tuple[float, ...]] = GRID) -> DataFrame:
-    """Per stratum one cutoff for each rule (null: the rule rejects nothing there).
+def risk_controlled_cutoffs(features: DataFrame, labels: DataFrame, rate: float = RATE, delta: float = DELTA, grid: dict[str, tuple[float, ...]] = GRID) -> DataFrame:
+    """Per stratum one cutoff for each rule (null: the rules reject nothing there), and n, k: good labelled rows, rejected ones at each step.
 
-    rate bounds the share of good documents that all rules together reject (each gets an equal part of it); delta is
-    the chance that any bound of any stratum fails. Labels with a null quality or of unknown documents count for
-    nothing. Documents that fail the base rules take no part. The labelled rows are aggregated where they lie.
+    rate bounds the share of good documents that all rules together reject; delta is the chance that the bound of any
+    stratum fails. Labels with a null quality or of unknown documents count for nothing. Documents that fail the base
+    rules take no part. The labelled rows are aggregated where they lie; a stratum has one row. A tail is summed over
+    at most rate times the good labelled rows of its stratum.
     """
     good = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("doc_id")).distinct()
     rows = features.where(~F.col("base_failed")).join(good, "doc_id", "left_semi")
-    tests = [(m, c) for m, cuts in grid.items() for c in cuts]
-    counts = rows.groupBy("stratum").agg(F.count("*").alias("n"), F.array(*[F.count_if(F.col(m) > c) for m, c in tests]).alias("k"))
-    strata = counts.select(F.count("*").alias("strata"))
-    each = counts.join(F.broadcast(strata)).select(
-        "stratum", "strata", "n", F.posexplode(F.arrays_zip(F.array(*[F.lit(m) for m, _ in tests]).alias("m"), F.array(*[F.lit(c) for _, c in tests]).alias("c"), F.col("k")))
-    )
-    x = F.col("col")
-    p = rate / len(grid)
-    able = F.when(x["k"] > F.col("n") * p, F.lit(1.0)).otherwise(binomial_tail(F.col("n"), x["k"], p)) <= delta / len(tests) / F.col("strata")
-    return each.where(able).groupBy("stratum").agg(*[F.min(F.when(x["m"] == m, x["c"])).alias(f"cut_{m}") for m in grid])
+    steps = range(len(next(iter(grid.values()))))
+    rejected = [F.greatest(*[(F.col(m) > cuts[i]).cast("int") for m, cuts in grid.items()]) for i in steps]
+    counts = materialize(rows.groupBy("stratum").agg(F.count("*").alias("n"), F.array(*[F.sum(x).cast("long") for x in rejected]).alias("k")))
+    level = delta / max(1, counts.count())
+    able = F.transform("k", lambda k: F.when(k > F.col("n") * rate, F.lit(1.0)).otherwise(binomial_tail(F.col("n"), k, rate)) <= level)
+    step = F.when(F.array_position(able, False) > 0, F.array_position(able, False) - 1).otherwise(F.lit(len(steps))).cast("int")
+    chosen = counts.select("stratum", "n", "k", step.alias("step"))
+    return chosen.select("stratum", "n", "k", *[F.get(F.array(*map(F.lit, cuts)), F.col("step") - 1).alias(f"cut_{m}") for m, cuts in grid.items()])
 
 
 def judge(features: DataFrame, cutoffs: DataFrame, grid: dict[str, tuple[float, ...]] = GRID) -> DataFrame:
@@ -110,23 +113,19 @@ def judge(features: DataFrame, cutoffs: DataFrame, grid: dict[str, tuple[float,
     fails = F.lit(False)
     for m in grid:
         fails = fails | F.coalesce(F.col(m) > F.col(f"cut_{m}"), F.lit(False))
-    return features.join(cutoffs, "stratum", "left").withColumn("__passes", ~fails).withColumn("kept", ~F.col("base_failed") & F.col("__passes"))
+    return features.join(cutoffs.drop("n", "k"), "stratum", "left").withColumn("kept", ~F.col("base_failed") & ~fails)
 
 
-def apply_quality_rules(docs: DataFrame, labels: DataFrame, rate: float = 0.02, delta: float = 0.05) -> DataFrame:
+def apply_quality_rules(docs: DataFrame, labels: DataFrame, rate: float = RATE, delta: float = DELTA) -> DataFrame:
     """All documents with their counts and the verdict kept. Empty input: empty result; no labels: only base rules."""
     features = materialize(quality_features(docs))
     return judge(features, risk_controlled_cutoffs(features, labels, rate, delta))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, rate: float = 0.02, delta: float = 0.05) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, rate: float = RATE, delta: float = DELTA) -> DataFrame:
     """The rows of docs that the rules keep, with all their columns.
 
-    The cutoffs, a row for each stratum, come from features that are written once; the texts themselves are then judged
-    in a second pass where they lie, so that none is shuffled and repeated rows need no key.
+    Features are computed once and written with the row that they belong to, so that repeated rows need no key.
     """
-    cutoffs = materialize(risk_controlled_cutoffs(materialize(quality_features(docs)), labels, rate, delta))
-    judged = judge(quality_features(docs, row=True).withColumn("__bad", F.col("base_failed").cast("int")), cutoffs)
-    # One comparison of columns from both sides of the join: a condition on the texts' side alone would be pushed into
-    # the features and compute them once for each mention.
-    return judged.where(F.greatest("__bad", (~F.col("__passes")).cast("int")) == 0).select("__row.*")
+    features = materialize(quality_features(docs, row=True))
+    return judge(features, risk_controlled_cutoffs(features, labels, rate, delta)).where("kept").select("__row.*")
