@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .quality import DELTA, GRID, RATE
+
 #: Every 50-byte string of a text with its place; those that a smaller document holds; runs of them; what lies between.
 OP10_SUFFIX_DEDUP = """
 with texts as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
@@ -47,4 +49,83 @@ classes as (select a, min(b) as class_id from reach group by a)
 select d.doc_id, coalesce(class_id, node) as class_id from documents d join texts t on coalesce(d.text, '') = t.text left join classes on a = node
 """
 
-ORACLES: dict[str, str] = {"op7_near_dedup": OP7_NEAR_DEDUP, "op10_suffix_dedup": OP10_SUFFIX_DEDUP}
+#: Parts of the text, the edited text and the next text as 60-bit digests; cells by their bits; likeness by sets.
+OP4_FINGERPRINTS = r"""
+with next_texts as (
+    select doc_id, coalesce(text, '') as text, coalesce(lead(coalesce(text, '')) over (order by doc_id desc), first_value(coalesce(text, '')) over (order by doc_id desc rows between unbounded preceding and unbounded following)) as next_text
+    from documents
+),
+edits as (select doc_id, text, next_text, substr(text, 1, length(text) - length(text) // 2) || substr(next_text, 1, length(text) // 2) as edited from next_texts),
+versions as (select doc_id, 't' as v, text as x from edits union all select doc_id, 'e', edited from edits union all select doc_id, 'n', next_text from edits),
+lines as (select doc_id, v, unnest(string_split(x, chr(10))) as x from versions),
+parts as (select doc_id, v, unnest(case when length(x) > 200 then string_split(regexp_replace(x, '([.!?]|[^ \n]{12}) +', '\1' || chr(10), 'g'), chr(10)) else [x] end) as part from lines),
+digests as (select distinct doc_id, v, cast('0x' || substr(md5(part), 1, 15) as bigint) as k from parts where trim(part) <> ''),
+thirds as (select doc_id, v, k, unnest([0, 1, 2]) as j from digests),
+placed as (select doc_id, v, k, (k >> (20 * j)) % 48 + 48 * j as pos from thirds),
+cells as (select doc_id, v, pos, count(*) as c, bit_xor(k) as k from placed group by doc_id, v, pos),
+prints as (select doc_id, v, string_agg(hex(pos) || '.' || cast(c as varchar) || '.' || hex(k), ' ' order by pos) as p from cells group by doc_id, v),
+sizes as (select doc_id, v, count(*) as n from digests group by doc_id, v),
+shared as (select a.doc_id, b.v, count(*) as n from digests a join digests b on a.doc_id = b.doc_id and a.k = b.k where a.v = 't' and b.v <> 't' group by a.doc_id, b.v),
+near as (
+    select e.doc_id, w.v, case when coalesce(a.n, 0) + coalesce(b.n, 0) = 0 then 1.0 else 1.0 * (2 * coalesce(s.n, 0)) / (2 * (coalesce(a.n, 0) + coalesce(b.n, 0) - coalesce(s.n, 0))) end as y
+    from edits e cross join (select unnest(['e', 'n']) as v) w left join sizes a on a.doc_id = e.doc_id and a.v = 't' left join sizes b on b.doc_id = e.doc_id and b.v = w.v
+        left join shared s on s.doc_id = e.doc_id and s.v = w.v
+)
+select e.doc_id, cast(length(e.text) as bigint) as n_chars, sha256(e.edited) as edited_sha256, coalesce(pt.p, '') as fingerprint, coalesce(pe.p, '') as edited_fingerprint,
+    cast(ne.y as double) as near_edited, cast(nn.y as double) as near_next
+from edits e left join prints pt on pt.doc_id = e.doc_id and pt.v = 't' left join prints pe on pe.doc_id = e.doc_id and pe.v = 'e'
+    join near ne on ne.doc_id = e.doc_id and ne.v = 'e' join near nn on nn.doc_id = e.doc_id and nn.v = 'n'
+"""
+#: CRC-32 by its table, which follows from the polynomial; shards by the largest of 52-bit draws, all weights being equal.
+OP8_SHARDING = """
+with recursive steps(n, i, c) as (
+    select n, 0, n from (select unnest(range(256)) as n)
+    union all select n, i + 1, case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end from steps where i < 8
+),
+crc as (select list(c order by n) as t from steps where i = 8),
+hexed as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+summed as (
+    select doc_id, 16 + length(h) // 2 as size,
+        xor(4294967295, list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(range(length(h) // 2), lambda i: cast('0x' || substr(h, 2 * i + 1, 2) as bigint))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) as text_crc32
+    from hexed cross join crc
+),
+drawn as (select doc_id, s, cast('0x' || substr(md5(concat_ws(':', cast(doc_id as varchar), cast(s as varchar))), 1, 13) as bigint) as u from documents cross join (select unnest(range(41)) as s)),
+best as (select doc_id, arg_max(s, {'u': u, 's': -s}) filter (s < 40) as shard, arg_max(s, {'u': u, 's': -s}) as grown from drawn group by doc_id),
+placed as (select *, cast('0x' || substr(md5(concat_ws(':', cast(doc_id as varchar), cast(size as varchar), cast(text_crc32 as varchar))), 1, 13) as bigint) >> 36 as place from summed join best using (doc_id))
+select doc_id, cast(size as bigint) as size, cast(text_crc32 as bigint) as text_crc32, 'key' as law, cast(shard as int) as shard,
+    cast(row_number() over (partition by shard order by place, doc_id, size, text_crc32) - 1 as bigint) as slot, cast(grown as int) as grown_shard
+from placed
+"""
+_LADDER = {m: "[" + ", ".join(f"cast({c} as double)" for c in cuts) + "]" for m, cuts in GRID.items()}
+_REJECTS = " or ".join(f"{m} > {cuts}[i]" for m, cuts in _LADDER.items())
+#: Counts of words, symbols, lines and windows; binomial tails by the gamma function; the last step before one fails.
+OP9_QUALITY_RULES = rf"""
+with texts as (select doc_id, coalesce(lang, '') as stratum, coalesce(text, '') as t from documents),
+words as (select doc_id, stratum, t, list_filter(string_split_regex(t, '[\x09-\x0D ]+'), lambda x: x <> '') as w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x09-\x0D ]')) as l from texts),
+windows as (select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from (select doc_id, w, unnest(range(1, greatest(1, len(w) - 1))) as i from words)),
+again as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, g) as n from windows) where n > 1),
+repeated as (select doc_id, count(distinct p) as n from (select doc_id, unnest([i, i + 1, i + 2]) as p from again) group by doc_id),
+counts as (
+    select doc_id, stratum, len(w) as n_words, length(regexp_replace(t, '[\x09-\x0D ]', '', 'g')) as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+        len(l) - len(list_distinct(l)) as n_dup_lines, coalesce(n, 0) as n_repeat_words, len(l) as n_lines, length(regexp_replace(t, '[^\p{{Lu}}]', '', 'g')) as n_upper
+    from words left join repeated using (doc_id)
+),
+features as (
+    select *, case when word_chars > 0 then n_symbols / word_chars else 0 end as symbol_ratio, case when n_lines > 0 then n_dup_lines / n_lines else 0 end as dup_line_ratio,
+        case when n_words > 0 then n_repeat_words / n_words else 0 end as repeat_ratio, case when word_chars > 0 then n_upper / word_chars else 0 end as upper_ratio,
+        n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed
+    from counts
+),
+good as (select f.* from features f where not base_failed and doc_id in (select doc_id from labels where quality = 1)),
+tests as (select stratum, i, count(*) as n, count_if({_REJECTS}) as k from good cross join (select unnest(range(1, {len(next(iter(GRID.values()))) + 1})) as i) group by stratum, i),
+tails as (
+    select stratum, i, case when k > n * {RATE} then 1.0 else (select sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({RATE}) + (n - j) * ln(1 - {RATE}))) from (select unnest(range(cast(k as bigint) + 1)) as j)) end as p from tests
+),
+steps as (select stratum, coalesce(min(i) filter (p > {DELTA} / (select count(distinct stratum) from tests)), {len(next(iter(GRID.values()))) + 1}) - 1 as i from tails group by stratum),
+judged as (select f.*, coalesce(i, 0) as i from features f left join steps using (stratum))
+select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols, cast(n_dup_lines as bigint) as n_dup_lines,
+    cast(n_repeat_words as bigint) as n_repeat_words, base_failed, not base_failed and not (i > 0 and ({_REJECTS})) as kept, stratum, {", ".join(f"cast({m} as double) as {m}" for m in GRID)}
+from judged
+"""
+
+ORACLES: dict[str, str] = {"op4_fingerprints": OP4_FINGERPRINTS, "op7_near_dedup": OP7_NEAR_DEDUP, "op8_sharding": OP8_SHARDING, "op9_quality_rules": OP9_QUALITY_RULES, "op10_suffix_dedup": OP10_SUFFIX_DEDUP}

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -194,6 +195,33 @@ def test_peeling_recovers_differences(spark):
         assert got == pytest.approx(40 / (40 + 3 * k))
 
 
+def brute_parts(text):
+    parts = set()
+    for line in text.split("\n"):
+        for part in re.sub(r"([.!?]|[^ \n]{12}) +", "\\1\n", line).split("\n") if len(line) > fingerprints.LONG else [line]:
+            if part.strip(" "):
+                parts.add(int(hashlib.md5(part.encode()).hexdigest()[:15], 16))
+    return parts
+
+
+def test_fingerprints_weigh_every_place_alike(spark):
+    """Likeness and recovered digests against sets of parts, wherever the edit lies."""
+    paragraphs = [prose(i, 20) + "." for i in range(10)]
+    one = " ".join(prose(i, 12) + "." for i in range(100, 120))
+    pairs = [("\n".join(paragraphs), "\n".join([*paragraphs[:k], prose(99, 20) + ".", *paragraphs[k + 1 :]])) for k in range(10)]
+    pairs += [(one, one[:400] + " changed here" + one[400:]), (one, "put before " + one), ("", ""), ("", one), (one, one), ("\n".join(prose(i, 5) for i in range(700)), "\n".join(prose(5000 + i, 5) for i in range(700)))]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    size = F.lit(fingerprints.CELLS).cast("long")
+    df = df.select("i", *[fingerprints.part_digests(F.col(x)).alias(x) for x in "ab"]).select("*", *[fingerprints.sketch(F.col(x), size).alias(f"s{x}") for x in "ab"])
+    args = [F.col(x) for x in ("a", "b", "sa", "sb")]
+    got = {r["i"]: r for r in df.select("i", fingerprints.likeness(*args).alias("near"), fingerprints.differing(*args).alias("d")).collect()}
+    for i, (a, b) in enumerate(pairs):
+        x, y = brute_parts(a), brute_parts(b)
+        assert got[i]["near"] == pytest.approx(len(x & y) / len(x | y) if x | y else 1)
+        assert {(r["k"], r["c"]) for r in got[i]["d"]} == {(k, 1) for k in x - y} | {(k, -1) for k in y - x}
+    assert len({got[i]["near"] for i in range(10)}) == 1 and got[10]["near"] > 0.8 and got[11]["near"] > 0.8
+
+
 def test_language_id(spark, docs, empty):
     import string
 
@@ -311,7 +339,8 @@ def test_a_very_long_text(spark):
 
 
 def test_sharding(spark, docs, toy, empty):
-    import xxhash
+    def draw(*parts):
+        return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:13], 16)
 
     equal = {s: 1.0 for s in range(7)}
     got = sharding.assign_shards(docs, equal, equal | {7: 1.0}).collect()
@@ -319,13 +348,18 @@ def test_sharding(spark, docs, toy, empty):
     for r in got:
         text = dict(toy)[r["doc_id"]] or ""
         assert r["size"] == len(text.encode()) + 16 and r["text_crc32"] == zlib.crc32(text.encode())
-        first = xxhash.xxh64_intdigest(int(r["doc_id"]).to_bytes(8, "little", signed=True), 42)
-        hashes = [xxhash.xxh64_intdigest(s.to_bytes(4, "little"), first) for s in range(8)]
-        assert r["shard"] == max(range(7), key=hashes.__getitem__)
+        assert r["shard"] == max(range(7), key=lambda s: draw(r["doc_id"], s)) and r["grown_shard"] == max(range(8), key=lambda s: draw(r["doc_id"], s))
         assert r["grown_shard"] in (r["shard"], 7)
     for s in range(7):
         assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
     assert sharding.assign_shards(empty, equal).count() == 0
+    weighted = {0: 1.0, 1: 3.0, 2: 0.0}
+    got = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    rows = sharding.assign_shards(got, weighted).collect()
+    score = lambda i, s: weighted[s] / -math.log((draw(i, s) + 0.5) / 2**52)
+    assert all(r["shard"] == max((0, 1), key=lambda s: score(r["doc_id"], s)) for r in rows) and 0.71 < sum(r["shard"] for r in rows) / 4000 < 0.79
+    nameless = sharding.assign_shards(spark.range(500).selectExpr("cast(null as bigint) as doc_id", "cast(id % 90 as string) as text"), equal).collect()
+    assert len({r["shard"] for r in nameless}) == 1 and sorted(r["slot"] for r in nameless) == list(range(500))
 
 
 def test_quality(spark, docs, toy, empty):
@@ -349,6 +383,45 @@ def test_quality(spark, docs, toy, empty):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, _ in toy if got[i]["kept"])
 
 
+def test_cutoffs_are_risk_controlled(spark):
+    """Steps of each stratum against brute force: strata where all, some and no steps qualify, and the correction for their number."""
+    grid = {"a": (0.9, 0.6, 0.3), "b": (0.8, 0.5, 0.2)}
+    r = random.Random(8)
+    rows, labels, i = [], [], 0
+    for stratum, n, high in (("clean", 2000, 0.0), ("some", 2000, 0.012), ("close", 1000, 0.01), ("dirty", 2000, 0.05), ("few", 150, 0.0)):
+        for _ in range(n):
+            i += 1
+            bad = r.random() < high
+            rows.append((i, stratum, r.choice([0.55, 0.7]) if bad else r.random() * 0.25, r.random() * 0.15, False))
+            labels.append((i, 1))
+    rows += [(i + 1, "clean", 1.0, 1.0, True), (i + 2, "unlabelled", 0.95, 0.0, False)]
+    labels += [(i + 1, 1), (1, None), (None, 1), (2, 0), (2, 1)]
+    features = spark.createDataFrame(rows, "doc_id long, stratum string, a double, b double, base_failed boolean")
+    cutoffs = quality.risk_controlled_cutoffs(features, spark.createDataFrame(labels, "doc_id long, quality int"), 0.02, 0.05, grid)
+    got = {x["stratum"]: x for x in cutoffs.collect()}
+
+    def tail(n, k, p):
+        return sum(math.exp(math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(p) + (n - j) * math.log(1 - p)) for j in range(k + 1))
+
+    known = {x for x, q in labels if q == 1}
+    by = {}
+    for x in rows:
+        if x[0] in known and not x[4]:
+            by.setdefault(x[1], []).append(x)
+    steps = {}
+    for stratum, these in by.items():
+        steps[stratum] = 0
+        for k in range(3):
+            rejected = sum(x[2] > grid["a"][k] or x[3] > grid["b"][k] for x in these)
+            if tail(len(these), rejected, 0.02) > 0.05 / len(by):
+                break
+            steps[stratum] = k + 1
+    assert {s: (x["cut_a"], x["cut_b"]) for s, x in got.items()} == {s: (grid["a"][k - 1], grid["b"][k - 1]) if k else (None, None) for s, k in steps.items()}
+    assert steps["clean"] == 3 and steps["few"] == 0 and len(set(steps.values())) >= 3
+    kept = {x["doc_id"]: x["kept"] for x in quality.judge(features, cutoffs, grid).collect()}
+    assert kept[i + 2] and not kept[i + 1]
+
+
 def test_binomial_tail(spark):
     import math
 
