@@ -1,7 +1,8 @@
 """Table queries: each operator's semantics over the star schema, events, embeddings and texts.
 
-A query is Spark SQL over DataFrames in braces; its oracle is the same SQL where both dialects agree, else a text of its
-own. They demonstrate operator semantics on tables, not conformance of any bitstream.
+A query is Spark SQL over DataFrames in braces with an oracle of its own. They demonstrate operator semantics on
+tables, not conformance of any bitstream. Folds over an ordered array (collect_list) hold one group in one row: the
+events of a user, the turns of a conversation.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import kernels
+
 KEY = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice"
 #: Embeddings as samples of 0 to 255.
 SPARK_Q = "transform(embedding, x -> cast(greatest(0, least(255, 128 + floor(x * 256))) as int))"
@@ -21,22 +24,6 @@ DUCK_PIX = f"select vec_id, unnest(range(len(embedding))) as i, unnest({DUCK_Q})
 #: name -> (Spark SQL, oracle SQL or None where it is the same without braces)
 SQL: dict[str, tuple[str, str | None]] = {
     # --- windows -------------------------------------------------------------------------------------------------
-    "gop_report": (
-        """with p as (select user_id, ts, cast(floor(value * 100) as bigint) as size,
-            case when row_number() over (partition by user_id order by ts) = 1 or event_type = 'signup' then 1 else 0 end as is_key from {events}),
-        g as (select *, sum(is_key) over (partition by user_id order by ts rows between unbounded preceding and current row) as gop,
-            coalesce(sum(size) over (partition by user_id order by ts rows between unbounded preceding and 1 preceding), 0) as begins from p)
-        select user_id, cast(gop as bigint) as gop_id, cast(count(*) as bigint) as packets, cast(sum(is_key) as bigint) as key_packets,
-            cast(sum(size) as bigint) as bytes, cast(min(begins) as bigint) as first_offset from g group by user_id, gop""",
-        None,
-    ),
-    "sample_offsets": (
-        f"""select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
-            cast(coalesce(sum(cast(l_quantity as bigint)) over (partition by l_orderkey order by {KEY} rows between unbounded preceding and 1 preceding), 0) + 1000 * l_orderkey as bigint) as sample_offset
-        from {{lineitem}}""",
-        None,
-    ),
-    "row_numbers": ("select event_id, cast(row_number() over (partition by user_id order by ts, event_id) - 1 as bigint) as idx from {events}", None),
     "forward_fill": (
         """select event_id, last_value(case when event_type = 'click' then value end) ignore nulls over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as last_click
         from {events}""",
@@ -47,34 +34,7 @@ SQL: dict[str, tuple[str, str | None]] = {
             pmod(cast(row_number() over (partition by user_id order by ts, event_id) - 1 as bigint), 4) as idx from {events}) group by user_id, idx""",
         "select user_id, cast(idx // 4 as bigint) as gop, cast(count(*) as bigint) as n from (select user_id, row_number() over (partition by user_id order by ts, event_id) - 1 as idx from events) group by user_id, idx // 4",
     ),
-    "fir7": (
-        f"""with p as ({SPARK_PIX}), w as (select vec_id, i, v, {', '.join(f"coalesce({'lag' if d < 0 else 'lead'}(v, {abs(d)}) over (partition by vec_id order by i), {'first_value' if d < 0 else 'last_value'}(v) over (partition by vec_id order by i rows between unbounded preceding and unbounded following)) as t{d + 3}" for d in (-3, -2, -1, 1, 2, 3))} from p)
-        select vec_id, cast(i as bigint) as i, cast(greatest(0, least(255, (3 * (t0 + t6) - 7 * (t1 + t5) + 15 * (t2 + t4) + 106 * v + 64) >> 7)) as bigint) as y from w""",
-        f"""with p as ({DUCK_PIX}), w as (select vec_id, i, v, {', '.join(f"coalesce({'lag' if d < 0 else 'lead'}(v, {abs(d)}) over (partition by vec_id order by i), {'first_value' if d < 0 else 'last_value'}(v) over (partition by vec_id order by i rows between unbounded preceding and unbounded following)) as t{d + 3}" for d in (-3, -2, -1, 1, 2, 3))} from p)
-        select vec_id, cast(i as bigint) as i, cast(greatest(0, least(255, (3 * (t0 + t6) - 7 * (t1 + t5) + 15 * (t2 + t4) + 106 * v + 64) >> 7)) as bigint) as y from w""",
-    ),
-    "box_sums": (
-        f"select vec_id, cast(i as bigint) as i, cast(sum(v) over w as bigint) as s, cast(sum(v * v) over w as bigint) as ss from ({SPARK_PIX}) window w as (partition by vec_id order by i rows between 1 preceding and 1 following)",
-        f"select vec_id, cast(i as bigint) as i, cast(sum(v) over w as bigint) as s, cast(sum(v * v) over w as bigint) as ss from ({DUCK_PIX}) window w as (partition by vec_id order by i rows between 1 preceding and 1 following)",
-    ),
-    "limit_first_n": ("select user_id, event_id, cast(n as bigint) as n from (select user_id, event_id, row_number() over (partition by user_id order by ts, event_id) as n from {events}) where n <= 10", None),
-    "wavefront_order": (
-        f"select vec_id, cast(i as bigint) as i, cast(row_number() over (partition by vec_id order by i % 8 + cast(floor(i / 8) as int), i % 8 desc) as bigint) as n from ({SPARK_PIX})",
-        f"select vec_id, cast(i as bigint) as i, cast(row_number() over (partition by vec_id order by i % 8 + i // 8, i % 8 desc) as bigint) as n from ({DUCK_PIX})",
-    ),
     # --- aggregates ----------------------------------------------------------------------------------------------
-    "type_histogram": ("select event_type, cast(count(*) as bigint) as n from {events} group by event_type", None),
-    "sync_count": ("select user_id, cast(sum(case when event_type = 'signup' then 1 else 0 end) as bigint) as syncs, cast(count(*) as bigint) as samples from {events} group by user_id", None),
-    "tu_fu_obu_totals": (
-        """select o_orderstatus, cast(count(distinct o_orderkey) as bigint) as units, cast(count(distinct l_partkey) as bigint) as frames, cast(count(*) as bigint) as obus
-        from {orders} join {lineitem} on o_orderkey = l_orderkey group by rollup (o_orderstatus)""",
-        None,
-    ),
-    "zip_diff": (
-        """with a as (select l_orderkey, cast(l_quantity as bigint) as x, cast(round(l_extendedprice) as bigint) % 64 as y from {lineitem})
-        select l_orderkey, cast(sum(case when x <> y then 1 else 0 end) as bigint) as diffs, cast(max(abs(x - y)) as bigint) as max_diff, cast(count(*) as bigint) as n from a group by l_orderkey""",
-        None,
-    ),
     "rounded_mean": (
         "select l_suppkey, cast((sum(cast(l_quantity as bigint)) + count(*) div 2) div count(*) as bigint) as dc from {lineitem} group by l_suppkey",
         "select l_suppkey, cast((sum(cast(l_quantity as bigint)) + count(*) // 2) // count(*) as bigint) as dc from lineitem group by l_suppkey",
@@ -93,29 +53,7 @@ SQL: dict[str, tuple[str, str | None]] = {
         f"select vec_id, cast(least(63, aggregate(q, 0, (a, x) -> a + abs(x - 128))) as bigint) as level, cast(aggregate(q, 0, (a, x) -> a | x) as bigint) as bits from (select vec_id, {SPARK_Q} as q from {{embeddings}})",
         f"select vec_id, cast(least(63, list_sum(list_transform(q, lambda x: abs(x - 128)))) as bigint) as level, cast(list_reduce(q, lambda a, x: a | x) as bigint) as bits from (select vec_id, {DUCK_Q} as q from embeddings)",
     ),
-    "lsq_sums": (
-        """select l_suppkey, cast(sum(x * x) as bigint) as sxx, cast(sum(x * y) as bigint) as sxy, cast(sum(y * y) as bigint) as syy, cast(count(*) as bigint) as n
-        from (select l_suppkey, cast(l_quantity as bigint) as x, cast(round(l_discount * 100) as bigint) as y from {lineitem}) group by l_suppkey""",
-        None,
-    ),
-    "weighted_candidates": (
-        """with v as (select user_id, cast(event_id % 13 as bigint) as mv, sum(cast(1 + event_id % 3 as bigint)) as weight, min(event_id) as first_seen from {events} group by user_id, event_id % 13)
-        select user_id, mv, cast(weight as bigint) as weight, cast(place as bigint) as place from (select *, row_number() over (partition by user_id order by weight desc, first_seen) as place from v) where place <= 8""",
-        None,
-    ),
-    "all_skip_cells": (
-        "select cast(floor(l_partkey / 8) as bigint) as cell, cast(count(*) as bigint) as n from {lineitem} group by floor(l_partkey / 8) having min(case when l_quantity < 45 then 1 else 0 end) = 1",
-        None,
-    ),
     # --- joins ---------------------------------------------------------------------------------------------------
-    "stsc_interval_join": (
-        """with both as (select p_partkey % 16 as track, p_partkey as at, p_size as spc, 0 as side, cast(null as bigint) as k, cast(null as int) as ln, cast(null as bigint) as s, cast(null as double) as price from {part} where p_partkey % 3 = 0
-            union all select l_partkey % 16, l_partkey, null, 1, l_orderkey, l_linenumber, l_suppkey, l_extendedprice from {lineitem}),
-        f as (select *, last_value(spc) ignore nulls over (partition by track order by at, side rows between unbounded preceding and current row) as run from both)
-        select k as l_orderkey, ln as l_linenumber, at as l_partkey, s as l_suppkey, price, cast(run as bigint) as samples_per_chunk from f where side = 1 and run is not null""",
-        """with runs as (select p_partkey % 16 as track, p_partkey as a, lead(p_partkey) over (partition by p_partkey % 16 order by p_partkey) as b, p_size from part where p_partkey % 3 = 0)
-        select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice as price, cast(p_size as bigint) as samples_per_chunk from lineitem join runs on l_partkey % 16 = track and l_partkey >= a and (b is null or l_partkey < b)""",
-    ),
     "ctts_runlength_join": (
         """with s as (select user_id, event_id, row_number() over (partition by user_id order by ts, event_id) as n from {events}),
         r as (select user_id, event_id % 50 as off, sum(1 + event_id % 4) over (partition by user_id order by event_id rows between unbounded preceding and current row) - (1 + event_id % 4) + 1 as from_n from {events} where event_type = 'signup'),
@@ -126,55 +64,12 @@ SQL: dict[str, tuple[str, str | None]] = {
         b as (select *, lead(from_n) over (partition by user_id order by from_n) as to_n from r)
         select event_id, cast(off as bigint) as cts from s left join b on s.user_id = b.user_id and n >= from_n and (to_n is null or n < to_n)""",
     ),
-    "stss_left_join": (
-        "select e.event_id, coalesce(s.is_sync, false) as is_sync from {events} e left join (select event_id, true as is_sync from {events} where event_type = 'signup') s on e.event_id = s.event_id",
-        None,
-    ),
-    "grid_key_join": (
-        """with params as (select cast(floor(p_partkey / 16) as bigint) as cell, cast(min(p_size) as bigint) as strength from {part} where p_size > 10 group by floor(p_partkey / 16))
-        select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, coalesce(strength, 0) as strength from {lineitem} left join params on cast(floor(l_partkey / 16) as bigint) = cell""",
-        None,
-    ),
-    "edge_pairs": (
-        f"""select * from (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, cast(l_quantity as bigint) as q,
-            cast(lag(l_quantity) over (partition by l_suppkey order by {KEY}) as bigint) as p from {{lineitem}}) where p is not null and abs(p - q) <= 4""",
-        None,
-    ),
-    "neighbour_exists": (
-        """select event_id from (select event_id, event_type, lag(event_type) over (partition by user_id order by ts, event_id) as before, lead(event_type) over (partition by user_id order by ts, event_id) as after from {events})
-        where event_type = before or event_type = after""",
-        None,
-    ),
-    "neighbour_absent": ("select event_id from {events} e where not exists (select 1 from {events} s where s.user_id = e.user_id and s.event_type = 'error')", None),
-    "asof_before": (
-        """select event_id, click as last_click from (select event_id, event_type, last_value(case when event_type = 'click' then event_id end) ignore nulls
-            over (partition by user_id order by ts rows between unbounded preceding and current row) as click from {events}) where event_type = 'purchase'""",
-        "select p.event_id, c.event_id as last_click from (select * from events where event_type = 'purchase') p asof left join (select * from events where event_type = 'click') c on p.user_id = c.user_id and p.ts >= c.ts",
-    ),
-    "asof_after": (
-        """select event_id, click as next_click from (select event_id, event_type, first_value(case when event_type = 'click' then event_id end) ignore nulls
-            over (partition by user_id order by ts rows between current row and unbounded following) as click from {events}) where event_type = 'purchase'""",
-        "select p.event_id, c.event_id as next_click from (select * from events where event_type = 'purchase') p asof left join (select * from events where event_type = 'click') c on p.user_id = c.user_id and p.ts <= c.ts",
-    ),
-    "slot_lookup": ("select s_suppkey, n_name as slot_name from {supplier} join {nation} on s_nationkey = n_nationkey", None),
-    "default_lookup": ("select c_custkey, coalesce(n, 0) as orders from {customer} left join (select o_custkey, cast(count(*) as bigint) as n from {orders} group by o_custkey) on c_custkey = o_custkey", None),
     # --- scalar functions ----------------------------------------------------------------------------------------
-    "round_shift": (f"select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, (cast(floor(l_extendedprice) as bigint) - 30000 + 32) >> 6 as y from {{lineitem}}", None),
-    "clamp": ("select event_id, greatest(cast(10 as bigint), least(cast(200 as bigint), cast(floor(value * 3) as bigint))) as y from {events}", None),
     "floor_log2": ("select event_id, cast(length(bin(event_id + 1)) - 1 as bigint) as y from {events}", "select event_id, cast(length(ltrim(bin(event_id + 1), '0')) - 1 as bigint) as y from events"),
-    "mod_distance": (
-        "select event_id, cast((((event_id % 128) - (user_id % 128)) & 63) - (((event_id % 128) - (user_id % 128)) & 64) as bigint) as d from {events}",
-        None,
-    ),
     "inverse_recenter": (
         "select event_id, cast(case when v > 2 * r then v when v % 2 = 0 then r + shiftright(v, 1) else r - shiftright(v + 1, 1) end as bigint) as y from (select event_id, event_id % 64 as v, user_id % 32 as r from {events})",
         "select event_id, cast(case when v > 2 * r then v when v % 2 = 0 then r + (v >> 1) else r - ((v + 1) >> 1) end as bigint) as y from (select event_id, event_id % 64 as v, user_id % 32 as r from events)",
     ),
-    "paeth_select": (
-        """select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, case when abs(b - a) <= abs(b - t) and abs(b - a) <= abs(b - l) then a when abs(b - t) <= abs(b - l) then t else l end as y
-        from (select *, 2 * t + l - a - l + a - t as b from (select *, cast(l_quantity as bigint) as a, cast(l_partkey % 50 as bigint) as t, cast(l_suppkey % 50 as bigint) as l from {lineitem}))""",
-        None,
-    ),
     "dequant": (
         f"select vec_id, cast(pos as bigint) as i, cast(sign(c) * shiftright(abs(c) * 37, 1) as bigint) as y from (select vec_id, posexplode(transform({SPARK_Q}, x -> x - 128)) as (pos, c) from {{embeddings}})",
         f"select vec_id, cast(i as bigint) as i, cast(sign(v - 128) * ((abs(v - 128) * 37) >> 1) as bigint) as y from ({DUCK_PIX})",
@@ -183,11 +78,6 @@ SQL: dict[str, tuple[str, str | None]] = {
         f"select vec_id, cast(pos as bigint) as i, cast(y as bigint) as y from (select vec_id, posexplode(transform(zip_with(q, reverse(q), (a, b) -> struct(a as a, b as b)), (x, k) -> shiftright(x.a * (64 - k) + x.b * k + 32, 6))) as (pos, y) from (select vec_id, {SPARK_Q} as q from {{embeddings}}))",
         f"select vec_id, cast(i as bigint) as i, cast((v * (64 - i) + w * i + 32) >> 6 as bigint) as y from (select vec_id, i, v, first_value(v) over (partition by vec_id, least(i, 63 - i) order by case when true then -i end rows between unbounded preceding and unbounded following) as hi, last_value(v) over (partition by vec_id, least(i, 63 - i) order by -i rows between unbounded preceding and unbounded following) as lo, case when i < 32 then hi else lo end as w from ({DUCK_PIX}))",
     ),
-    "yuv_to_rgb": (
-        """select event_id, greatest(0, least(255, y + ((91881 * v + 32768) >> 16))) as r, greatest(0, least(255, y - ((22554 * u + 46802 * v + 32768) >> 16))) as g, greatest(0, least(255, y + ((116130 * u + 32768) >> 16))) as b
-        from (select event_id, event_id % 256 as y, user_id * 7 % 256 - 128 as u, (event_id * 13 + user_id) % 256 - 128 as v from {events})""",
-        None,
-    ),
     "leb128_len": (
         "select event_id, case when v = 0 then 1 else cast(ceil(length(bin(v)) / 7.0) as int) end as n_bytes from (select event_id, event_id * 8191 as v from {events})",
         "select event_id, case when v = 0 then 1 else cast(ceil(length(ltrim(bin(v), '0')) / 7.0) as int) end as n_bytes from (select event_id, event_id * 8191 as v from events)",
@@ -198,26 +88,11 @@ SQL: dict[str, tuple[str, str | None]] = {
         "select event_id, event_id * 8191 as v, cast(greatest(1, ceil(length(ltrim(bin(event_id * 8191), '0')) / 7.0)) as bigint) as n from events",
     ),
     "uvlc_bits": ("select event_id, concat(repeat('0', length(bin(event_id + 1)) - 1), bin(event_id + 1)) as bits from {events}", "select event_id, concat(repeat('0', length(ltrim(bin(event_id + 1), '0')) - 1), ltrim(bin(event_id + 1), '0')) as bits from events"),
-    "su_decode": ("select event_id, cast(case when v >= 32 then v - 64 else v end as bigint) as y from (select event_id, event_id % 64 as v from {events})", None),
-    "ns_decode": (
-        "select event_id, cast(case when v < 3 then v else v * 2 - 3 + b end as bigint) as y from (select event_id, event_id % 4 as v, user_id % 2 as b from {events})",
-        None,
-    ),
-    "enum_labels": ("select event_id, case event_type when 'signup' then 'KEY_FRAME' when 'click' then 'INTER_FRAME' when 'purchase' then 'INTRA_ONLY_FRAME' when 'view' then 'SWITCH_FRAME' else 'UNKNOWN' end as label from {events}", None),
-    "fourcc": ("select doc_id, substring(text, 1, 4) as fourcc, ascii(substring(text, 1, 1)) as first_byte from {documents} where ascii(substring(text, 1, 1)) < 128", "select doc_id, substring(text, 1, 4) as fourcc, ascii(substring(text, 1, 1)) as first_byte from documents where ascii(substring(text, 1, 1)) < 128"),
-    "format_sniff": (
-        "select page_id, case when substring(html, 1, 4) = 'DKIF' then 'ivf' when substring(html, 5, 4) in ('ftyp', 'moov', 'mdat', 'free', 'skip', 'wide', 'pnot') then 'mp4' when lower(ltrim(html)) like '<!doctype%' or lower(ltrim(html)) like '<html%' then 'html' else 'unknown' end as format from {pages}",
-        None,
-    ),
     # --- arrays and sets -----------------------------------------------------------------------------------------
     "scan_permutation": (
         f"select vec_id, cast(pos as bigint) as i, cast(v as bigint) as v from (select vec_id, posexplode(transform(sequence(0, 63), k -> q[k % 8 * 8 + k div 8])) as (pos, v) from (select vec_id, {SPARK_Q} as q from {{embeddings}}))",
         f"select vec_id, cast(i % 8 * 8 + i // 8 as bigint) as i, cast(v as bigint) as v from ({DUCK_PIX})",
     ),
-    "edge_smooth": (
-        f"select vec_id, cast(pos as bigint) as i, cast(y as bigint) as y from (select vec_id, posexplode(transform(q, (x, k) -> shiftright(q[cast(greatest(k - 1, 0) as int)] * 5 + x * 6 + q[cast(least(k + 1, 63) as int)] * 5 + 8, 4))) as (pos, y) from (select vec_id, {SPARK_Q} as q from {{embeddings}}))",
-        f"select vec_id, cast(i as bigint) as i, cast((coalesce(lag(v) over w, v) * 5 + v * 6 + coalesce(lead(v) over w, v) * 5 + 8) >> 4 as bigint) as y from ({DUCK_PIX}) window w as (partition by vec_id order by i)",
-    ),
     "sorted_union": (
         f"select vec_id, array_join(array_sort(array_union(slice(q, 1, 8), slice(q, 9, 8))), ',') as colors from (select vec_id, {SPARK_Q} as q from {{embeddings}})",
         f"select vec_id, array_to_string(list_sort(list_distinct(q[1:16])), ',') as colors from (select vec_id, {DUCK_Q} as q from embeddings)",
@@ -243,57 +118,10 @@ SQL: dict[str, tuple[str, str | None]] = {
         """select user_id, aggregate(transform(array_sort(collect_list(struct(ts, event_id, value))), x -> cast(floor(x.value) as bigint) % 41 - 20), 128L, (q, d) -> greatest(1L, least(255L, q + d))) as q from {events} group by user_id""",
         """select user_id, list_reduce(list_prepend(cast(128 as bigint), list(cast(floor(value) as bigint) % 41 - 20 order by ts, event_id)), lambda q, d: greatest(1, least(255, q + d))) as q from events group by user_id""",
     ),
-    "encoder_session": (
-        """select user_id, event_id, n as frame_count, (n = 0 or n % 30 = 0 or event_type = 'signup') as is_key, concat('2,', case when n = 0 or n % 30 = 0 or event_type = 'signup' then '1,' else '' end, '6') as obus
-        from (select user_id, event_id, event_type, cast(row_number() over (partition by user_id order by ts, event_id) - 1 as bigint) as n from {events})""",
-        None,
-    ),
-    "error_policies": (
-        """select event_id, event_type = 'error' as skipped, (errors > 0) as stopped, shown from (select event_id, event_type, sum(case when event_type = 'error' then 1 else 0 end) over w as errors,
-            max(case when event_type <> 'error' then event_id end) over w as shown from {events} window w as (partition by user_id order by ts, event_id rows between unbounded preceding and current row))""",
-        None,
-    ),
 }
 
 
-def _stencil(pixels: str) -> str:
-    """Each sample with its neighbours t_3 .. t4, edges repeated."""
-    near = ", ".join(
-        f"coalesce({'lag' if d < 0 else 'lead'}(v, {abs(d)}) over (partition by vec_id order by i), {'first_value' if d < 0 else 'last_value'}(v) over (partition by vec_id order by i rows between unbounded preceding and unbounded following)) as t{str(d).replace('-', '_')}"
-        for d in (-3, -2, -1, 1, 2, 3, 4)
-    )
-    return f"select vec_id, cast(i as bigint) as i, v, {near} from ({pixels})"
-
-
-def _constrained(tap: str) -> str:
-    """A neighbour's difference, held by strength 6 and a shift of 2."""
-    return f"sign({tap} - v) * least(abs({tap} - v), greatest(0, 6 - (abs({tap} - v) >> 2)))"
-
-
-def _both(select: str) -> tuple[str, str]:
-    return select.format(_stencil(SPARK_PIX)), select.format(_stencil(DUCK_PIX))
-
-
-_SUM = f"4 * ({_constrained('t_1')} + {_constrained('t1')}) + 2 * ({_constrained('t_2')} + {_constrained('t2')})"
 SQL |= {
-    "fir8": _both("select vec_id, i, cast(greatest(0, least(255, (2 * (t_2 + t3) - 14 * (t_1 + t2) + 76 * (v + t1) + 64) >> 7)) as bigint) as y from ({})"),
-    "deblock_narrow": _both(
-        """select vec_id, i, cast(greatest(0, least(255, v - f)) as bigint) as q, cast(greatest(0, least(255, t_1 + f)) as bigint) as p
-        from (select *, greatest(-128, least(127, greatest(-128, least(127, t_2 - t1)) + 3 * (v - t_1) + 4)) >> 3 as f from ({})) where i % 4 = 0 and i > 0 and abs(t_1 - v) * 2 + (abs(t_2 - t1) >> 1) <= 60"""
-    ),
-    "cdef_1d": _both(
-        f"""select vec_id, i, cast(greatest(least(v, t_2, t_1, t1, t2), least(greatest(v, t_2, t_1, t1, t2), v + ((8 + s - case when s < 0 then 1 else 0 end) >> 4))) as bigint) as y
-        from (select *, cast({_SUM} as int) as s from ({{}}))"""
-    ),
-    "wht4": tuple(
-        f"""select vec_id, cast({part} as bigint) as block, cast(sum(v) as bigint) as c0, cast(sum(case when i % 4 < 2 then v else -v end) as bigint) as c1,
-        cast(sum(case when i % 4 in (0, 3) then v else -v end) as bigint) as c2, cast(sum(case when i % 2 = 0 then v else -v end) as bigint) as c3 from ({pixels}) group by vec_id, {part}"""
-        for pixels, part in ((SPARK_PIX, "i div 4"), (DUCK_PIX, "i // 4"))
-    ),
-    "bytes_fields": (
-        "select doc_id, b >> 7 as forbidden, (b >> 3) & 15 as unit_type, (b >> 2) & 1 as has_extension, (b >> 1) & 1 as has_size from (select doc_id, ascii(substring(text, 1, 1)) as b from {documents}) where b < 128",
-        None,
-    ),
     "adaptive_cdf": (
         """select user_id, r.p[0] as p0, r.p[1] as p1, r.p[2] as p2, r.p[3] as p3, r.c as n from (select user_id, aggregate(array_sort(collect_list(struct(ts, event_id, cast(event_id * 7 % 5 as int) as sym))),
             named_struct('p', array(26215, 19661, 13108, 6554), 'c', 0),
@@ -317,5 +145,6 @@ def _query(sql: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+SQL |= kernels.SQL
 QUERIES = {name: _query(sql) for name, (sql, _) in SQL.items()}
 ORACLES = {name: oracle or re.sub(r"\{(\w+)\}", r"\1", sql) for name, (sql, oracle) in SQL.items()}
