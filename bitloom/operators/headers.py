@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.bits import byte_at
@@ -16,7 +17,8 @@ FRAME_TYPES = ("KEY_FRAME", "INTER_FRAME", "INTRA_ONLY_FRAME", "SWITCH_FRAME")
 SEQUENCE_FIELDS = (
     "profile int, still_picture boolean, reduced_still boolean, operating_points int, level int, width int, height int, superblock_128 boolean, "
     "filter_intra boolean, intra_edge_filter boolean, order_hint_bits int, superres boolean, cdef boolean, restoration boolean, bit_depth int, "
-    "mono_chrome boolean, color_primaries int, transfer int, matrix int, full_range boolean, subsampling_x int, subsampling_y int, film_grain boolean"
+    "mono_chrome boolean, color_primaries int, transfer int, matrix int, full_range boolean, subsampling_x int, subsampling_y int, film_grain boolean, "
+    "display_tick long, time_scale long, ticks_per_picture long, decoding_tick long, point_idcs array<int>, point_levels array<int>, point_tiers array<int>"
 )
 
 
@@ -43,27 +45,30 @@ def _sequence(data: bytes) -> tuple:
     f = _Bits(data)
     profile, still, reduced = f(3), f(), f()
     points, level, hint_bits, delay_bits, model = 1, 0, 0, 0, 0
+    tick, scale, per_picture, decoding = None, None, None, None
+    idcs, levels, tiers = [0], [0], [0]
     if reduced:
         level = f(5)
+        levels = [level]
     else:
         if f():  # timing
-            f(64)
+            tick, scale = f(32), f(32)
             if f():
-                f.uvlc()
+                per_picture = f.uvlc() + 1
             if model := f():
-                delay_bits = f(5) + 1
-                f(42)
+                delay_bits, decoding = f(5) + 1, f(32)
+                f(10)
         display_delay, points = f(), f(5) + 1
-        for k in range(points):
-            f(12)
-            here = f(5)
-            level = here if k == 0 else level
-            if here > 7:
-                f()
+        idcs, levels, tiers = [], [], []
+        for _ in range(points):
+            idcs.append(f(12))
+            levels.append(f(5))
+            tiers.append(f() if levels[-1] > 7 else 0)
             if model and f():
                 f(2 * delay_bits + 1)
             if display_delay and f():
                 f(4)
+        level = levels[0]
     wide, high = f(4) + 1, f(4) + 1
     width, height = f(wide) + 1, f(high) + 1
     if not reduced and f():
@@ -101,7 +106,7 @@ def _sequence(data: bytes) -> tuple:
             f(2)
         f()
     grain = f()
-    return profile, bool(still), bool(reduced), points, level, width, height, bool(big), bool(intra), bool(edge), hint_bits, bool(superres), bool(cdef), bool(restoration), depth, bool(mono), primaries, transfer, matrix, bool(full), sx, sy, bool(grain)
+    return profile, bool(still), bool(reduced), points, level, width, height, bool(big), bool(intra), bool(edge), hint_bits, bool(superres), bool(cdef), bool(restoration), depth, bool(mono), primaries, transfer, matrix, bool(full), sx, sy, bool(grain), tick, scale, per_picture, decoding, idcs, levels, tiers
 
 
 def sequence_headers(units: DataFrame) -> DataFrame:
@@ -116,7 +121,7 @@ def sequence_headers(units: DataFrame) -> DataFrame:
                     rows.append((path, sample, unit, *_sequence(bytes(data))))
                 except ValueError:
                     continue
-            yield pd.DataFrame(rows, columns=names)
+            yield pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in ("display_tick", "time_scale", "ticks_per_picture", "decoding_tick")})
 
     return units.where(F.col("obu_type") == SEQUENCE).select("path", "sample_index", "obu_index", "payload").mapInPandas(run, f"path string, sample_index int, obu_index int, {SEQUENCE_FIELDS}")
 
@@ -125,13 +130,18 @@ def frame_headers(units: DataFrame) -> DataFrame:
     """The first fields of frame headers, cut from the first byte by column expressions.
 
     A repeated frame has no type of its own. Units before the first sequence header of their file, and empty ones, are
-    left out, as they cannot be read; sequence headers with the reduced form are taken as the usual one.
+    left out, as they cannot be read. Under a sequence header of the reduced form a frame header has none of these
+    fields: it is a key frame that is shown.
     """
-    first = units.where(F.col("obu_type") == SEQUENCE).groupBy("path").agg(F.min(F.struct("sample_index", "obu_index")).alias("__first"))
-    b = byte_at(F.col("payload"), 0)
+    order = W.partitionBy("path").orderBy("sample_index", "obu_index")
+    head = F.when(F.col("obu_type") == SEQUENCE, byte_at(F.col("payload"), 0))
+    active = F.last(head, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))
+    rows = units.where(F.col("obu_type").isin(SEQUENCE, FRAME_HEADER, FRAME)).withColumn("__active", active)
+    rows = rows.where((F.col("obu_type") != SEQUENCE) & F.col("__active").isNotNull() & (F.octet_length("payload") > 0))
+    # A reduced header stands for a byte that says: not repeated, key frame, shown.
+    b = F.when(F.shiftright("__active", 3).bitwiseAND(1) == 1, F.lit(0x10)).otherwise(byte_at(F.col("payload"), 0))
     bit = lambda n: F.shiftright(b, n).bitwiseAND(1) == 1
     again, kind, shown = bit(7), F.shiftright(b, 5).bitwiseAND(3), bit(4)
-    rows = units.where(F.col("obu_type").isin(FRAME_HEADER, FRAME) & (F.octet_length("payload") > 0)).join(first, "path").where(F.struct("sample_index", "obu_index") > F.col("__first"))
     always: Column = (kind == 3) | ((kind == 0) & shown)
     return rows.select(
         "path",

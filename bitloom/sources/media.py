@@ -11,7 +11,7 @@ import struct
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -61,7 +61,7 @@ def _walk(walk: Callable[[bytes], Iterator[tuple]], columns: list[str], column:
 
 
 def ivf_samples(rows: DataFrame) -> DataFrame:
-    """(path, sample_index, pts, data): the frames of IVF files; a cut last frame is dropped."""
+    """(path, sample_index, pts, data, offset): the frames of IVF files and where their data begin; a cut last frame is dropped."""
 
     def walk(data: bytes) -> Iterator[tuple]:
         at, i = 32, 0
@@ -69,10 +69,10 @@ def ivf_samples(rows: DataFrame) -> DataFrame:
             size, pts = struct.unpack_from("<IQ", data, at)
             if at + 12 + size > len(data):
                 return
-            yield i, pts, data[at + 12 : at + 12 + size]
+            yield i, pts, data[at + 12 : at + 12 + size], at + 12
             at, i = at + 12 + size, i + 1
 
-    return rows.mapInPandas(_walk(walk, ["sample_index", "pts", "data"]), "path string, sample_index int, pts long, data binary")
+    return rows.mapInPandas(_walk(walk, ["sample_index", "pts", "data", "offset"]), "path string, sample_index int, pts long, data binary, offset long")
 
 
 def _leb128(data: bytes, at: int, end: int) -> tuple[int, int]:
@@ -195,13 +195,66 @@ def boxes(rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(_walk(walk, ["box", "track", "at", "payload"]), "path string, box string, track int, at long, payload binary")
 
 
+def _be(at: int | str, n: int) -> Column:
+    """The big-endian number in n bytes of a payload from place at on."""
+    return F.conv(F.hex(F.expr(f"substring(payload, cast({at} as int) + 1, {n})")), 16, 10).cast("long")
+
+
 def _numbers(found: DataFrame, box: str, first: int, width: int, per_row: int) -> DataFrame:
-    """Rows of per_row numbers of width bytes each from byte first of a box's payload, numbered from 1."""
-    data = found.where(F.col("box").endswith(f"/stbl/{box}"))
-    n = ((F.octet_length("payload") - first) / (width * per_row)).cast("int")
-    number = lambda i, k: F.conv(F.hex(F.expr(f"substring(payload, cast({first} + ({per_row} * (i - 1) + {k}) * {width} + 1 as int), {width})")), 16, 10).cast("long")
-    rows = data.where(n > 0).select("path", "track", "payload", F.explode(F.sequence(F.lit(1), n)).alias("i"))
-    return rows.select("path", "track", "i", *[number("i", k).alias(f"v{k}") for k in range(per_row)])
+    """Rows of per_row numbers of width bytes each from byte first of a box's payload, numbered from 1.
+
+    The entry count stands in the four bytes before; what lies beyond that many entries, or is missing, gives no row.
+    A sample-size box that names one size for all has no entries: each of its samples has that size.
+    """
+    data = found.where(F.col("box").endswith(f"/stbl/{box}") & (F.octet_length("payload") >= first))
+    there = F.floor((F.octet_length("payload") - first) / (width * per_row))
+    number = lambda i, k: F.conv(F.hex(F.substring("payload", (first + width * (per_row * (i - 1) + k) + 1).cast("int"), F.lit(width))), 16, 10).cast("long")
+    entry = lambda i: F.struct(i.alias("i"), *[number(i, k).alias(f"v{k}") for k in range(per_row)])
+    one = _be(4, 4) if box == "stsz" else F.lit(0)
+    n = F.when(one > 0, _be(first - 4, 4)).otherwise(F.least(_be(first - 4, 4), there)).cast("int")
+    same = lambda i: F.struct(i.alias("i"), *[one.alias(f"v{k}") for k in range(per_row)])
+    listed = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.when(one > 0, same(i)).otherwise(entry(i))))
+    return data.select("path", "track", F.explode(listed).alias("e")).select("path", "track", "e.*")
+
+
+def tracks(found: DataFrame) -> DataFrame:
+    """(path, track, track_id, handler, timescale, codec, width, height, av1_config, config_obus) of every track of MP4 files.
+
+    Fields of boxes that are missing or too short are null. Of several boxes of one kind in a track the first counts.
+    """
+    leaf = lambda name, value: F.min_by(value, F.when(F.col("box").endswith(name), F.col("at")))
+    text = lambda at: F.decode(F.expr(f"substring(payload, {at} + 1, 4)"), "iso-8859-1")
+    long = F.substring("payload", 1, 1) == F.lit(b"\1")
+    place = F.floor((F.instr(F.hex("payload"), "61763143") - 1) / 2)
+    config = F.when((place > 0) & ((F.instr(F.hex("payload"), "61763143") - 1) % 2 == 0), F.expr("substring(payload, cast((instr(hex(payload), '61763143') - 1) / 2 + 5 as int), cast(conv(hex(substring(payload, cast((instr(hex(payload), '61763143') - 1) / 2 - 3 as int), 4)), 16, 10) as int) - 8)"))
+    rows = found.where((F.col("track") > 0) & F.col("payload").isNotNull())
+    named = rows.groupBy("path", "track").agg(
+        leaf("/tkhd", F.when(long, _be(20, 4)).otherwise(_be(12, 4))).alias("track_id"),
+        leaf("/mdia/hdlr", text(8)).alias("handler"),
+        leaf("/mdia/mdhd", F.when(long, _be(20, 4)).otherwise(_be(12, 4))).alias("timescale"),
+        leaf("/stbl/stsd", text(12)).alias("codec"),
+        leaf("/stbl/stsd", _be(40, 2)).alias("width"),
+        leaf("/stbl/stsd", _be(42, 2)).alias("height"),
+        leaf("/stbl/stsd", config).alias("av1_config"),
+    )
+    return named.withColumn("config_obus", F.expr("substring(av1_config, 5)"))
+
+
+def first_av1_track(rows: DataFrame) -> DataFrame:
+    """Of the tracks of each file the first video track of AV1; files without one give no row."""
+    of = rows.where("handler = 'vide' and codec = 'av01'")
+    return of.join(of.groupBy("path").agg(F.min("track").alias("track")), ["path", "track"], "left_semi")
+
+
+def mp4_sample_data(rows: DataFrame, samples: DataFrame) -> DataFrame:
+    """(path, track, sample_index, data): the bytes of samples (of mp4_samples), cut out of files (path, content).
+
+    A file's samples are cut out of its one row; those that reach beyond its end give no row.
+    """
+    of = samples.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("track", "sample_index", "offset", "size"))).alias("samples"))
+    inside = F.filter("samples", lambda s: s["offset"] + s["size"] <= F.octet_length("content"))
+    cut = F.transform(inside, lambda s: F.struct(s["track"].alias("track"), s["sample_index"].alias("sample_index"), F.substring("content", (s["offset"] + 1).cast("int"), s["size"].cast("int")).alias("data")))
+    return rows.join(of, "path").select("path", F.explode(cut).alias("s")).select("path", "s.*")
 
 
 def mp4_samples(found: DataFrame) -> DataFrame:
@@ -233,3 +286,54 @@ def mp4_samples(found: DataFrame) -> DataFrame:
 
 def unit_histogram(rows: DataFrame) -> DataFrame:
     return rows.where("error is null").groupBy("obu_type").count().orderBy("obu_type")
+
+
+def y4m_frames(rows: DataFrame) -> DataFrame:
+    """(path, frame, width, height, y, u, v): the 4:2:0 frames of Y4M files; a cut last frame is dropped."""
+
+    def walk(data: bytes) -> Iterator[tuple]:
+        head, _, rest = data.partition(b"\n")
+        fields = {f[:1]: f[1:] for f in head.split(b" ")[1:]}
+        if not head.startswith(b"YUV4MPEG2") or not (fields.get(b"W", b"").isdigit() and fields.get(b"H", b"").isdigit()):
+            return
+        w, h = int(fields[b"W"]), int(fields[b"H"])
+        luma, chroma, at, n = w * h, (w + 1) // 2 * ((h + 1) // 2), 0, 0
+        while rest[at : at + 5] == b"FRAME" and (begin := rest.find(b"\n", at) + 1) and begin + luma + 2 * chroma <= len(rest):
+            y, u = begin + luma, begin + luma + chroma
+            yield n, w, h, rest[begin:y], rest[y:u], rest[u : u + chroma]
+            at, n = u + chroma, n + 1
+
+    return rows.mapInPandas(_walk(walk, ["frame", "width", "height", "y", "u", "v"]), "path string, frame int, width int, height int, y binary, u binary, v binary")
+
+
+def compare_frames(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """Per path, frame and plane: samples, how many differ, the largest difference, and the first place that differs.
+
+    Both sides have the columns of y4m_frames; frames that one side lacks are left out, as are samples beyond the
+    shorter plane. Planes are compared byte by byte where they lie, joined by path and frame.
+    """
+    planes = lambda side: side.select("path", "frame", "width", F.explode(F.create_map(*[x for c in "yuv" for x in (F.lit(c), F.col(c))])).alias("plane", side_name(side)))
+    side_name = lambda side: "a" if side is ours else "b"
+    both = planes(ours).join(planes(theirs).drop("width"), ["path", "frame", "plane"])
+    byte = lambda c, i: F.conv(F.hex(F.substring(F.col(c), i, F.lit(1))), 16, 10).cast("int")
+    n = F.least(F.octet_length("a"), F.octet_length("b"))
+    diff = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.abs(byte("a", i) - byte("b", i)))).otherwise(F.array().cast("array<int>"))
+    both = both.select("path", "frame", "plane", "width", diff.alias("d"))
+    first = F.array_position(F.transform("d", lambda x: x > 0), True) - 1
+    wide = F.when(F.col("plane") == "y", F.col("width")).otherwise(F.floor((F.col("width") + 1) / 2))
+    return both.select(
+        "path", "frame", "plane", F.size("d").alias("samples"), F.size(F.filter("d", lambda x: x > 0)).alias("differing"), F.coalesce(F.array_max("d"), F.lit(0)).alias("largest"),
+        F.when(first >= 0, F.pmod(first, wide)).alias("first_x"), F.when(first >= 0, F.floor(first / wide)).alias("first_y"),
+    )
+
+
+def inspect(rows: DataFrame) -> DataFrame:
+    """(path, format, obu_type, n): the report on files of every format: how many record units of each type they hold."""
+    known = sniff(rows)
+    of = lambda name: known.where(F.col("format") == name).drop("format")
+    found = boxes(of("mp4"))
+    chosen = mp4_samples(found).join(first_av1_track(tracks(found)).select("path", "track"), ["path", "track"], "left_semi")
+    samples = ivf_samples(of("ivf")).select("path", "sample_index", "data").unionByName(mp4_sample_data(of("mp4"), chosen).select("path", "sample_index", "data"))
+    samples = samples.unionByName(of("obu").select("path", F.lit(0).alias("sample_index"), F.col("content").alias("data")))
+    counted = units(samples).unionByName(annexb_units(of("annexb"))).where("error is null").groupBy("path", "obu_type").agg(F.count("*").alias("n"))
+    return known.select("path", "format").join(counted, "path", "left")

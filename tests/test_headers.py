@@ -23,6 +23,21 @@ def test_reduced_still_header(spark):
     data = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
     (r,) = H.sequence_headers(units(spark, bytes([0x0A, len(data)]) + data)).collect()
     assert (r["width"], r["height"], r["reduced_still"], r["cdef"], r["bit_depth"]) == (320, 240, True, True, 8)
+    assert (r["point_levels"], r["display_tick"]) == ([4], None)
+    (f,) = H.frame_headers(units(spark, bytes([0x0A, len(data)]) + data + b"\x32\x02\xff\x00")).collect()
+    assert (f["frame_type_name"], f["show_frame"], f["show_existing"], f["error_resilient"], f["showable"]) == ("KEY_FRAME", True, False, True, False)
+
+
+def test_timing_and_operating_points(spark):
+    """Timing, a decoder model and two operating points, built bit by bit."""
+    bits = "000" "0" "0" "1" + format(1001, "032b") + format(30000, "032b") + "1" "010" "1" "00011" + format(90000, "032b") + "0000000000" "0" "00001"
+    bits += format(0x101, "012b") + "01001" "1" "0" + format(0x102, "012b") + "00100" "0"
+    bits += "0011" "0011" + format(15, "04b") + format(7, "04b") + "0" "000" "0000" "0" "1" "1" "000" "0" "0" "0" "00" "00"
+    data = int(bits.ljust(-(-len(bits) // 8) * 8 + 8, "0"), 2).to_bytes(-(-len(bits) // 8) + 1, "big")
+    (r,) = H.sequence_headers(units(spark, bytes([0x0A, len(data)]) + data)).collect()
+    assert (r["display_tick"], r["time_scale"], r["ticks_per_picture"], r["decoding_tick"]) == (1001, 30000, 2, 90000)
+    assert (r["operating_points"], r["level"], r["point_idcs"], r["point_levels"], r["point_tiers"]) == (2, 9, [0x101, 0x102], [9, 4], [1, 0])
+    assert (r["width"], r["height"]) == (16, 8)
 
 
 def test_frame_headers(spark):

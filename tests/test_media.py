@@ -67,3 +67,76 @@ def test_sniff(spark):
     rows = table(spark, ivf([]), box(b"ftyp", b"isom"), bytes.fromhex("12000A01FF"), bytes.fromhex("03020110"), b"xx", b"\xff" * 9)
     got = [r["format"] for r in M.sniff(rows).orderBy("path").collect()]
     assert got == ["ivf", "mp4", "obu", "annexb", "unknown", "unknown"]
+
+
+def test_mp4_constant_sizes_and_counts(spark):
+    n = lambda *x: struct.pack(f">{len(x)}I", *x)
+    stbl = box(b"stbl", box(b"stsz", n(0, 7, 3)), box(b"stco", n(0, 1, 40, 999)), box(b"stsc", n(0, 1, 1, 3, 1, 9, 9, 9)))
+    data = box(b"ftyp", b"isom") + box(b"moov", box(b"trak", box(b"mdia", box(b"minf", stbl))))
+    got = M.mp4_samples(M.boxes(table(spark, data))).orderBy("sample_index").collect()
+    assert [(r["size"], r["offset"], r["is_sync"]) for r in got] == [(7, 40, True), (7, 47, True), (7, 54, True)]
+
+
+def mp4(frames):
+    """A file with a sound track, a video track of another codec, and one of AV1 that holds frames."""
+    n = lambda *x: struct.pack(f">{len(x)}I", *x)
+    entry = lambda codec, *more: box(b"stsd", n(0, 1), box(codec, bytes(24), struct.pack(">HH", 64, 48), bytes(50), *more))
+    media = lambda handler, stsd, *stbl: box(b"mdia", box(b"mdhd", n(0, 0, 0, 24000, 0)), box(b"hdlr", n(0, 0), handler, bytes(12)), box(b"minf", box(b"stbl", stsd, *stbl)))
+    trak = lambda i, *parts: box(b"trak", box(b"tkhd", n(0, 0, 0, i, 0)), media(*parts))
+    head = box(b"ftyp", b"isom") + box(b"mdat", b"".join(frames))
+    sizes = box(b"stsz", n(0, 0, len(frames), *map(len, frames)))
+    video = trak(9, b"vide", entry(b"av01", box(b"av1C", b"\x81\x04\x0c\x00" + b"\x0a\x01\x00")), sizes, box(b"stco", n(0, 1, 12 + 8)), box(b"stsc", n(0, 1, 1, len(frames), 1)))
+    return head + box(b"moov", trak(1, b"soun", entry(b"mp4a")), trak(2, b"vide", entry(b"avc1")), video)
+
+
+def test_tracks_and_sample_data(spark):
+    frames = [bytes.fromhex("1200"), bytes.fromhex("0A03010203"), bytes.fromhex("3202AABB")]
+    rows = table(spark, mp4(frames))
+    found = M.boxes(rows)
+    got = M.tracks(found).orderBy("track").collect()
+    assert [(r["track_id"], r["handler"], r["codec"], r["timescale"]) for r in got] == [(1, "soun", "mp4a", 24000), (2, "vide", "avc1", 24000), (9, "vide", "av01", 24000)]
+    (av1,) = M.first_av1_track(M.tracks(found)).collect()
+    assert (av1["track"], av1["width"], av1["height"], bytes(av1["av1_config"]), bytes(av1["config_obus"])) == (3, 64, 48, b"\x81\x04\x0c\x00\x0a\x01\x00", b"\x0a\x01\x00")
+    data = M.mp4_sample_data(rows, M.mp4_samples(found).where("track = 3")).orderBy("sample_index").collect()
+    assert [bytes(r["data"]) for r in data] == frames
+
+
+def test_inspect(spark):
+    stream = bytes.fromhex("1200" "0A03010203" "3202AABB")
+    rows = table(spark, mp4([stream[:2], stream[2:]]), ivf([stream, stream]), stream, bytes.fromhex("03020110"), b"?" * 9)
+    got = {(r["path"], r["format"], r["obu_type"]): r["n"] for r in M.inspect(rows).collect()}
+    assert got == {("f0", "mp4", 2): 1, ("f0", "mp4", 1): 1, ("f0", "mp4", 6): 1, ("f1", "ivf", 2): 2, ("f1", "ivf", 1): 2, ("f1", "ivf", 6): 2, ("f2", "obu", 2): 1, ("f2", "obu", 1): 1, ("f2", "obu", 6): 1, ("f3", "annexb", 2): 1, ("f4", "unknown", None): None}
+
+
+def test_units_round_trip(spark):
+    from bitloom.sources import writers
+
+    data = bytes.fromhex("1200" "0A03010203" "36480201FF") + bytes([0x32, 0xC8, 0x01]) + bytes(200)
+    read = M.units(spark.createDataFrame([("f", 0, bytearray(data)), ("g", 1, bytearray(b"\x12\x00"))], "path string, sample_index int, data binary"))
+    assert {r["path"]: bytes(r["data"]) for r in writers.sample_bytes(read).collect()} == {"f": data, "g": b"\x12\x00"}
+
+
+def test_video_round_trip_and_comparison(spark):
+    from bitloom.sources import writers
+
+    planes = [bytes((7 * k + f) % 256 for k in range(5 * 3 + 2 * 3 * 2)) for f in range(2)]
+    data = b"YUV4MPEG2 W5 H3 F30:1 Ip A1:1 C420jpeg\n" + b"".join(b"FRAME\n" + p for p in planes)
+    frames = M.y4m_frames(table(spark, data, data[:-1], b"YUV4MPEG2 W5\n", b""))
+    assert [(r["path"], r["frame"], len(r["y"]), len(r["u"])) for r in frames.orderBy("path", "frame").collect()] == [("f0", 0, 15, 6), ("f0", 1, 15, 6), ("f1", 0, 15, 6)]
+    assert {r["path"]: bytes(r["content"]) for r in writers.y4m_bytes(frames).collect()}["f0"] == data
+    assert {r["path"]: bytes(r["content"]) for r in writers.yuv_bytes(frames).collect()}["f0"] == b"".join(planes)
+    ppm = bytes(writers.ppm_bytes(frames.where("path = 'f0' and frame = 0")).first()["ppm"])
+    clip = lambda x: max(0, min(255, x))
+    y, u, v = planes[0][:15], planes[0][15:21], planes[0][21:]
+    want = b""
+    for i in range(15):
+        k = i // 5 // 2 * 3 + i % 5 // 2
+        a, b = u[k] - 128, v[k] - 128
+        want += bytes([clip(y[i] + (91881 * b + 32768 >> 16)), clip(y[i] - (22554 * a + 46802 * b + 32768 >> 16)), clip(y[i] + (116130 * a + 32768 >> 16))])
+    assert ppm == b"P6\n5 3\n255\n" + want
+    other = bytearray(data)
+    other[data.index(b"FRAME\n") + 6 + 7] ^= 3
+    got = {(r["path"], r["frame"], r["plane"]): r for r in M.compare_frames(frames, M.y4m_frames(table(spark, bytes(other)))).collect()}
+    r = got["f0", 0, "y"]
+    assert len(got) == 6 and (r["samples"], r["differing"], r["first_x"], r["first_y"]) == (15, 1, 2, 1) and r["largest"] in (1, 3)
+    assert all(r["differing"] == 0 and r["first_x"] is None for k, r in got.items() if k != ("f0", 0, "y"))
