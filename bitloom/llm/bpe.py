@@ -66,6 +66,8 @@ def _pmod(h: np.ndarray, n: int) -> np.ndarray:
 def load_merges(path: str) -> Merges:
     """Read a file of base64 pieces and ranks; every pair of pieces that together make a piece is a merge."""
     ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(path, "rb").read().splitlines() if line)}
+    if max(ranks.values()) > 65535:
+        raise ValueError("ids of more than 16 bits do not fit into the merge table")
     pieces = [b""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
         pieces[rank] = piece

@@ -94,7 +94,8 @@ def predict_language(docs: DataFrame, model: LanguageModel, text: str = "text",
     """docs with two more columns, lang_pred and score, from the text alone.
 
     Null, empty and letterless texts: `und`, 0. Ties go to the first language in order. Repeated rows are judged
-    alike; other columns pass through (columns named like the two new ones are replaced). Empty input: empty result.
+    alike; other columns pass through (columns named like the two new ones are replaced). A text of any length is read
+    whole, in parts. Empty input: empty result.
     """
     spark = docs.sparkSession
     arrow_batches(spark)

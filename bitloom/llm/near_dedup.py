@@ -115,13 +115,13 @@ def document_counts(texts: DataFrame) -> tuple[np.ndarray, int]:
         for x in table.column("counts").to_pylist():
             planes = np.frombuffer(pa.decompress(x, decompressed_size=4 * len(total), codec="zstd", asbytes=True), np.uint8)
             total += np.ascontiguousarray(planes.reshape(4, -1).T).view("<i4").reshape(-1)
-        return pa.table({"part": table.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary()), "n": pa.array([sum(table.column("n").to_pylist())], pa.int64())})
+        return pa.table({"part": table.column("part")[:1], "counts": pa.array([np.minimum(total, (1 << 32) - 1).astype("<u4").tobytes()], pa.binary()), "n": pa.array([sum(table.column("n").to_pylist())], pa.int64())})
 
     schema = "part int, counts binary, n long"
     rows = texts.select("text").mapInArrow(count, schema).groupBy("part").applyInArrow(add, schema).orderBy("part").collect()
     if not rows:
-        return np.zeros((2, 1 << DF_BITS), np.int64), 0
-    return np.concatenate([np.frombuffer(r["counts"], "<i8") for r in rows]).reshape(2, -1), rows[0]["n"]
+        return np.zeros((2, 1 << DF_BITS), np.uint32), 0
+    return np.concatenate([np.frombuffer(r["counts"], "<u4") for r in rows]).reshape(2, -1), rows[0]["n"]
 
 
 @dataclass(frozen=True)
@@ -137,7 +137,9 @@ class Idf:
 
 
 def idf_table(counts: np.ndarray, n: int) -> Idf:
-    return Idf(np.clip(np.rint(counts - counts.mean(axis=1, keepdims=True)), 1, max(n, 1)).astype(np.float32), n)
+    df = counts.astype(np.float32)
+    df -= counts.mean(axis=1, keepdims=True).astype(np.float32)
+    return Idf(np.clip(np.rint(df, out=df), 1, max(n, 1), out=df), n)
 
 
 def weights(h: np.ndarray, tf: np.ndarray, idf: Idf) -> np.ndarray:

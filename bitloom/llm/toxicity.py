@@ -8,6 +8,7 @@ words in a very long text are not averaged away. Misspellings share most n-grams
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,9 +25,9 @@ ORDERS = (3, 4, 5)
 DIM = 4
 #: Words of a window; windows overlap by half.
 WINDOW = 24
-#: Labelled documents of one class that the model is fitted on, at most (in expectation), and their longest text in bytes.
+#: Labelled documents of one class that the model is fitted on, at most (in expectation), and windows of each of them.
 SAMPLE_PER_CLASS = 1200
-LONGEST_SAMPLE = 60_000
+SAMPLE_WINDOWS = 500
 WORD = re.compile(r"\w+")
 #: Words that a task remembers the scores of.
 REMEMBERED = 1 << 20
@@ -117,16 +118,33 @@ def fit(texts: list[str], toxic: list[int], share: float = 0.5, steps: int = 150
     return ToxicityModel(gram, float(bias[0] + np.log(share / (1 - share))))
 
 
+def _drawn_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of more than SAMPLE_WINDOWS windows to that many of their windows, drawn by hash, in order."""
+    for batch in batches:
+        texts = []
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            words = WORD.findall((text or "").lower())
+            if len(words) > SAMPLE_WINDOWS * WINDOW:
+                starts = sorted(range(0, len(words), WINDOW), key=lambda s: zlib.crc32(f"{doc_id} {s}".encode()))[:SAMPLE_WINDOWS]
+                text = " ".join(" ".join(words[s : s + WINDOW]) for s in sorted(starts))
+            texts.append(text or "")
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), batch.column(2)], ["doc_id", "text", "toxic"])
+
+
 def train_toxicity_model(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> ToxicityModel:
     """Fit on a bounded sample of the labelled documents among docs; the sample's ids, at most 2 * per_class or so, are broadcast.
 
-    Rows with a null id or label count for nothing; a document with several labels is toxic if one says so.
+    Rows with a null id or label count for nothing; a document with several labels is toxic if one says so; of rows
+    with one id one is taken. The sample's texts reach the driver: 2 * per_class of at most SAMPLE_WINDOWS windows of
+    WINDOW words each, so some 200 MB if all were that long.
     """
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("__toxic"))
-    sample = bounded_sample(known.join(docs.select("doc_id").where("doc_id is not null").distinct(), "doc_id"), "__toxic", per_class)
-    rows = docs.where(F.octet_length("text") <= LONGEST_SAMPLE).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "__toxic").dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
-    share = known.agg(F.avg("__toxic")).first()[0] or 0.0
-    return fit(rows.column("text").to_pylist(), rows.column("__toxic").to_pylist(), min(max(share, 0.02), 0.5))
+    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    texts = docs.select("doc_id", "text").where("doc_id is not null")
+    sample = bounded_sample(known.join(texts.select("doc_id").distinct(), "doc_id"), "toxic", per_class)
+    rows = texts.join(F.broadcast(sample), "doc_id").select(F.col("doc_id").cast("long"), "text", "toxic").dropDuplicates(["doc_id"])
+    rows = rows.mapInArrow(_drawn_windows, "doc_id long, text string, toxic int").orderBy("doc_id").toArrow()
+    share = known.agg(F.avg("toxic")).first()[0] or 0.0
+    return fit(rows.column("text").to_pylist(), rows.column("toxic").to_pylist(), min(max(share, 0.02), 0.5))
 
 
 def score_texts(model: ToxicityModel, texts: list[str | None], known: dict[str, float] | None = None) -> np.ndarray:
@@ -157,8 +175,8 @@ def score_texts(model: ToxicityModel, texts: list[str | None], known: dict[str,
 def predict_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """doc_id, held_out, score, predicted of every row (doc_id, text), from the whole text alone.
 
-    Null text counts as empty; a null doc_id is kept. Repeated rows are judged alike. Other columns are ignored.
-    Empty input: empty result.
+    Null text counts as empty; a null doc_id is kept. Repeated rows are judged alike; there are no ties. Other columns
+    are ignored, whatever their names. A text of any length is read whole. Empty input: empty result.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
