@@ -7,13 +7,14 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from bitloom.llm import langid, near_dedup, packing, quality, suffix_dedup
 from bitloom.llm.common import is_training, materialize
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told stay: those with a letter, and a language that is likelier than not.
+    """Documents whose language can be told stay: those with a letter, and a language that is likelier than all others together.
 
     The model is learned from the labelled rows of the training fold. Without any labelled row nothing can be told,
     and nothing is rejected.
@@ -21,8 +22,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = langid.train_language_model(docs.where(is_training()))
     if not model.languages:
         return docs
-    judged = langid.predict_language(docs, model, lang_pred="__lang", score="__score")
-    return judged.where("__lang != 'und' and __score >= 0.4").select(*docs.columns)
+    lang, score = (next(x for x in (name + "_" * i for i in range(len(docs.columns) + 1)) if x not in docs.columns) for name in ("__lang", "__score"))
+    judged = langid.predict_language(docs, model, lang_pred=lang, score=score)
+    return judged.where((F.col(lang) != "und") & (F.col(score) >= 0.5)).select(*docs.columns)
 
 
 def apply_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
