@@ -28,7 +28,7 @@ END = 2
 #: Windows of a block, about.
 BLOCK = 128
 #: Strings between blanks that a task remembers the ids of.
-REMEMBERED = 1_000_000
+REMEMBERED = 2_000_000
 #: By tokenizer file: what this worker process has encoded so far, over all of its tasks.
 _known: dict[str, dict[str, bytes]] = {}
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
