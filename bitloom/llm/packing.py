@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 import json
 import math
+import string
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -55,22 +56,52 @@ def separable(tokenizer_json: str) -> bool:
     return all(settings.get(k) == v for k, v in SEPARABLE.items())
 
 
+#: ASCII symbols that the tokenizer keeps together as one run; the apostrophe can begin a contraction instead.
+MARKS = string.punctuation.replace("'", "")
+#: Words of one joined text.
+JOINED = 256
+
+
 def _stem(word: str) -> tuple[str, str]:
-    """A string that stands for word before the tokenizer, which lowers case and cuts marks off letters, and a last mark.
+    """A string that stands for word before the tokenizer, which lowers case and cuts marks off letters, and its last marks.
 
     Only words of letters below U+0130 are taken apart: from there on, lower case can add a mark of its own (U+0130),
     which the tokenizer would join with the mark that follows.
     """
-    if not word or max(word) >= "\u0130":
+    if not word.isascii() and max(word) >= "\u0130":
         return word, ""
-    mark = word[-1] if len(word) > 1 and word[-1] in ",.!?;:" and word[:-1].isalpha() else ""
-    return (word[:-1] if mark else word).lower(), mark
-
-
-def token_bytes(texts: list[str], tokenizer, known: dict[str, bytes] | None) -> list[bytes]:
+    stem = word.rstrip(MARKS)
+    return (stem.lower(), word[len(stem) :]) if stem.isalpha() else (word.lower(), "")
+
+
+def word_ends(tokenizer_json: str) -> np.ndarray | None:
+    """For each id, whether it ends a word; None if the tokenizer does not mark its last ids."""
+    model = json.loads(tokenizer_json)["model"]
+    if not (suffix := model.get("end_of_word_suffix")):
+        return None
+    ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+    ends[[i for x, i in model["vocab"].items() if x.endswith(suffix)]] = True
+    return ends
+
+
+def _ids_of_words(words: list[str], tokenizer, ends: np.ndarray) -> dict[str, bytes]:
+    """The ids of words of letters, encoded many at once with blanks between them and cut after ids that end a word."""
+    found = {}
+    parts = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+    for part, e in zip(parts, tokenizer.encode_batch_fast([" ".join(x) for x in parts], add_special_tokens=False), strict=True):
+        ids = np.array(e.ids, dtype="<u4")
+        stops = (4 * np.flatnonzero(ends[ids]) + 4).tolist()
+        if len(stops) == len(part):
+            data = ids.tobytes()
+            found.update(zip(part, (data[a:b] for a, b in zip([0, *stops], stops, strict=False)), strict=True))
+    return found
+
+
+def token_bytes(texts: list[str], tokenizer, known: dict[str, bytes] | None, ends: np.ndarray | None = None) -> list[bytes]:
     """The ids of each text, four bytes each, little-endian; known None: texts are encoded whole.
 
-    Strings between blanks are encoded once and looked up.
+    Strings between blanks are encoded once and looked up. With ends (see word_ends), words of letters below U+0130,
+    which the tokenizer leaves whole, are encoded many at once; other strings one by one.
     """
     if known is None:
         return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -79,11 +110,14 @@ def token_bytes(texts: list[str], tokenizer, known: dict[str, bytes] | None) ->
         known.clear()
     if new := list(set().union(*split).difference(known)):
         stems = [_stem(w) for w in new]
-        unknown = list({x for pair in stems for x in pair if x not in known})
-        for w, e in zip(unknown, tokenizer.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
+        unknown = {x for pair in stems for x in pair if x not in known}
+        if ends is not None:
+            known |= _ids_of_words([x for x in unknown if x.isalpha() and (x.isascii() or max(x) < "\u0130")], tokenizer, ends)
+        rest = [x for x in unknown if x not in known]
+        for w, e in zip(rest, tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             known[w] = array("I", e.ids).tobytes()
         for w, (stem, mark) in zip(new, stems, strict=True):
-            known[w] = known[stem] + known[mark]
+            known[w] = known[stem] + known[mark] if mark else known[stem]
     return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
@@ -106,11 +140,13 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_path)
-        known = _known.setdefault(tokenizer_path, {}) if separable(tokenizer.to_str()) else None
+        settings = tokenizer.to_str()
+        known = _known.setdefault(tokenizer_path, {}) if separable(settings) else None
+        ends = word_ends(settings)
         tokenizer.encode_special_tokens = True
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), token_bytes(batch.column(1).to_pylist(), tokenizer, known), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), token_bytes(batch.column(1).to_pylist(), tokenizer, known, ends), strict=True):
                 ids += last
                 n = len(ids) // 4
                 for start in range(0, n, capacity):

@@ -139,8 +139,11 @@ def test_tokens_equal_those_of_whole_texts():
     chars = [c for i, c in enumerate(chars) if i % 97 == 0 or i < 0x600 or c.lower() != c or unicodedata.normalize("NFC", c) != c or unicodedata.combining(c)]
     texts = [" ".join(f"a{c}{m} {c}{m} A{c}b{m}" for m in ",.!?;:") for c in chars]
     texts += ["Maç BİTTİ! KADİ. Bu İYİ, değil?", "ΑΣ. ΣΑΣ, x<|endoftext|>. <|endoftext|>", "", " ", "\n\n", "it's I'LL. 'd, d'.", "a\u00a0b\u2003c\td\r\ne"]
-    got = packing.token_bytes(texts, tokenizer, {})
-    assert got == [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    texts += ["fin### Fin***, é-é. a'###, 's### x's... ###x, a_b__ ª! º? ", "Größe## ".upper() * 3, " ".join(f"w{'abc'[i % 3]}{'é' * (i % 5)}{'#*$' * (i % 2)}" for i in range(3000))]
+    whole = [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    ends = packing.word_ends(tokenizer.to_str())
+    assert packing.token_bytes(texts, tokenizer, {}) == whole
+    assert packing.token_bytes(texts, tokenizer, {}, ends) == whole
     other = tokenizer.to_str().replace('"Lowercase"', '"StripAccents"')
     assert not packing.separable(other)
     assert packing.token_bytes(["Écoute ça."], tokenizer, None) == packing.token_bytes(["Écoute ça."], tokenizer, {})
