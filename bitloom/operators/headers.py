@@ -1,4 +1,4 @@
-"""Sequence and basic frame headers of record units."""
+"""Sequence headers and the first fields of frame headers; syntax.py has whole frame headers and writers."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.bits import byte_at
+from .syntax import Reader, sequence
 
 SEQUENCE, FRAME_HEADER, FRAME = 1, 3, 6
 #: Names of the frame types, by number.
@@ -22,91 +23,14 @@ SEQUENCE_FIELDS = (
 )
 
 
-class _Bits:
-    """Reads numbers from the bits of a payload, most significant first."""
-
-    def __init__(self, data: bytes) -> None:
-        self.number, self.left = int.from_bytes(data, "big"), 8 * len(data)
-
-    def __call__(self, n: int = 1) -> int:
-        if n > self.left:
-            raise ValueError("out of data")
-        self.left -= n
-        return self.number >> self.left & ((1 << n) - 1)
-
-    def uvlc(self) -> int:
-        zeros = 0
-        while not self():
-            zeros += 1
-        return self(zeros) + (1 << zeros) - 1 if zeros else 0
-
-
 def _sequence(data: bytes) -> tuple:
-    f = _Bits(data)
-    profile, still, reduced = f(3), f(), f()
-    points, level, hint_bits, delay_bits, model = 1, 0, 0, 0, 0
-    tick, scale, per_picture, decoding = None, None, None, None
-    idcs, levels, tiers = [0], [0], [0]
-    if reduced:
-        level = f(5)
-        levels = [level]
-    else:
-        if f():  # timing
-            tick, scale = f(32), f(32)
-            if f():
-                per_picture = f.uvlc() + 1
-            if model := f():
-                delay_bits, decoding = f(5) + 1, f(32)
-                f(10)
-        display_delay, points = f(), f(5) + 1
-        idcs, levels, tiers = [], [], []
-        for _ in range(points):
-            idcs.append(f(12))
-            levels.append(f(5))
-            tiers.append(f() if levels[-1] > 7 else 0)
-            if model and f():
-                f(2 * delay_bits + 1)
-            if display_delay and f():
-                f(4)
-        level = levels[0]
-    wide, high = f(4) + 1, f(4) + 1
-    width, height = f(wide) + 1, f(high) + 1
-    if not reduced and f():
-        f(7)
-    big, intra, edge = f(), f(), f()
-    if not reduced:
-        f(4)
-        if order_hint := f():
-            f(2)
-        screen = 2 if f() else f()
-        if screen and not f():
-            f()
-        if order_hint:
-            hint_bits = f(3) + 1
-    superres, cdef, restoration = f(), f(), f()
-    depth = 8
-    if f():
-        depth = 12 if profile == 2 and f() else 10
-    mono = 0 if profile == 1 else f()
-    primaries, transfer, matrix = (f(8), f(8), f(8)) if f() else (2, 2, 2)
-    sx, sy = 1, 1
-    if mono:
-        full = f()
-    elif (primaries, transfer, matrix) == (1, 13, 0):
-        full, sx, sy = 1, 0, 0
-        f()
-    else:
-        full = f()
-        if profile == 1:
-            sx, sy = 0, 0
-        elif profile == 2:
-            sx = f() if depth == 12 else 1
-            sy = f() if depth == 12 and sx else 0
-        if sx and sy:
-            f(2)
-        f()
-    grain = f()
-    return profile, bool(still), bool(reduced), points, level, width, height, bool(big), bool(intra), bool(edge), hint_bits, bool(superres), bool(cdef), bool(restoration), depth, bool(mono), primaries, transfer, matrix, bool(full), sx, sy, bool(grain), tick, scale, per_picture, decoding, idcs, levels, tiers
+    s = sequence(Reader(data))
+    flags = lambda *names: [bool(s.get(x, 0)) for x in names]
+    return (
+        s["profile"], *flags("still_picture", "reduced_still"), len(s["levels"]), s["levels"][0], s["width"], s["height"],
+        *flags("superblock_128", "filter_intra", "intra_edge_filter"), s["hint_bits"], *flags("superres", "cdef", "restoration"), s["depth"], *flags("mono"), *s["colors"],
+        *flags("full"), s["x"], s["y"], *flags("film_grain"), s["tick"], s["scale"], s["per_picture"], s["decoding"], s["idcs"], s["levels"], s["tiers"],
+    )
 
 
 def sequence_headers(units: DataFrame) -> DataFrame:
