@@ -128,4 +128,58 @@ select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as
 from judged
 """
 
-ORACLES: dict[str, str] = {"op4_fingerprints": OP4_FINGERPRINTS, "op7_near_dedup": OP7_NEAR_DEDUP, "op8_sharding": OP8_SHARDING, "op9_quality_rules": OP9_QUALITY_RULES, "op10_suffix_dedup": OP10_SUFFIX_DEDUP}
+#: Words one edit apart share what is left when one letter is taken from the longer, or from the same place of both.
+OP11_SPELLING_VARIANTS = r"""
+with recursive steps(n, i, c) as (
+    select n, 0, n from (select unnest(range(256)) as n)
+    union all select n, i + 1, case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end from steps where i < 8
+),
+crc as (select list(c order by n) as t from steps where i = 8),
+found as (select coalesce(cast(doc_id as varchar), '') as d, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) as r from documents),
+runs as (select d, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as r, count(*) as n from found where length(r) >= 5 group by all),
+hexed as (select *, hex(encode(d || ':' || r)) as x from runs),
+summed as (
+    select r, n, xor(4294967295, list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(range(length(x) // 2), lambda i: cast('0x' || substr(x, 2 * i + 1, 2) as bigint))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) as h
+    from hexed cross join crc
+),
+edited as (select case when h % 97 = 0 then substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) else r end as word, n from summed),
+words as (select word, cast(sum(n) as bigint) as n from edited where length(word) >= 5 group by word having sum(n) >= 3),
+cut as (select word, n, i, substr(word, 1, i) || substr(word, i + 2) as rest from (select *, unnest(range(length(word))) as i from words)),
+near as (
+    select a.word, b.word as v, b.n as m from cut a join cut b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+    union select a.word, b.word, b.n from cut a join words b on a.rest = b.word
+    union select b.word, a.word, a.n from cut a join words b on a.rest = b.word
+),
+best as (select word, count(*) as n_near, max(m) as m from near group by word),
+forms as (select b.word, n_near, min(v) as form, b.m from best b join near x on b.word = x.word and b.m = x.m group by b.word, n_near, b.m),
+known as (select w.word, w.n, coalesce(n_near, 0) as n_near, case when m >= 2 * n then form end as form, case when m >= 2 * n then m end as form_n from words w left join forms f on w.word = f.word),
+walk(word, here, k) as (select word, word, 0 from known union all select w.word, x.form, k + 1 from walk w join known x on w.here = x.word where x.form is not null),
+roots as (select word, arg_max(here, k) as root from walk group by word)
+select k.word, form, root, k.n, cast(n_near as bigint) as n_near, form_n from known k join roots r on k.word = r.word
+"""
+
+#: Words with their piece and place; phrases by joining words that follow one another; products of 128 bits.
+OP12_COLLOCATIONS = r"""
+with texts as (select row_number() over () as id, coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+pieces as (select id, lang, unnest(p) as p, unnest(range(len(p))) as k from (select id, lang, string_split_regex(t, '[.,;:!?\x0A-\x0D]') as p from texts)),
+words as (select id, k, lang, unnest(w) as w, unnest(range(len(w))) as i from (select id, k, lang, list_filter(string_split_regex(p, '[ \t]+'), lambda x: x <> '') as w from pieces)),
+trios as (select lang, w, lead(w) over o as w2, lead(w, 2) over o as w3 from words window o as (partition by id, k order by i)),
+one as (select lang, w as phrase, count(*) as f from trios group by lang, w),
+two as (select lang, w, w2, w || ' ' || w2 as phrase, count(*) as f from trios where w2 is not null group by lang, w, w2 having count(*) >= 10),
+three as (select lang, w, w2, w3, w || ' ' || w2 || ' ' || w3 as phrase, count(*) as f from trios where w3 is not null group by lang, w, w2, w3 having count(*) >= 10),
+longest as (select lang, phrase, max(f) as f from (select lang, w || ' ' || w2 as phrase, f from three union all select lang, w2 || ' ' || w3, f from three) group by lang, phrase),
+cuts as (
+    select c.lang, c.phrase, c.f as a, 1 as k, x.f as l, y.f as r from two c join one x on x.lang = c.lang and x.phrase = c.w join one y on y.lang = c.lang and y.phrase = c.w2
+        left join longest z on z.lang = c.lang and z.phrase = c.phrase where z.f is null or 100 * z.f < 50 * c.f
+    union all select c.lang, c.phrase, c.f, 1, x.f, y.f from three c join one x on x.lang = c.lang and x.phrase = c.w join two y on y.lang = c.lang and y.w = c.w2 and y.w2 = c.w3
+    union all select c.lang, c.phrase, c.f, 2, x.f, y.f from three c join two x on x.lang = c.lang and x.w = c.w and x.w2 = c.w2 join one y on y.lang = c.lang and y.phrase = c.w3
+),
+scored as (select *, cast(1000000 as hugeint) * a * a // (cast(l as hugeint) * r) as score from cuts),
+lowest as (select *, row_number() over (partition by lang, phrase order by score, k) as p from scored),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from lowest where p = 1),
+totals as (select lang, sum(f) as n from one group by lang)
+select q.lang, cast(rank as bigint) as rank, phrase, cast(a as bigint) as a, cast(l as bigint) as l, cast(r as bigint) as r, cast(n as bigint) as n, cast(score as bigint) as score
+from ranked q join totals t on q.lang = t.lang where rank <= 2000
+"""
+
+ORACLES: dict[str, str] = {"op4_fingerprints": OP4_FINGERPRINTS, "op7_near_dedup": OP7_NEAR_DEDUP, "op8_sharding": OP8_SHARDING, "op9_quality_rules": OP9_QUALITY_RULES, "op10_suffix_dedup": OP10_SUFFIX_DEDUP, "op11_spelling_variants": OP11_SPELLING_VARIANTS, "op12_collocations": OP12_COLLOCATIONS}

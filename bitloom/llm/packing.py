@@ -30,8 +30,8 @@ END = 2
 BLOCK = 128
 #: Strings between blanks that a task remembers the ids of.
 REMEMBERED = 1_000_000
-#: By tokenizer file: what this worker process has encoded so far, over all of its tasks.
-_known: dict[str, dict[str, bytes]] = {}
+#: By tokenizer file and its treatment of special tokens: what this worker process has encoded so far, over all of its tasks.
+_known: dict[tuple[str, bool], dict[str, bytes]] = {}
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: The tokenizer settings under which a text may be encoded string by string between its blanks. White
 #: space is dropped and never joined across, and composing or lowering characters never reaches across a blank.
@@ -53,7 +53,13 @@ SEPARABLE = {
 def separable(tokenizer_json: str) -> bool:
     """True if texts of this tokenizer may be encoded string by string; others are encoded whole."""
     settings = json.loads(tokenizer_json)
-    return all(settings.get(k) == v for k, v in SEPARABLE.items())
+    added = settings.get("added_tokens") or []
+    return all(settings.get(k) == v for k, v in SEPARABLE.items()) and all(x["content"].split() == [x["content"]] and not x["single_word"] and not x["normalized"] for x in added)
+
+
+def special_names(tokenizer_json: str) -> list[str]:
+    """What a text must not be cut or lowered within: the names of special tokens, in lower case."""
+    return [x["content"].lower() for x in json.loads(tokenizer_json).get("added_tokens") or []]
 
 
 #: ASCII symbols that the tokenizer keeps together as one run; the apostrophe can begin a contraction instead.
@@ -62,12 +68,14 @@ MARKS = string.punctuation.replace("'", "")
 JOINED = 256
 
 
-def _stem(word: str) -> tuple[str, str]:
+def _stem(word: str, special: list[str]) -> tuple[str, str]:
     """A string that stands for word before the tokenizer, which lowers case and cuts marks off letters, and its last marks.
 
     Only words of letters below U+0130 are taken apart: from there on, lower case can add a mark of its own (U+0130),
-    which the tokenizer would join with the mark that follows.
+    which the tokenizer would join with the mark that follows. Words that hold the name of a special token stay as they are.
     """
+    if any(x in word.lower() for x in special):
+        return word, ""
     if not word.isascii() and max(word) >= "\u0130":
         return word, ""
     stem = word.rstrip(MARKS)
@@ -109,7 +117,8 @@ def token_bytes(texts: list[str], tokenizer, known: dict[str, bytes] | None, end
     if len(known) > REMEMBERED:
         known.clear()
     if new := list(set().union(*split).difference(known)):
-        stems = [_stem(w) for w in new]
+        special = special_names(tokenizer.to_str())
+        stems = [_stem(w, special) for w in new]
         unknown = {x for pair in stems for x in pair if x not in known}
         if ends is not None:
             known |= _ids_of_words([x for x in unknown if x.isalpha() and (x.isascii() or max(x) < "\u0130")], tokenizer, ends)
@@ -121,14 +130,15 @@ def token_bytes(texts: list[str], tokenizer, known: dict[str, bytes] | None, end
     return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: int | None = END, with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: int | None = END, with_ids: bool = False, special_as_text: bool = False) -> DataFrame:
     """Tokenize every whole text and cut its ids into pieces of at most capacity: whole windows first, then the rest.
 
     docs has doc_id and text; other columns, whatever their names, are ignored. Null text counts as empty: only the
     end id is left (without an end id, no piece). A null doc_id is kept. Repeated rows give repeated pieces. With
     with_ids, a column ids holds the ids themselves (binary, four bytes each, little-endian). Names of special tokens
-    in a text are ordinary text, so that no document can write a control id. A text of any length is one row of a
-    batch; its cost is linear. Empty input: no pieces.
+    in a text become their ids, as the tokenizer does by itself; with special_as_text they are ordinary text, so that
+    no document can write a control id. A text of any length is one row of a batch; its cost is linear. Empty input:
+    no pieces.
     """
     arrow_batches(docs.sparkSession, 500)
     last = b"" if end is None else np.array([end], dtype="<u4").tobytes()
@@ -141,9 +151,9 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
 
         tokenizer = Tokenizer.from_file(tokenizer_path)
         settings = tokenizer.to_str()
-        known = _known.setdefault(tokenizer_path, {}) if separable(settings) else None
+        known = _known.setdefault((tokenizer_path, special_as_text), {}) if separable(settings) else None
         ends = word_ends(settings)
-        tokenizer.encode_special_tokens = True
+        tokenizer.encode_special_tokens = special_as_text
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), token_bytes(batch.column(1).to_pylist(), tokenizer, known, ends), strict=True):

@@ -134,11 +134,10 @@ def test_tokens_equal_those_of_whole_texts():
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     assert packing.separable(tokenizer.to_str())
-    tokenizer.encode_special_tokens = True
     chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     chars = [c for i, c in enumerate(chars) if i % 97 == 0 or i < 0x600 or c.lower() != c or unicodedata.normalize("NFC", c) != c or unicodedata.combining(c)]
     texts = [" ".join(f"a{c}{m} {c}{m} A{c}b{m}" for m in ",.!?;:") for c in chars]
-    texts += ["Maç BİTTİ! KADİ. Bu İYİ, değil?", "ΑΣ. ΣΑΣ, x<|endoftext|>. <|endoftext|>", "", " ", "\n\n", "it's I'LL. 'd, d'.", "a\u00a0b\u2003c\td\r\ne"]
+    texts += ["Maç BİTTİ! KADİ. Bu İYİ, değil?", "ΑΣ. ΣΑΣ, x<|endoftext|>. <|endoftext|>", "x<|endoftext|>. y", "<|ENDOFTEXT|> <|EndOfText|>. <|startoftext|>a", "<|endoftext|", "é<|endoftext|>É## <|endoftext|>'s", "", " ", "\n\n", "it's I'LL. 'd, d'.", "a\u00a0b\u2003c\td\r\ne"]
     texts += ["fin### Fin***, é-é. a'###, 's### x's... ###x, a_b__ ª! º? ", "Größe## ".upper() * 3, " ".join(f"w{'abc'[i % 3]}{'é' * (i % 5)}{'#*$' * (i % 2)}" for i in range(3000))]
     whole = [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
     ends = packing.word_ends(tokenizer.to_str())
@@ -146,6 +145,12 @@ def test_tokens_equal_those_of_whole_texts():
     assert packing.token_bytes(texts, tokenizer, {}, ends) == whole
     other = tokenizer.to_str().replace('"Lowercase"', '"StripAccents"')
     assert not packing.separable(other)
+    assert whole[texts.index("x<|endoftext|>. y")] == array("I", [343, 49407, 269, 344]).tobytes()
+    # The names of special tokens as ordinary text, where that is asked for.
+    tokenizer.encode_special_tokens = True
+    plain = [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert plain != whole and packing.token_bytes(texts, tokenizer, {}, ends) == plain
+    tokenizer.encode_special_tokens = False
     assert packing.token_bytes(["Écoute ça."], tokenizer, None) == packing.token_bytes(["Écoute ça."], tokenizer, {})
 
 
@@ -334,7 +339,7 @@ def test_a_very_long_text(spark):
     long = " ".join(r.choice(WORDS) + str(r.randint(0, 10**6)) for _ in range(90_000))
     docs = spark.createDataFrame([(1, long[500_000:500_200]), (2, long), (3, long + " end")], "doc_id long, text string")
     got = by_id(suffix_dedup.remove_repeats(docs), "n_removed", "n_spans")
-    assert got == {1: (0, 0), 2: (200, 1), 3: (len(long), 1)} or got[3][0] >= len(long)
+    assert got == {1: (0, 0), 2: (200, 1), 3: (len(long), 1)}
     near = by_id(near_dedup.near_duplicate_classes(docs), "class_id")
     assert near == {1: (1,), 2: (2,), 3: (2,)}
     quick = by_id(fingerprints.fingerprint_documents(docs.where("doc_id = 1")), "near_next")
