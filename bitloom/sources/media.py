@@ -15,11 +15,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.bits import byte_at
+from ..functions.bits import byte_at, leb128_decode
 
 #: Box types that may open an MP4 file, and boxes that hold boxes.
 FIRST_BOXES = ("ftyp", "moov", "mdat", "free", "skip", "wide", "pnot")
+#: Types of record units, from the sequence header to padding.
+KNOWN_UNITS = (1, 2, 3, 4, 5, 6, 7, 8, 15)
 HOLDERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"mvex"}
+BOXES = "path string, box string, track int, at long, payload binary"
 UNITS = "path string, sample_index int, obu_index int, obu_type int, temporal_id int, spatial_id int, has_size boolean, size long, payload binary, error_offset long, error string"
 
 
@@ -27,20 +30,42 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def sniff(rows: DataFrame) -> DataFrame:
-    """rows with format: ivf, mp4, obu, annexb or unknown, by the first bytes."""
-    c = F.col("content")
-    word = lambda at: F.decode(F.substring(c, at + 1, F.lit(4)) if not isinstance(at, int) else F.substring(c, F.lit(at + 1), F.lit(4)), "iso-8859-1")
-    b0, b2, b3 = byte_at(c, 0), byte_at(c, 2), byte_at(c, 3)
-    opens = lambda b: (b.bitwiseAND(0x80) == 0) & F.shiftright(b, 3).bitwiseAND(15).isin(1, 2)
+def _size_at(data: Column, at: Column) -> Column:
+    """struct(value, next): the LEB128 number that stands at a place, and the place behind it; null without one."""
+    found = leb128_decode(F.substring(data, (at + 1).cast("int"), F.lit(8)))
+    return F.when(found.isNotNull(), F.struct(found["value"].alias("value"), (at + found["n"]).alias("next")))
+
+
+def _first_unit(data: Column) -> Column:
+    """True where data begin with a whole record unit of a known type that states its size."""
+    head = byte_at(data, 0)
+    size = _size_at(data, F.when(head.bitwiseAND(4) > 0, F.lit(2)).otherwise(F.lit(1)))
+    plain = (head.bitwiseAND(0x80) == 0) & (head.bitwiseAND(2) > 0) & F.shiftright(head, 3).bitwiseAND(15).isin(*KNOWN_UNITS)
+    return F.coalesce(plain & (size["next"] + size["value"] <= F.octet_length(data)), F.lit(False))
+
+
+def _first_nesting(data: Column) -> Column:
+    """True where data begin with sizes of a temporal unit, a frame unit and a record unit, each within the one before."""
+    state = lambda at, end: F.struct(at.cast("long").alias("at"), end.cast("long").alias("end"))
+
+    def step(s: Column, _: Column) -> Column:
+        size = _size_at(data, s["at"])
+        return F.when((size["value"] > 0) & (size["next"] + size["value"] <= s["end"]), state(size["next"], size["next"] + size["value"]))
+
+    unit = F.aggregate(F.sequence(F.lit(1), F.lit(3)), state(F.lit(0), F.octet_length(data)), step, lambda s: s["at"])
+    return F.coalesce(byte_at(data, unit.cast("int")).bitwiseAND(0x82) == 0, F.lit(False))
+
+
+def sniff(rows: DataFrame, column: str = "content") -> DataFrame:
+    """rows with format: ivf, mp4, obu, annexb or unknown, by the first bytes; record units are walked, not only looked at.
+
+    Null and anything below four bytes is unknown.
+    """
+    c = F.col(column)
+    word = lambda at: F.decode(F.substring(c, F.lit(at + 1), F.lit(4)), "iso-8859-1")
     return rows.withColumn(
         "format",
-        F.when(F.octet_length(c) < 4, "unknown")
-        .when(word(0) == "DKIF", "ivf")
-        .when(word(4).isin(*FIRST_BOXES), "mp4")
-        .when(opens(b0) & (b0.bitwiseAND(2) == 2), "obu")
-        .when((b0 > 0) & (b2 > 0) & opens(b3), "annexb")
-        .otherwise("unknown"),
+        F.when(c.isNull() | (F.octet_length(c) < 4), "unknown").when(word(0) == "DKIF", "ivf").when(word(4).isin(*FIRST_BOXES), "mp4").when(_first_unit(c), "obu").when(_first_nesting(c), "annexb").otherwise("unknown"),
     )
 
 
@@ -166,33 +191,35 @@ def annexb_units(rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(_ints(_walk(walk, columns)), UNITS)
 
 
+def box_walk(read: Callable[[int, int], bytes], length: int) -> Iterator[tuple]:
+    """(box, track, at, payload) of the boxes of an MP4 file, of which read(at, n) gives n bytes, fewer at its end."""
+    todo, track = [(0, length, "", 0)], 0
+    while todo:
+        at, end, above, of = todo.pop()
+        if at + 8 > end:
+            continue
+        size, kind = struct.unpack(">I4s", read(at, 8))
+        head = 8
+        if size == 1 and at + 16 <= end:
+            size, head = struct.unpack(">Q", read(at + 8, 8))[0], 16
+        size = end - at if size == 0 else size
+        if size < head or at + size > end:
+            continue
+        todo.append((at + size, end, above, of))
+        name = f"{above}/{kind.decode('iso-8859-1')}"
+        if kind == b"trak":
+            track += 1
+            of = track
+        holds = kind in HOLDERS
+        yield name, of, at, None if holds or not name.startswith("/moov") else read(at + head, size - head)
+        if holds:
+            todo.append((at + head, at + size, name, of))
+
+
 def boxes(rows: DataFrame) -> DataFrame:
     """(path, box, track, at, payload): the boxes of MP4 files; only leaves below moov carry their payload."""
-
-    def walk(data: bytes) -> Iterator[tuple]:
-        todo, track = [(0, len(data), "", 0)], 0
-        while todo:
-            at, end, above, of = todo.pop()
-            if at + 8 > end:
-                continue
-            size, kind = struct.unpack_from(">I4s", data, at)
-            head = 8
-            if size == 1 and at + 16 <= end:
-                size, head = struct.unpack_from(">Q", data, at + 8)[0], 16
-            size = end - at if size == 0 else size
-            if size < head or at + size > end:
-                continue
-            todo.append((at + size, end, above, of))
-            name = f"{above}/{kind.decode('iso-8859-1')}"
-            if kind == b"trak":
-                track += 1
-                of = track
-            holds = kind in HOLDERS
-            yield name, of, at, None if holds or not name.startswith("/moov") else data[at + head : at + size]
-            if holds:
-                todo.append((at + head, at + size, name, of))
-
-    return rows.mapInPandas(_walk(walk, ["box", "track", "at", "payload"]), "path string, box string, track int, at long, payload binary")
+    walk = lambda data: box_walk(lambda at, n: data[at : at + n], len(data))
+    return rows.mapInPandas(_walk(walk, ["box", "track", "at", "payload"]), BOXES)
 
 
 def _be(at: int | str, n: int) -> Column:
@@ -217,27 +244,56 @@ def _numbers(found: DataFrame, box: str, first: int, width: int, per_row: int) -
     return data.select("path", "track", F.explode(listed).alias("e")).select("path", "track", "e.*")
 
 
+def _inner_boxes(data: Column, first: int, most: Column | None = None) -> Column:
+    """array(struct(kind, body)): the boxes that follow one another from byte first on, most of them at most, by their sizes.
+
+    A box whose size is below 8 or reaches beyond the end is the last; it has no body.
+    """
+    room = F.floor((F.octet_length(data) - first) / 8)
+    n = room if most is None else F.least(most, room)
+    number = lambda at: F.conv(F.hex(F.substring(data, (at + 1).cast("int"), F.lit(4))), 16, 10).cast("long")
+
+    def step(state: Column, _: Column) -> Column:
+        at = state["at"]
+        size = number(at)
+        whole = (size >= 8) & (at + size <= F.octet_length(data))
+        here = F.struct(F.decode(F.substring(data, (at + 5).cast("int"), F.lit(4)), "iso-8859-1").alias("kind"), F.when(whole, F.substring(data, (at + 9).cast("int"), (size - 8).cast("int"))).alias("body"))
+        there = (at >= 0) & (at + 8 <= F.octet_length(data))
+        return F.struct(F.when(there & whole, at + size).otherwise(F.lit(-1).cast("long")).alias("at"), F.when(there, F.concat(state["found"], F.array(here))).otherwise(state["found"]).alias("found"))
+
+    none = F.struct(F.lit(first).cast("long").alias("at"), F.array().cast("array<struct<kind:string,body:binary>>").alias("found"))
+    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n.cast("int")), none, step)["found"]).otherwise(F.array().cast("array<struct<kind:string,body:binary>>"))
+
+
+#: Bytes of a visual sample entry before its boxes, its own header left out, and where width and height stand.
+ENTRY, WIDTH, HEIGHT = 78, 24, 26
+
+
 def tracks(found: DataFrame) -> DataFrame:
     """(path, track, track_id, handler, timescale, codec, width, height, av1_config, config_obus) of every track of MP4 files.
 
-    Fields of boxes that are missing or too short are null. Of several boxes of one kind in a track the first counts.
+    Fields of boxes that are missing or too short are null. Of several boxes of one kind in a track the first counts; of
+    several sample entries the last gives codec and size, and the last av1C box of an av01 entry the configuration.
     """
     leaf = lambda name, value: F.min_by(value, F.when(F.col("box").endswith(name), F.col("at")))
     text = lambda at: F.decode(F.expr(f"substring(payload, {at} + 1, 4)"), "iso-8859-1")
     long = F.substring("payload", 1, 1) == F.lit(b"\1")
-    place = F.floor((F.instr(F.hex("payload"), "61763143") - 1) / 2)
-    config = F.when((place > 0) & ((F.instr(F.hex("payload"), "61763143") - 1) % 2 == 0), F.expr("substring(payload, cast((instr(hex(payload), '61763143') - 1) / 2 + 5 as int), cast(conv(hex(substring(payload, cast((instr(hex(payload), '61763143') - 1) / 2 - 3 as int), 4)), 16, 10) as int) - 8)"))
     rows = found.where((F.col("track") > 0) & F.col("payload").isNotNull())
     named = rows.groupBy("path", "track").agg(
         leaf("/tkhd", F.when(long, _be(20, 4)).otherwise(_be(12, 4))).alias("track_id"),
         leaf("/mdia/hdlr", text(8)).alias("handler"),
         leaf("/mdia/mdhd", F.when(long, _be(20, 4)).otherwise(_be(12, 4))).alias("timescale"),
-        leaf("/stbl/stsd", text(12)).alias("codec"),
-        leaf("/stbl/stsd", _be(40, 2)).alias("width"),
-        leaf("/stbl/stsd", _be(42, 2)).alias("height"),
-        leaf("/stbl/stsd", config).alias("av1_config"),
+        leaf("/stbl/stsd", F.col("payload")).alias("payload"),
     )
-    return named.withColumn("config_obus", F.expr("substring(av1_config, 5)"))
+    named = named.withColumn("entries", _inner_boxes(F.col("payload"), 8, _be(4, 4)))
+    last = F.when(F.size("entries") > 0, F.element_at("entries", -1))
+    number = lambda at: F.conv(F.hex(F.substring(last["body"], F.lit(at + 1), F.lit(2))), 16, 10).cast("long")
+    coded = F.filter("entries", lambda e: (e["kind"] == "av01") & (F.octet_length(e["body"]) >= ENTRY))
+    configs = F.filter(F.flatten(F.transform(coded, lambda e: _inner_boxes(e["body"], ENTRY))), lambda b: (b["kind"] == "av1C") & b["body"].isNotNull())
+    named = named.withColumn("configs", configs)
+    config = F.when(F.size("configs") > 0, F.element_at("configs", -1)["body"])
+    out = named.select("path", "track", "track_id", "handler", "timescale", last["kind"].alias("codec"), number(WIDTH).alias("width"), number(HEIGHT).alias("height"), config.alias("av1_config"))
+    return out.withColumn("config_obus", F.expr("case when octet_length(av1_config) > 4 then substring(av1_config, 5) end"))
 
 
 def first_av1_track(rows: DataFrame) -> DataFrame:

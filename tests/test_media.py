@@ -101,6 +101,34 @@ def test_tracks_and_sample_data(spark):
     assert [bytes(r["data"]) for r in data] == frames
 
 
+def test_several_sample_entries(spark):
+    """The last entry gives the codec, the av01 entry's own boxes the configuration; the four letters elsewhere do not."""
+    n = lambda *x: struct.pack(f">{len(x)}I", *x)
+    visual = lambda w, h: bytes(24) + struct.pack(">HH", w, h) + bytes(50)
+    file = lambda *entries: box(b"ftyp", b"isom") + box(b"moov", box(b"trak", box(b"mdia", box(b"hdlr", n(0, 0), b"vide", bytes(12)), box(b"minf", box(b"stbl", box(b"stsd", n(0, len(entries)), *entries))))))
+    plain, av1 = box(b"avc1", visual(8, 8)), box(b"av01", visual(64, 48), box(b"pasp", bytes(4) + b"av1C"), box(b"av1C", b"\x81\x04\x0c\x00\x0a"))
+    odd = box(b"av01", bytes(24) + struct.pack(">HH", 64, 48) + bytes.fromhex("0617631430") + bytes(45), box(b"av1C", b"\x81\0\0\0"))
+    cut = box(b"av01", visual(1, 1)) + struct.pack(">I4s", 900, b"hvc1")
+    rows = table(spark, file(plain, av1), file(av1, plain), file(odd), file(), file(cut))
+    got = {r["path"]: r for r in M.tracks(M.boxes(rows)).collect()}
+    assert {p: (r["codec"], r["width"], r["av1_config"] and bytes(r["av1_config"])) for p, r in got.items()} == {
+        "f0": ("av01", 64, b"\x81\x04\x0c\x00\x0a"), "f1": ("avc1", 8, b"\x81\x04\x0c\x00\x0a"), "f2": ("av01", 64, b"\x81\0\0\0"), "f3": (None, None, None), "f4": ("av01", 1, None),
+    }
+    assert bytes(got["f0"]["config_obus"]) == b"\x0a" and got["f2"]["config_obus"] is None
+    assert [r["path"] for r in M.first_av1_track(M.tracks(M.boxes(rows))).collect() if r["path"] == "f0"] == ["f0"]
+
+
+def test_probing_walks_the_first_unit(spark):
+    unit = lambda kind, *body: bytes([kind << 3 | 2, len(body), *body])
+    said = {f"t{k}": unit(k, 0, 0) for k in (1, 2, 3, 4, 5, 6, 7, 8, 15)}
+    said |= {"t0": unit(0, 0, 0), "t9": unit(9, 0, 0), "beyond": bytes.fromhex("12FFFFFF7F"), "extension": bytes.fromhex("36080100"), "cut": bytes.fromhex("36080700"), "forbidden": bytes.fromhex("92020000")}
+    said |= {"nested": bytes.fromhex("0302 0110"), "deep": bytes.fromhex("8401 8201 80 01") + b"\x10" + bytes(200), "long": bytes.fromhex("0405 0110 00"), "zero": bytes.fromhex("0300 0110"), "sized": bytes.fromhex("0302 0112"), "empty": b"", "short": b"\x12\0", "none": None, "endless": b"\xff" * 40, "mp4": bytes(4) + b"wide"}
+    rows = spark.createDataFrame([(k, None if v is None else bytearray(v)) for k, v in said.items()], "path string, content binary")
+    got = {r["path"]: r["format"] for r in M.sniff(rows).collect()}
+    want = {k: "obu" for k in said if k[0] == "t" and k not in ("t0", "t9")} | {"extension": "obu", "nested": "annexb", "deep": "annexb", "mp4": "mp4"}
+    assert got == {k: want.get(k, "unknown") for k in said}
+
+
 def test_inspect(spark):
     stream = bytes.fromhex("1200" "0A03010203" "3202AABB")
     rows = table(spark, mp4([stream[:2], stream[2:]]), ivf([stream, stream]), stream, bytes.fromhex("03020110"), b"?" * 9)
