@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,9 +29,9 @@ from .common import materialize
 
 DEPTH = 3
 #: Words of a shard, about: it is closed after the text or stretch of text that reaches this number.
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 400_000
 #: Bytes of a long text that are cut into words at once, up to the end of a piece.
-STRETCH = 8_000_000
+STRETCH = 4_000_000
 #: Bits of the filter of frequent pairs: 8 MB.
 FILTER_BITS = 1 << 26
 #: Copies of each part's row in the look-up of parts, so that a part in many phrases is no single task.
@@ -141,24 +142,20 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes
         yield close(lang)
 
 
-def _rows(lang: str, names: np.ndarray, found: Intervals) -> pa.RecordBatch:
-    columns = [names[found.words[:, k]] for k in range(found.words.shape[1])]
-    phrase = columns[0]
-    for c in columns[1:]:
-        phrase = [b"%s %s" % pair for pair in zip(phrase, c)]
+def _rows(lang: str, names: pa.Array, found: Intervals) -> pa.RecordBatch:
+    columns = [names.take(pa.array(found.words[:, k])) for k in range(found.words.shape[1])]
+    phrase = pc.binary_join_element_wise(*columns, " ") if len(columns) > 1 else columns[0]
     n = len(found.count)
-    return pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array(list(phrase), pa.binary()).cast(pa.string()), pa.array(found.count, pa.int64())], ["lang", "phrase", "n"])
+    return pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(n, dtype=np.int64))), phrase, pa.array(found.count, pa.int64())], ["lang", "phrase", "n"])
 
 
-def _names(names: list[bytes]) -> np.ndarray:
-    out = np.empty(len(names) + 1, dtype=object)
-    out[0], out[1:] = b"", names
-    return out
+def _names(words: list[bytes]) -> pa.Array:
+    return pa.array([b"", *words], pa.binary()).cast(pa.string())
 
 
-def _hashes(names: np.ndarray, lang: str) -> np.ndarray:
+def _hashes(words: list[bytes], lang: str) -> np.ndarray:
     seed = xxhash.xxh32_intdigest(lang.encode())
-    return np.array([xxhash.xxh64_intdigest(w, seed) for w in names], dtype=np.uint64)
+    return np.array([xxhash.xxh64_intdigest(w, seed) for w in words], dtype=np.uint64)
 
 
 def _pair_bits(first: np.ndarray, second: np.ndarray) -> list[np.ndarray]:
@@ -185,7 +182,7 @@ def _long(frequent) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
         table = np.frombuffer(frequent.value, dtype=np.uint8)
         for lang, words, ids in _shards(batches):
             index, names = Index(ids, len(words) + 1), _names(words)
-            hashes = _hashes(names, lang)
+            hashes = _hashes([b"", *words], lang)
 
             def passes(found: Intervals) -> np.ndarray:
                 ok = np.ones(len(found.count), dtype=bool)

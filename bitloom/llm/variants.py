@@ -81,8 +81,11 @@ def _profile(codes: np.ndarray) -> np.ndarray:
 def _near_pairs(ours: np.ndarray, theirs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places (of ours, of theirs) of words one edit apart; theirs are as long as ours, or one letter longer."""
     a, b = _profile(ours), _profile(theirs)
-    distance = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * (a @ b.T)
-    i, j = np.nonzero(distance <= 2)
+    used = a.any(axis=0) & b.any(axis=0)
+    length = lambda x: (x * x).sum(axis=1, keepdims=True)
+    # One product gives |a|^2 + |b|^2 - 2ab; letters that only one side has add to the lengths alone.
+    distance = np.hstack([-2 * a[:, used], length(a), np.ones_like(a[:, :1])]) @ np.hstack([b[:, used], np.ones_like(b[:, :1]), length(b)]).T
+    i, j = np.divmod(np.flatnonzero(distance.ravel() <= 2), len(theirs))
     width, kept = ours.shape[1], np.zeros(len(i), dtype=bool)
     step = max(1, VERIFIED // max(1, width // 32))
     for at in range(0, len(i), step):
