@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kernels
+from . import compound, kernels
 
 KEY = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice"
 #: Embeddings as samples of 0 to 255.
@@ -113,24 +113,6 @@ SQL: dict[str, tuple[str, str | None]] = {
         "select user_id, cast(event_id % 8 as bigint) as slot, max_by(event_type, struct(ts, event_id)) as held from {events} group by user_id, event_id % 8",
         "select user_id, cast(event_id % 8 as bigint) as slot, arg_max(event_type, {'t': ts, 'e': event_id}) as held from events group by user_id, event_id % 8",
     ),
-    # --- ordered state -------------------------------------------------------------------------------------------
-    "clamped_running_delta": (
-        """select user_id, aggregate(transform(array_sort(collect_list(struct(ts, event_id, value))), x -> cast(floor(x.value) as bigint) % 41 - 20), 128L, (q, d) -> greatest(1L, least(255L, q + d))) as q from {events} group by user_id""",
-        """select user_id, list_reduce(list_prepend(cast(128 as bigint), list(cast(floor(value) as bigint) % 41 - 20 order by ts, event_id)), lambda q, d: greatest(1, least(255, q + d))) as q from events group by user_id""",
-    ),
-}
-
-
-SQL |= {
-    "adaptive_cdf": (
-        """select user_id, r.p[0] as p0, r.p[1] as p1, r.p[2] as p2, r.p[3] as p3, r.c as n from (select user_id, aggregate(array_sort(collect_list(struct(ts, event_id, cast(event_id * 7 % 5 as int) as sym))),
-            named_struct('p', array(26215, 19661, 13108, 6554), 'c', 0),
-            (s, x) -> named_struct('p', transform(s.p, (v, i) -> if(i < x.sym, v + shiftright(32768 - v, 5 + shiftright(s.c, 4)), v - shiftright(v, 5 + shiftright(s.c, 4)))), 'c', least(32, s.c + 1))) as r
-        from {events} group by user_id)""",
-        "select user_id, cast(r[1] as int) as p0, cast(r[2] as int) as p1, cast(r[3] as int) as p2, cast(r[4] as int) as p3, cast(r[5] as int) as n from (select user_id, list_reduce(list_prepend([26215, 19661, 13108, 6554, 0], list([event_id * 7 % 5, 0, 0, 0, 0] order by ts, event_id)), lambda s, x: ["
-        + ", ".join(f"case when {i} < x[1] then s[{i + 1}] + ((32768 - s[{i + 1}]) >> (5 + (s[5] >> 4))) else s[{i + 1}] - (s[{i + 1}] >> (5 + (s[5] >> 4))) end" for i in range(4))
-        + ", least(32, s[5] + 1)]) as r from events group by user_id)",
-    ),
 }
 
 
@@ -146,5 +128,5 @@ def _query(sql: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 SQL |= kernels.SQL
-QUERIES = {name: _query(sql) for name, (sql, _) in SQL.items()}
-ORACLES = {name: oracle or re.sub(r"\{(\w+)\}", r"\1", sql) for name, (sql, oracle) in SQL.items()}
+QUERIES = {name: _query(sql) for name, (sql, _) in SQL.items()} | compound.QUERIES
+ORACLES = {name: oracle or re.sub(r"\{(\w+)\}", r"\1", sql) for name, (sql, oracle) in SQL.items()} | compound.ORACLES

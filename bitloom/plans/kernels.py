@@ -182,13 +182,6 @@ SQL: dict[str, tuple[str, str]] = {
             over (partition by user_id order by ts range between current row and unbounded following) as click from {events}) where event_type = 'purchase'""",
         "select p.event_id, c.event_id as next_click from (select * from events where event_type = 'purchase') p asof left join (select * from events where event_type = 'click') c on p.user_id = c.user_id and p.ts <= c.ts",
     ),
-    "stsc_interval_join": (
-        """select o_orderkey, cast(run as bigint) as samples_per_chunk, first_chunk from (select o_orderkey,
-            last_value(case when o_orderkey % 3 = 0 then 1 + o_orderkey % 7 end) ignore nulls over w as run, last_value(case when o_orderkey % 3 = 0 then o_orderkey end) ignore nulls over w as first_chunk
-            from {orders} window w as (partition by o_custkey order by o_orderkey rows between unbounded preceding and current row)) where run is not null""",
-        """with runs as (select o_custkey, o_orderkey as a, lead(o_orderkey) over (partition by o_custkey order by o_orderkey) as b, 1 + o_orderkey % 7 as spc from orders where o_orderkey % 3 = 0)
-        select o.o_orderkey, cast(spc as bigint) as samples_per_chunk, a as first_chunk from orders o join runs r on o.o_custkey = r.o_custkey and o.o_orderkey >= a and (b is null or o.o_orderkey < b)""",
-    ),
     "stss_left_join": (
         "select e.event_id, coalesce(s.is_sync, false) as is_sync from {events} e left join (select event_id, true as is_sync from {events} where event_type = 'signup') s on e.event_id = s.event_id",
         "select event_id, event_id in (select event_id from events where event_type = 'signup') as is_sync from events",

@@ -20,6 +20,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from .writers import ivf_frame, ivf_header
+
 #: Rows of a key whose sizes one task adds up.
 BLOCK = 4096
 
@@ -135,13 +137,11 @@ def stream_parts(samples: DataFrame) -> DataFrame:
     return _placed(samples.select("path", F.col("sample_index").cast("long").alias("part"), "data"), ".obu")
 
 
-def ivf_parts(samples: DataFrame, codec: str = "AV01", width: int = 0, height: int = 0, rate: tuple[int, int] = (30, 1)) -> DataFrame:
+def ivf_parts(samples: DataFrame, **header) -> DataFrame:
     """Samples (path, sample_index, pts, data) as rows to be placed in IVF files, the frame counts in their headers."""
-    little = lambda value, n: F.unhex(F.concat(*[F.lpad(F.hex(F.shiftrightunsigned(value, 8 * i).bitwiseAND(255)), 2, "0") for i in range(n)]))
-    fixed = b"DKIF" + (0).to_bytes(2, "little") + (32).to_bytes(2, "little") + codec.encode() + width.to_bytes(2, "little") + height.to_bytes(2, "little") + rate[0].to_bytes(4, "little") + rate[1].to_bytes(4, "little")
-    heads = samples.groupBy("path").agg(F.count("*").alias("n")).select("path", F.lit(-1).cast("long").alias("part"), F.concat(F.lit(fixed), little(F.col("n"), 4), F.lit(b"\0\0\0\0")).alias("data"))
-    frame = F.concat(little(F.octet_length("data").cast("long"), 4), little(F.col("pts").cast("long"), 8), F.col("data"))
-    return _placed(heads.unionByName(samples.select("path", F.col("sample_index").cast("long").alias("part"), frame.alias("data"))), ".ivf")
+    heads = samples.groupBy("path").agg(F.count("*").alias("n")).select("path", F.lit(-1).cast("long").alias("part"), ivf_header(F.col("n"), **header).alias("data"))
+    frames = samples.select("path", F.col("sample_index").cast("long").alias("part"), ivf_frame(F.col("pts"), F.col("data")).alias("data"))
+    return _placed(heads.unionByName(frames), ".ivf")
 
 
 def write_placed(parts: DataFrame, folder: str, overwrite: bool = False) -> None:

@@ -36,6 +36,29 @@ def sample_bytes(units: DataFrame) -> DataFrame:
     return rows.groupBy("path", "sample_index").agg(joined.alias("data"))
 
 
+def little_endian(value: Column, n: int) -> Column:
+    """A whole number in n bytes, the least significant first."""
+    return F.unhex(F.concat(*[F.lpad(F.hex(F.shiftrightunsigned(value.cast("long"), 8 * i).bitwiseAND(255)), 2, "0") for i in range(n)]))
+
+
+def ivf_header(frames: Column, codec: str = "AV01", width: int = 0, height: int = 0, rate: tuple[int, int] = (30, 1)) -> Column:
+    """The 32 bytes that open an IVF file of so many frames."""
+    fixed = b"DKIF" + (0).to_bytes(2, "little") + (32).to_bytes(2, "little") + codec.encode() + width.to_bytes(2, "little") + height.to_bytes(2, "little") + rate[0].to_bytes(4, "little") + rate[1].to_bytes(4, "little")
+    return F.concat(F.lit(fixed), little_endian(frames, 4), F.lit(b"\0\0\0\0"))
+
+
+def ivf_frame(pts: Column, data: Column) -> Column:
+    """A frame of an IVF file: its size, its time, its data."""
+    return F.concat(little_endian(F.octet_length(data), 4), little_endian(pts, 8), data)
+
+
+def ivf_bytes(samples: DataFrame, **header) -> DataFrame:
+    """(path, content): samples (path, sample_index, pts, data) as IVF files. One file's frames meet in one row."""
+    rows = samples.select("path", F.struct("sample_index", ivf_frame(F.col("pts"), F.col("data")).alias("data")).alias("f"))
+    joined = F.aggregate(F.array_sort(F.collect_list("f")), F.lit(b""), lambda a, f: F.concat(a, f["data"]))
+    return rows.groupBy("path").agg(F.concat(ivf_header(F.count("*"), **header), joined).alias("content"))
+
+
 def _frames(frames: DataFrame, start: Column, head: Column) -> DataFrame:
     rows = frames.select("path", "width", "height", F.struct("frame", F.concat(head, "y", "u", "v").alias("data")).alias("f"))
     joined = F.aggregate(F.array_sort(F.collect_list("f")), F.first(start), lambda a, f: F.concat(a, f["data"]))
