@@ -50,8 +50,8 @@ SQL: dict[str, tuple[str, str | None]] = {
         select user_id, cast(arg_max(dir, {'c': cost, 'd': -dir}) as bigint) as dir, cast(max(cost) as bigint) as cost from c group by user_id""",
     ),
     "capped_abs_sum": (
-        f"select vec_id, cast(least(63, aggregate(q, 0, (a, x) -> a + abs(x - 128))) as bigint) as level, cast(aggregate(q, 0, (a, x) -> a | x) as bigint) as bits from (select vec_id, {SPARK_Q} as q from {{embeddings}})",
-        f"select vec_id, cast(least(63, list_sum(list_transform(q, lambda x: abs(x - 128)))) as bigint) as level, cast(list_reduce(q, lambda a, x: a | x) as bigint) as bits from (select vec_id, {DUCK_Q} as q from embeddings)",
+        f"select vec_id, cast(least(63, aggregate(q, 0, (a, x) -> a + abs(x - 128))) as bigint) as level, cast(aggregate(q, 0, (a, x) -> a | x) as bigint) as bits, cast(pmod(sign(aggregate(q, 0, (a, x) -> a + x - 128)) * -2, 3) as bigint) as sign_code from (select vec_id, {SPARK_Q} as q from {{embeddings}})",
+        f"select vec_id, cast(least(63, sum(greatest(v - 128, 128 - v))) as bigint) as level, cast(bit_or(v) as bigint) as bits, cast(case when sum(v) < 8192 then 2 when sum(v) > 8192 then 1 else 0 end as bigint) as sign_code from ({DUCK_PIX}) group by vec_id",
     ),
     # --- joins ---------------------------------------------------------------------------------------------------
     "ctts_runlength_join": (

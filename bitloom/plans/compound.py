@@ -262,3 +262,80 @@ def bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", read["value"].alias("leb128"), read["n"].cast("int").alias("n_bytes"), bits.uvlc_decode(F.concat(said, F.lit("01"))).alias("uvlc"), F.length(said).cast("long").alias("uvlc_bits"),
         bits.su_decode(F.lpad(F.bin(F.pmod(e % 64 - 32, F.lit(64))), 6, "0"), 6).alias("su"), bits.ns_decode(F.concat(low, F.lit("10")), 11).alias("ns"),
     )
+
+
+_PIXELS = "select vec_id, unnest(range(len(embedding))) as i, unnest(list_transform(embedding, lambda x: cast(greatest(0, least(255, 128 + floor(x * 256))) as int))) as v from embeddings"
+_SAMPLES_OF = "transform(embedding, x -> cast(greatest(0, least(255, 128 + floor(x * 256))) as int))"
+#: Eight taps for each sixteenth of a sample up to a half, in 64ths; the others are these read backwards.
+TAPS = (
+    (0, 0, 0, 64, 0, 0, 0, 0), (0, 1, -3, 63, 4, -1, 0, 0), (0, 1, -5, 61, 9, -2, 0, 0), (0, 1, -6, 58, 14, -4, 1, 0), (0, 1, -7, 55, 19, -5, 1, 0),
+    (0, 1, -7, 51, 24, -6, 1, 0), (0, 1, -8, 47, 29, -6, 1, 0), (0, 1, -7, 42, 33, -6, 1, 0), (0, 1, -7, 38, 38, -7, 1, 0),
+)
+PHASES = {p: TAPS[p] if p < 9 else TAPS[16 - p][::-1] for p in range(16)}
+
+
+@_query(f"""with p as ({_PIXELS}), taps as (select phase, unnest(range(-3, 5)) as d, unnest(w) as w from (values {', '.join(f'({p}, {list(w)})' for p, w in PHASES.items())}) t(phase, w))
+    select a.vec_id, cast(a.i as bigint) as i, cast(greatest(0, least(255, floor((sum(w * b.v) + 32) / 64.0))) as bigint) as y from p a join taps on phase = a.vec_id % 16 join p b on b.vec_id = a.vec_id and b.i = greatest(0, least(63, a.i + d)) group by a.vec_id, a.i""")
+def fir8_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples moved by a sixteenth for each vector, the taps of its phase looked up in a dimension."""
+    phases = spark.createDataFrame([(p, *w) for p, w in PHASES.items()], "phase int, " + ", ".join(f"w{k} int" for k in range(8)))
+    vectors = _table(spark, sf_dir, "embeddings").selectExpr("vec_id", f"{_SAMPLES_OF} as q", "cast(vec_id % 16 as int) as phase")
+    rows = grids.look_up(vectors, phases, ["phase"]).selectExpr("*", "explode(sequence(0, 63)) as i")
+    total = " + ".join(f"w{k} * q[greatest(0, least(63, i + {k - 3}))]" for k in range(8))
+    return rows.selectExpr("vec_id", "cast(i as bigint) as i", f"cast(greatest(0, least(255, shiftright({total} + 32, 6))) as bigint) as y")
+
+
+def _smooth(n: int, bits: int) -> list[str]:
+    """For each of the 2n samples around an edge at e, the weighted sum of its 2n + 1 neighbours, cut off at n + 1 from the edge."""
+    taps = lambda j: 2 if abs(j) <= (0 if (n, bits) == (3, 3) else 1) else 1
+    return [f"shiftright({' + '.join(f'{taps(j)} * q[e + {max(-n - 1, min(n, i + j))}]' for j in range(-n, n + 1))} + {1 << bits - 1}, {bits})" for i in range(-n, n)]
+
+
+def _smooth_oracle(n: int, bits: int, step: int) -> str:
+    return f"""(with p as (select vec_id, i, v >> 5 as v from ({_PIXELS})), e as (select unnest(range({step}, 64, {step})) as e), at as (select e, unnest(range(-{n}, {n})) as k from e),
+        flat as (select vec_id, e from p cross join e where i >= e - {n + 1} and i <= e + {n} group by vec_id, e having max(v) filter (i < e) - min(v) filter (i < e) <= 1 and max(v) filter (i >= e) - min(v) filter (i >= e) <= 1),
+        taps as (select unnest(range(-{n}, {n + 1})) as j), near as (select e, k, greatest(-{n + 1}, least({n}, k + j)) + e as i, case when abs(j) <= {0 if (n, bits) == (3, 3) else 1} then 2 else 1 end as w from at cross join taps)
+        select vec_id, cast(e as bigint) as edge, {2 * n + 2} as width, cast(k as bigint) as k, cast((sum(w * v) + {1 << bits - 1}) // {1 << bits} as bigint) as y from flat join near using (e) join p using (vec_id, i) group by vec_id, e, k)""".replace(" at as (", " placed as (").replace("from at cross", "from placed cross")
+
+
+@_query(f"select * from {_smooth_oracle(3, 3, 8)} union all select * from {_smooth_oracle(6, 4, 16)}")
+def deblock_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges whose sides are flat, smoothed over three samples a side (every 8th edge) and over six (every 16th)."""
+    vectors = _table(spark, sf_dir, "embeddings").selectExpr("vec_id", f"transform({_SAMPLES_OF}, x -> shiftright(x, 5)) as q")
+    out = []
+    for n, bits_, step in ((3, 3, 8), (6, 4, 16)):
+        rows = vectors.selectExpr("vec_id", "q", f"explode(sequence({step}, 63, {step})) as e")
+        side = lambda first: f"array({', '.join(f'q[e + {first + k}]' for k in range(n + 1))})"  # noqa: E731, B023
+        flat = " and ".join(f"array_max({side(s)}) - array_min({side(s)}) <= 1" for s in (-n - 1, 0))
+        out.append(rows.where(flat).selectExpr("vec_id", "cast(e as bigint) as edge", f"{2 * n + 2} as width", f"posexplode(array({', '.join(_smooth(n, bits_))})) as (pos, y)").selectExpr("vec_id", "edge", "width", f"cast(pos - {n} as bigint) as k", "cast(y as bigint) as y"))
+    return out[0].unionByName(out[1])
+
+
+@_query(f"""with p as ({_PIXELS}), n as (select a.vec_id, a.i, 16 * a.v as a, 16 * b.v as b from p a join p b on b.vec_id = a.vec_id and b.i = 63 - a.i), m as (select *, least(64, 38 + floor((abs(a - b) + 8) / 256.0)) as m, vec_id % 13 + 2 as w from n)
+    select vec_id, cast(i as bigint) as i, cast(floor((a + b + 16) / 32.0) as bigint) as average, cast(floor((a * w + b * (16 - w) + 128) / 256.0) as bigint) as weighted, cast(floor((a * m + b * (64 - m) + 512) / 1024.0) as bigint) as by_difference from m""")
+def compound_blends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two predictions of four more bits each: their average, a weighted one, and one weighted by how far they differ."""
+    vectors = _table(spark, sf_dir, "embeddings").selectExpr("vec_id", f"{_SAMPLES_OF} as q")
+    rows = vectors.selectExpr("vec_id", "q", "explode(sequence(0, 63)) as i").selectExpr("vec_id", "i", "16 * q[i] as a", "16 * q[63 - i] as b", "cast(vec_id % 13 + 2 as int) as w")
+    rows = rows.withColumn("m", F.expr("least(64, 38 + shiftright(abs(a - b) + 8, 8))"))
+    blend = {"average": "shiftright(a + b + 16, 5)", "weighted": "shiftright(a * w + b * (16 - w) + 128, 8)", "by_difference": "shiftright((a - b) * m + 64 * b + 512, 10)"}
+    return rows.selectExpr("vec_id", "cast(i as bigint) as i", *[f"cast({x} as bigint) as {name}" for name, x in blend.items()])
+
+
+@_query("""with s as (select p_partkey, 2 + p_size % 15 as n, unnest(range(1, 2 + p_size % 15)) as k from part) select p_partkey, string_agg(cast(32768 - (32768 * k) // n as varchar), ',' order by k) as counts, cast(max(n) as bigint) as n from s group by p_partkey""")
+def uniform_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cumulative counts that n equally likely symbols begin with, falling from 2^15."""
+    counts = F.transform(F.sequence(F.lit(1), F.col("n") - 1), lambda k: (32768 - F.floor(32768 * k / F.col("n"))).cast("string"))
+    rows = _table(spark, sf_dir, "part").select("p_partkey", (F.lit(2) + F.col("p_size") % 15).cast("int").alias("n"))
+    return rows.select("p_partkey", F.array_join(counts, ",").alias("counts"), F.col("n").cast("long").alias("n"))
+
+
+@_query("""with cells as (select p_partkey // 256 * 256 + p_partkey % 256 as packed, p_size from part), asked as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_partkey as packed, l_partkey // 4096 as region from lineitem)
+    select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, coalesce((select max(p_size) from cells c where c.packed = a.packed and p_size > 20), -1) as strength, (select count(*) from cells c where c.packed // 4096 = a.region and p_size > 20) as known from asked a""")
+def packed_key_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parameters kept as a map of packed keys (row * 256 + column) for each region of 4,096 cells, and looked up there; without one, -1."""
+    cells = _table(spark, sf_dir, "part").where("p_size > 20").selectExpr("p_partkey div 256 * 256 + p_partkey % 256 as packed", "p_size")
+    maps = cells.groupBy(F.expr("packed div 4096").alias("region")).agg(F.map_from_entries(F.collect_list(F.struct("packed", "p_size"))).alias("known"))
+    lines = _table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_partkey div 4096 as region")
+    found = lines.join(maps, "region", "left")
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.coalesce(F.expr("known[l_partkey]"), F.lit(-1)).alias("strength"), F.coalesce(F.cardinality("known"), F.lit(0)).cast("long").alias("known"))

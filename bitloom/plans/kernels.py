@@ -73,7 +73,11 @@ _HEV = f"(abs({at(-2)} - {at(-1)}) > 8 or abs({at(1)} - v) > 8)"
 _F = clip(f"if({_HEV}, {clip(f'{at(-2)} - {at(1)}', -128, 127)}, 0) + 3 * (v - {at(-1)})", -128, 127)
 _F1, _F2 = f"({clip(f'{_F} + 4', -128, 127)} >> 3)", f"({clip(f'{_F} + 3', -128, 127)} >> 3)"
 _G = f"if({_HEV}, 0, ({_F1} + 1) >> 1)"
-_BOX = lambda r, f: f"aggregate(sequence(0, {(2 * r + 1) ** 2 - 1}), 0, (a, k) -> a + {f.format(x=f'q[greatest(0, least(7, i div 8 + k div {2 * r + 1} - {r})) * 8 + greatest(0, least(7, i % 8 + k % {2 * r + 1} - {r}))]')})"
+#: Sums over a square of radius r around each sample of 8 by 8, unrolled so that they are compiled; borders repeat.
+_BOX = lambda r, q: " + ".join(f"{q}[y{dy + 2} + x{dx + 2}]" for dy in range(-r, r + 1) for dx in range(-r, r + 1))
+_BOX_PLACES = ", ".join(f"cast(greatest(0, least(7, i div 8 + {d})) * 8 as int) as y{d + 2}, cast(greatest(0, least(7, i % 8 + {d})) as int) as x{d + 2}" for d in range(-2, 3))
+#: The place of each sample of 8 by 8 in the order of anti-diagonals, from 1 on.
+_WAVEFRONT = [1 + sorted(range(64), key=lambda i: (i % 8 + i // 8, -(i % 8))).index(i) for i in range(64)]
 _PRIME = 1_000_003
 
 #: name -> (Spark SQL with tables in braces, oracle SQL)
@@ -114,7 +118,8 @@ SQL: dict[str, tuple[str, str]] = {
             cast(floor((list_sum([p1, p0, p0, q0, q0, q1, q1, q2]) + 4) / 8) as bigint) as q0, cast(floor((list_sum([p0, q0, q0, q1, q1, q2, q2, q2]) + 4) / 8) as bigint) as q1 from flat""",
     ),
     "box_sums": (
-        exploded(s3=_BOX(1, "{x}"), ss3=_BOX(1, "{x} * {x}"), s5=_BOX(2, "{x}"), ss5=_BOX(2, "{x} * {x}")),
+        f"""select vec_id, cast(i as bigint) as i, cast({_BOX(1, 'q')} as bigint) as s3, cast({_BOX(1, 'p')} as bigint) as ss3, cast({_BOX(2, 'q')} as bigint) as s5, cast({_BOX(2, 'p')} as bigint) as ss5
+        from (select vec_id, i, q, p, {_BOX_PLACES} from (select vec_id, q, p, explode(sequence(0, 63)) as i from (select vec_id, q, transform(q, x -> x * x) as p from (select vec_id, {SPARK_Q} as q from {{embeddings}}))))""",
         f"""with p as (select vec_id, i, i // 8 as y, i % 8 as x, v from ({DUCK_PIX})), d as (select unnest(range(-2, 3)) as d),
         n as (select p.vec_id, p.i, q.v, greatest(abs(dy.d), abs(dx.d)) as r from p cross join d dy cross join d dx join p q on q.vec_id = p.vec_id and q.y = greatest(0, least(7, p.y + dy.d)) and q.x = greatest(0, least(7, p.x + dx.d)))
         select vec_id, cast(i as bigint) as i, cast(sum(v) filter (r <= 1) as bigint) as s3, cast(sum(v * v) filter (r <= 1) as bigint) as ss3, cast(sum(v) as bigint) as s5, cast(sum(v * v) as bigint) as ss5 from n group by vec_id, i""",
@@ -135,7 +140,7 @@ SQL: dict[str, tuple[str, str]] = {
         _wht_oracle(),
     ),
     "wavefront_order": (
-        exploded(n="1 + size(filter(sequence(0, 63), j -> j % 8 + j div 8 < i % 8 + i div 8 or (j % 8 + j div 8 = i % 8 + i div 8 and j % 8 > i % 8)))"),
+        f"select vec_id, cast(i as bigint) as i, cast(array({', '.join(map(str, _WAVEFRONT))})[i] as bigint) as n from (select vec_id, posexplode({SPARK_Q}) as (i, v) from {{embeddings}})",
         f"select vec_id, cast(i as bigint) as i, cast(row_number() over (partition by vec_id order by i % 8 + i // 8, i % 8 desc) as bigint) as n from ({DUCK_PIX})",
     ),
     "mask_blend": (
@@ -173,14 +178,14 @@ SQL: dict[str, tuple[str, str]] = {
         f"select a.user_id, a.event_id, count(b.event_id) + 1 as n from events a left join events b on {EARLIER} group by a.user_id, a.event_id having count(b.event_id) < 10",
     ),
     "asof_before": (
-        """select event_id, click as last_click from (select event_id, event_type, last_value(case when event_type = 'click' then event_id end) ignore nulls
+        """select event_id, click.event_id as last_click from (select event_id, event_type, max(case when event_type = 'click' then struct(ts, event_id) end)
             over (partition by user_id order by ts range between unbounded preceding and current row) as click from {events}) where event_type = 'purchase'""",
-        "select p.event_id, c.event_id as last_click from (select * from events where event_type = 'purchase') p asof left join (select * from events where event_type = 'click') c on p.user_id = c.user_id and p.ts >= c.ts",
+        "select p.event_id, (select arg_max(c.event_id, {'t': c.ts, 'e': c.event_id}) from events c where c.event_type = 'click' and c.user_id = p.user_id and c.ts <= p.ts) as last_click from events p where event_type = 'purchase'",
     ),
     "asof_after": (
-        """select event_id, click as next_click from (select event_id, event_type, first_value(case when event_type = 'click' then event_id end) ignore nulls
+        """select event_id, click.event_id as next_click from (select event_id, event_type, min(case when event_type = 'click' then struct(ts, event_id) end)
             over (partition by user_id order by ts range between current row and unbounded following) as click from {events}) where event_type = 'purchase'""",
-        "select p.event_id, c.event_id as next_click from (select * from events where event_type = 'purchase') p asof left join (select * from events where event_type = 'click') c on p.user_id = c.user_id and p.ts <= c.ts",
+        "select p.event_id, (select arg_min(c.event_id, {'t': c.ts, 'e': c.event_id}) from events c where c.event_type = 'click' and c.user_id = p.user_id and c.ts >= p.ts) as next_click from events p where event_type = 'purchase'",
     ),
     "stss_left_join": (
         "select e.event_id, coalesce(s.is_sync, false) as is_sync from {events} e left join (select event_id, true as is_sync from {events} where event_type = 'signup') s on e.event_id = s.event_id",
@@ -192,10 +197,9 @@ SQL: dict[str, tuple[str, str]] = {
         f"select {KEY}, cast(coalesce((select min(p_size) from part where p_size > 10 and p_partkey // 16 = l_partkey // 16), 0) as bigint) as strength from lineitem",
     ),
     "edge_pairs": (
-        """select * from (select o_orderkey, cast(floor(o_totalprice) as bigint) as q, cast(floor(lag(o_totalprice) over (partition by o_custkey order by o_orderkey)) as bigint) as p from {orders}) where p is not null and abs(p - q) <= 40000""",
-        """with n as (select *, cast(floor(o_totalprice) as bigint) as f from orders)
-        select b.o_orderkey, b.f as q, a.f as p from n a join n b on a.o_custkey = b.o_custkey and a.o_orderkey < b.o_orderkey
-        where abs(a.f - b.f) <= 40000 and not exists (select 1 from orders c where c.o_custkey = a.o_custkey and c.o_orderkey > a.o_orderkey and c.o_orderkey < b.o_orderkey)""",
+        f"""select * from (select {KEY}, cast(l_quantity as bigint) as q, cast(lag(l_quantity) over (partition by l_suppkey order by {KEY}, l_quantity) as bigint) as p from {{lineitem}}) where p is not null and abs(p - q) <= 4""",
+        f"""with n as (select *, row_number() over (partition by l_suppkey order by {KEY}, l_quantity) as n from lineitem)
+        select {', '.join('b.' + k.strip() for k in KEY.split(','))}, cast(b.l_quantity as bigint) as q, cast(a.l_quantity as bigint) as p from n a join n b on b.l_suppkey = a.l_suppkey and b.n = a.n + 1 where abs(a.l_quantity - b.l_quantity) <= 4""",
     ),
     "neighbour_exists": (
         """select event_id from (select event_id, event_type, lag(event_type) over (partition by user_id order by ts, event_id) as before, lead(event_type) over (partition by user_id order by ts, event_id) as after from {events})
@@ -218,13 +222,16 @@ SQL: dict[str, tuple[str, str]] = {
             row_number() over (partition by l_partkey % 97, l_suppkey % 13 order by l_shipdate desc, l_orderkey desc, l_linenumber desc, l_partkey desc, l_suppkey desc, l_extendedprice desc) as n from lineitem) where n = 1""",
     ),
     "zip_diff": (
-        """with n as (select user_id, event_type = 'click' as ours, cast(floor(value) as bigint) % 16 as x, row_number() over (partition by user_id, event_type order by ts, event_id) - 1 as i from {events} where event_type in ('click', 'view')),
-        z as (select user_id, i, max(if(ours, x, null)) as a, max(if(ours, null, x)) as b from n group by user_id, i)
-        select user_id, count_if(a is not null and b is not null) as n, count_if(a <> b) as diffs, max(abs(a - b)) as max_diff, cast(min(if(a <> b, i, null)) as bigint) as first_diff, count_if(a is null or b is null) as unmatched from z group by user_id""",
-        """with l as (select user_id, list(cast(floor(value) as bigint) % 16 order by ts, event_id) filter (event_type = 'click') as a, list(cast(floor(value) as bigint) % 16 order by ts, event_id) filter (event_type = 'view') as b from events where event_type in ('click', 'view') group by user_id),
-        m as (select user_id, coalesce(a, []) as a, coalesce(b, []) as b from l),
-        d as (select user_id, least(len(a), len(b)) as n, greatest(len(a), len(b)) - least(len(a), len(b)) as unmatched, list_transform(range(1, least(len(a), len(b)) + 1), lambda i: abs(a[i] - b[i])) as d from m)
-        select user_id, cast(n as bigint) as n, len(list_filter(d, lambda x: x > 0)) as diffs, list_max(d) as max_diff, cast(list_min(list_filter(range(n), lambda i: d[i + 1] > 0)) as bigint) as first_diff, cast(unmatched as bigint) as unmatched from d""",
+        f"""with n as (select l_suppkey, l_returnflag = 'A' as ours, cast(l_quantity as bigint) as x, row_number() over (partition by l_suppkey, l_returnflag order by {KEY}, l_quantity) - 1 as i from {{lineitem}} where l_returnflag in ('A', 'R')),
+        z as (select l_suppkey, i, max(if(ours, x, null)) as a, max(if(ours, null, x)) as b from n group by l_suppkey, i),
+        d as (select *, if(a <> b, row_number() over (partition by l_suppkey, a <> b order by i), null) as k from z)
+        select l_suppkey, count_if(a is not null and b is not null) as n, count_if(a <> b) as diffs, max(abs(a - b)) as max_diff, cast(min(if(a <> b, i, null)) as bigint) as first_diff, count_if(a is null or b is null) as unmatched,
+            concat_ws(',', {', '.join(f"max(if(k = {k}, i, null))" for k in range(1, 6))}) as first_five from d group by l_suppkey""",
+        f"""with l as (select l_suppkey, list(cast(l_quantity as bigint) order by {KEY}, l_quantity) filter (l_returnflag = 'A') as a, list(cast(l_quantity as bigint) order by {KEY}, l_quantity) filter (l_returnflag = 'R') as b from lineitem where l_returnflag in ('A', 'R') group by l_suppkey),
+        m as (select l_suppkey, coalesce(a, []) as a, coalesce(b, []) as b from l),
+        d as (select l_suppkey, least(len(a), len(b)) as n, greatest(len(a), len(b)) - least(len(a), len(b)) as unmatched, list_transform(range(1, least(len(a), len(b)) + 1), lambda i: abs(a[i] - b[i])) as d from m),
+        p as (select *, list_filter(range(n), lambda i: d[i + 1] > 0) as p from d)
+        select l_suppkey, cast(n as bigint) as n, len(p) as diffs, list_max(d) as max_diff, cast(p[1] as bigint) as first_diff, cast(unmatched as bigint) as unmatched, array_to_string(p[1:5], ',') as first_five from p""",
     ),
     # --- aggregates ----------------------------------------------------------------------------------------------
     "type_histogram": ("select event_type, cast(count(*) as bigint) as n from {events} group by event_type", "select t as event_type, (select count(*) from events where event_type = t) as n from (select distinct event_type as t from events)"),
@@ -233,12 +240,12 @@ SQL: dict[str, tuple[str, str]] = {
         "select u as user_id, (select count(*) from events where user_id = u and event_type = 'signup') as syncs, (select count(*) from events where user_id = u) as samples from (select distinct user_id as u from events)",
     ),
     "tu_fu_obu_totals": (
-        """with j as (select o_orderstatus, l_orderkey, l_partkey, count(*) as n from {orders} join {lineitem} on o_orderkey = l_orderkey group by o_orderstatus, l_orderkey, l_partkey),
-        u as (select o_orderstatus, count(*) as units, sum(n) as obus from (select o_orderstatus, l_orderkey, sum(n) as n from j group by o_orderstatus, l_orderkey) group by o_orderstatus),
-        f as (select o_orderstatus, count(*) as frames from (select distinct o_orderstatus, l_partkey from j) group by o_orderstatus),
-        a as (select count(*) as frames from (select distinct l_partkey from j))
-        select u.o_orderstatus, units, frames, obus from u join f on u.o_orderstatus <=> f.o_orderstatus
-        union all select null, sum(units), (select frames from a), sum(obus) from u""",
+        """with g as (select o_orderstatus, l_orderkey, l_partkey, count(*) as n, grouping_id(o_orderstatus, l_orderkey, l_partkey) as level from {orders} join {lineitem} on o_orderkey = l_orderkey
+            group by grouping sets ((o_orderstatus, l_orderkey), (o_orderstatus, l_partkey), (l_partkey))),
+        r as (select o_orderstatus, level = 6 as over_all, count_if(level = 1) as units, count_if(level = 2) as frames, count_if(level = 6) as all_frames, sum(if(level = 1, n, 0)) as obus from g group by o_orderstatus, level = 6)
+        select o_orderstatus, units, frames, obus from (
+            select o_orderstatus, over_all, grouping(o_orderstatus) as whole, sum(units) as units, if(grouping(o_orderstatus) = 1, sum(all_frames), sum(frames)) as frames, sum(obus) as obus from r
+            group by grouping sets ((o_orderstatus, over_all), ())) where whole = 1 or not over_all""",
         """with j as (select o_orderstatus, l_orderkey, l_partkey from orders join lineitem on o_orderkey = l_orderkey)
         select o_orderstatus, count(distinct l_orderkey) as units, count(distinct l_partkey) as frames, count(*) as obus from j group by o_orderstatus
         union all select null, count(distinct l_orderkey), count(distinct l_partkey), count(*) from j""",
@@ -355,8 +362,8 @@ SQL: dict[str, tuple[str, str]] = {
     ),
     # --- strings -------------------------------------------------------------------------------------------------
     "enum_labels": (
-        "select event_id, case event_type when 'signup' then 'KEY_FRAME' when 'click' then 'INTER_FRAME' when 'purchase' then 'INTRA_ONLY_FRAME' when 'view' then 'SWITCH_FRAME' else 'UNKNOWN' end as label from {events}",
-        "select event_id, coalesce(n, 'UNKNOWN') as label from events left join (values ('signup', 'KEY_FRAME'), ('click', 'INTER_FRAME'), ('purchase', 'INTRA_ONLY_FRAME'), ('view', 'SWITCH_FRAME')) t(k, n) on k = event_type",
+        "select /*+ broadcast(t) */ event_id, coalesce(t.label, 'UNKNOWN') as label from {events} e left join (values ('signup', 'KEY_FRAME'), ('click', 'INTER_FRAME'), ('purchase', 'INTRA_ONLY_FRAME'), ('view', 'SWITCH_FRAME')) t(kind, label) on t.kind = e.event_type",
+        "select event_id, case event_type when 'signup' then 'KEY_FRAME' when 'click' then 'INTER_FRAME' when 'purchase' then 'INTRA_ONLY_FRAME' when 'view' then 'SWITCH_FRAME' else 'UNKNOWN' end as label from events",
     ),
     "fourcc": (
         "select doc_id, substring(text, 1, 4) as fourcc, cast(conv(nullif(substring(hex(encode(text, 'utf-8')), 1, 2), ''), 16, 10) as bigint) as first_byte from {documents}",

@@ -14,11 +14,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from ..functions.bits import byte_at, leb128_decode
+from ..functions.bits import byte_at
 
 #: Box types that may open an MP4 file, and boxes that hold boxes.
 FIRST_BOXES = ("ftyp", "moov", "mdat", "free", "skip", "wide", "pnot")
+#: Bytes of a visual sample entry before its boxes, its own header left out, and where width and height stand.
+ENTRY, WIDTH, HEIGHT = 78, 24, 26
 #: Types of record units, from the sequence header to padding.
 KNOWN_UNITS = (1, 2, 3, 4, 5, 6, 7, 8, 15)
 HOLDERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"mvex"}
@@ -30,43 +33,47 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def _size_at(data: Column, at: Column) -> Column:
-    """struct(value, next): the LEB128 number that stands at a place, and the place behind it; null without one."""
-    found = leb128_decode(F.substring(data, (at + 1).cast("int"), F.lit(8)))
-    return F.when(found.isNotNull(), F.struct(found["value"].alias("value"), (at + found["n"]).alias("next")))
-
-
-def _first_unit(data: Column) -> Column:
-    """True where data begin with a whole record unit of a known type that states its size."""
-    head = byte_at(data, 0)
-    size = _size_at(data, F.when(head.bitwiseAND(4) > 0, F.lit(2)).otherwise(F.lit(1)))
-    plain = (head.bitwiseAND(0x80) == 0) & (head.bitwiseAND(2) > 0) & F.shiftright(head, 3).bitwiseAND(15).isin(*KNOWN_UNITS)
-    return F.coalesce(plain & (size["next"] + size["value"] <= F.octet_length(data)), F.lit(False))
-
-
-def _first_nesting(data: Column) -> Column:
-    """True where data begin with sizes of a temporal unit, a frame unit and a record unit, each within the one before."""
-    state = lambda at, end: F.struct(at.cast("long").alias("at"), end.cast("long").alias("end"))
+def _probed(head: bytes, length: int) -> str | None:
+    """obu or annexb, by the first bytes of data of this length; None where they are neither.
 
-    def step(s: Column, _: Column) -> Column:
-        size = _size_at(data, s["at"])
-        return F.when((size["value"] > 0) & (size["next"] + size["value"] <= s["end"]), state(size["next"], size["next"] + size["value"]))
-
-    unit = F.aggregate(F.sequence(F.lit(1), F.lit(3)), state(F.lit(0), F.octet_length(data)), step, lambda s: s["at"])
-    return F.coalesce(byte_at(data, unit.cast("int")).bitwiseAND(0x82) == 0, F.lit(False))
+    obu: a whole record unit of a known type that states its size. annexb: sizes of a temporal unit, a frame unit and a
+    record unit, each above 0 and within the one before, and a unit that does not state its size.
+    """
+    try:
+        first, kind = head[0], head[0] >> 3 & 15
+        if first & 0x82 == 2 and kind in KNOWN_UNITS:
+            size, at = _leb128(head, 2 if first & 4 else 1, len(head))
+            if at + size <= length:
+                return "obu"
+    except (ValueError, IndexError):
+        pass
+    try:
+        at, end = 0, length
+        for _ in range(3):
+            size, at = _leb128(head, at, len(head))
+            if not size or at + size > end:
+                return None
+            end = at + size
+        return "annexb" if head[at] & 0x82 == 0 else None
+    except (ValueError, IndexError):
+        return None
+
+
+@F.pandas_udf(StringType())
+def _probe(head: pd.Series, length: pd.Series) -> pd.Series:
+    return pd.Series([_probed(bytes(h), int(n)) for h, n in zip(head, length)], dtype=object)
 
 
 def sniff(rows: DataFrame, column: str = "content") -> DataFrame:
     """rows with format: ivf, mp4, obu, annexb or unknown, by the first bytes; record units are walked, not only looked at.
 
-    Null and anything below four bytes is unknown.
+    Null and anything below four bytes is unknown. Only 32 bytes and the length of a file go to the probe.
     """
     c = F.col(column)
     word = lambda at: F.decode(F.substring(c, F.lit(at + 1), F.lit(4)), "iso-8859-1")
-    return rows.withColumn(
-        "format",
-        F.when(c.isNull() | (F.octet_length(c) < 4), "unknown").when(word(0) == "DKIF", "ivf").when(word(4).isin(*FIRST_BOXES), "mp4").when(_first_unit(c), "obu").when(_first_nesting(c), "annexb").otherwise("unknown"),
-    )
+    probed = _probe(F.coalesce(F.substring(c, F.lit(1), F.lit(32)), F.lit(b"\0\0\0\0")), F.coalesce(F.octet_length(c), F.lit(0)))
+    known = F.when(c.isNull() | (F.octet_length(c) < 4), "unknown").when(word(0) == "DKIF", "ivf").when(word(4).isin(*FIRST_BOXES), "mp4")
+    return rows.withColumn("format", F.coalesce(known, probed, F.lit("unknown")))
 
 
 def ivf_headers(rows: DataFrame) -> DataFrame:
@@ -192,11 +199,14 @@ def annexb_units(rows: DataFrame) -> DataFrame:
 
 
 def box_walk(read: Callable[[int, int], bytes], length: int) -> Iterator[tuple]:
-    """(box, track, at, payload) of the boxes of an MP4 file, of which read(at, n) gives n bytes, fewer at its end."""
-    todo, track = [(0, length, "", 0)], 0
+    """(box, track, at, payload) of the boxes of an MP4 file, of which read(at, n) gives n bytes, fewer at its end.
+
+    Sample entries are boxes within stsd, as many as it says, and what follows the fields of an av01 entry are boxes in it.
+    """
+    todo, track = [(0, length, "", 0, length)], 0
     while todo:
-        at, end, above, of = todo.pop()
-        if at + 8 > end:
+        at, end, above, of, left = todo.pop()
+        if at + 8 > end or not left:
             continue
         size, kind = struct.unpack(">I4s", read(at, 8))
         head = 8
@@ -205,7 +215,7 @@ def box_walk(read: Callable[[int, int], bytes], length: int) -> Iterator[tuple]:
         size = end - at if size == 0 else size
         if size < head or at + size > end:
             continue
-        todo.append((at + size, end, above, of))
+        todo.append((at + size, end, above, of, left - 1))
         name = f"{above}/{kind.decode('iso-8859-1')}"
         if kind == b"trak":
             track += 1
@@ -213,7 +223,11 @@ def box_walk(read: Callable[[int, int], bytes], length: int) -> Iterator[tuple]:
         holds = kind in HOLDERS
         yield name, of, at, None if holds or not name.startswith("/moov") else read(at + head, size - head)
         if holds:
-            todo.append((at + head, at + size, name, of))
+            todo.append((at + head, at + size, name, of, length))
+        elif name.endswith("/stbl/stsd") and size >= head + 8:
+            todo.append((at + head + 8, at + size, name, of, int.from_bytes(read(at + head + 4, 4), "big")))
+        elif name.endswith("/stsd/av01"):
+            todo.append((at + head + ENTRY, at + size, name, of, length))
 
 
 def boxes(rows: DataFrame) -> DataFrame:
@@ -244,31 +258,6 @@ def _numbers(found: DataFrame, box: str, first: int, width: int, per_row: int) -
     return data.select("path", "track", F.explode(listed).alias("e")).select("path", "track", "e.*")
 
 
-def _inner_boxes(data: Column, first: int, most: Column | None = None) -> Column:
-    """array(struct(kind, body)): the boxes that follow one another from byte first on, most of them at most, by their sizes.
-
-    A box whose size is below 8 or reaches beyond the end is the last; it has no body.
-    """
-    room = F.floor((F.octet_length(data) - first) / 8)
-    n = room if most is None else F.least(most, room)
-    number = lambda at: F.conv(F.hex(F.substring(data, (at + 1).cast("int"), F.lit(4))), 16, 10).cast("long")
-
-    def step(state: Column, _: Column) -> Column:
-        at = state["at"]
-        size = number(at)
-        whole = (size >= 8) & (at + size <= F.octet_length(data))
-        here = F.struct(F.decode(F.substring(data, (at + 5).cast("int"), F.lit(4)), "iso-8859-1").alias("kind"), F.when(whole, F.substring(data, (at + 9).cast("int"), (size - 8).cast("int"))).alias("body"))
-        there = (at >= 0) & (at + 8 <= F.octet_length(data))
-        return F.struct(F.when(there & whole, at + size).otherwise(F.lit(-1).cast("long")).alias("at"), F.when(there, F.concat(state["found"], F.array(here))).otherwise(state["found"]).alias("found"))
-
-    none = F.struct(F.lit(first).cast("long").alias("at"), F.array().cast("array<struct<kind:string,body:binary>>").alias("found"))
-    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n.cast("int")), none, step)["found"]).otherwise(F.array().cast("array<struct<kind:string,body:binary>>"))
-
-
-#: Bytes of a visual sample entry before its boxes, its own header left out, and where width and height stand.
-ENTRY, WIDTH, HEIGHT = 78, 24, 26
-
-
 def tracks(found: DataFrame) -> DataFrame:
     """(path, track, track_id, handler, timescale, codec, width, height, av1_config, config_obus) of every track of MP4 files.
 
@@ -279,21 +268,18 @@ def tracks(found: DataFrame) -> DataFrame:
     text = lambda at: F.decode(F.expr(f"substring(payload, {at} + 1, 4)"), "iso-8859-1")
     long = F.substring("payload", 1, 1) == F.lit(b"\1")
     rows = found.where((F.col("track") > 0) & F.col("payload").isNotNull())
+    entry, config = F.col("box").rlike("/stsd/[^/]*$"), F.col("box").endswith("/stsd/av01/av1C")
+    last = lambda which, value: F.max_by(value, F.when(which, F.col("at")))
     named = rows.groupBy("path", "track").agg(
         leaf("/tkhd", F.when(long, _be(20, 4)).otherwise(_be(12, 4))).alias("track_id"),
         leaf("/mdia/hdlr", text(8)).alias("handler"),
         leaf("/mdia/mdhd", F.when(long, _be(20, 4)).otherwise(_be(12, 4))).alias("timescale"),
-        leaf("/stbl/stsd", F.col("payload")).alias("payload"),
+        last(entry, F.element_at(F.split("box", "/"), -1)).alias("codec"),
+        last(entry, _be(WIDTH, 2)).alias("width"),
+        last(entry, _be(HEIGHT, 2)).alias("height"),
+        last(config, F.col("payload")).alias("av1_config"),
     )
-    named = named.withColumn("entries", _inner_boxes(F.col("payload"), 8, _be(4, 4)))
-    last = F.when(F.size("entries") > 0, F.element_at("entries", -1))
-    number = lambda at: F.conv(F.hex(F.substring(last["body"], F.lit(at + 1), F.lit(2))), 16, 10).cast("long")
-    coded = F.filter("entries", lambda e: (e["kind"] == "av01") & (F.octet_length(e["body"]) >= ENTRY))
-    configs = F.filter(F.flatten(F.transform(coded, lambda e: _inner_boxes(e["body"], ENTRY))), lambda b: (b["kind"] == "av1C") & b["body"].isNotNull())
-    named = named.withColumn("configs", configs)
-    config = F.when(F.size("configs") > 0, F.element_at("configs", -1)["body"])
-    out = named.select("path", "track", "track_id", "handler", "timescale", last["kind"].alias("codec"), number(WIDTH).alias("width"), number(HEIGHT).alias("height"), config.alias("av1_config"))
-    return out.withColumn("config_obus", F.expr("case when octet_length(av1_config) > 4 then substring(av1_config, 5) end"))
+    return named.withColumn("config_obus", F.expr("case when octet_length(av1_config) > 4 then substring(av1_config, 5) end"))
 
 
 def first_av1_track(rows: DataFrame) -> DataFrame:
