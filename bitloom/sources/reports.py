@@ -52,29 +52,40 @@ def summary(rows: DataFrame, units: DataFrame | None = None) -> DataFrame:
     it was written or cached; else files are walked once for each kind of count.
     """
     units = file_units(rows) if units is None else units
-    broken = units.where("error is not null and sample_index >= 0").select("path", "sample_index").distinct()
-    told = all_samples(rows).select("path", "sample_index", "is_sync").join(broken.withColumn("bad", F.lit(True)), ["path", "sample_index"], "left")
-    sync = F.count_if(F.col("is_sync") & F.col("bad").isNull())
-    counted = told.groupBy("path").agg(F.count("*").alias("samples"), F.when(F.count("is_sync") > 0, sync).alias("sync_samples"))
-    nested = units.where("sample_index >= 0").join(told.select("path").distinct(), "path", "left_anti").groupBy("path").agg(F.countDistinct("sample_index").alias("samples"))
-    counted = counted.unionByName(nested.withColumn("sync_samples", F.lit(None).cast("long")))
+    known = media.sniff(rows)
+    broken = units.where("error is not null and sample_index >= 0").select("path", "sample_index", F.lit(True).alias("bad")).distinct()
+    nested = media.annexb_units(known.where("format = 'annexb'").drop("format")).select("path", "sample_index").distinct()
+    samples = all_samples(rows).select("path", "sample_index", "is_sync").unionByName(nested.withColumn("is_sync", F.lit(None).cast("boolean")))
+    samples = samples.join(broken, ["path", "sample_index"], "left")
+    whole = units.where("error is null")
+    frames = frame_headers(whole)
     names = F.create_map(*[F.lit(x) for pair in UNIT_NAMES.items() for x in pair])
-    by_type = units.where("error is null").groupBy("path", F.coalesce(names[F.col("obu_type")], F.lit("UNKNOWN")).alias("k")).count()
-    frames = frame_headers(units.where("error is null"))
-    by_frame = frames.where("frame_type_name is not null").groupBy("path", F.col("frame_type_name").alias("k")).count()
-    as_map = lambda df, name: df.groupBy("path").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "count")))).alias(name))
-    shown = frames.groupBy("path").agg(F.count_if("show_frame").alias("shown"))
-    last = sequence_headers(units.where("error is null")).groupBy("path").agg(F.max_by(F.struct("profile", "width", "height", "bit_depth"), F.struct("sample_index", "obu_index")).alias("s"))
-    out = media.sniff(rows).select("path", "format")
-    for part in (counted, broken.groupBy("path").agg(F.count("*").alias("broken")), as_map(by_type, "units"), as_map(by_frame, "frames"), shown, last.select("path", "s.*")):
-        out = out.join(part, "path", "left")
-    return out.withColumn("broken", F.when(F.col("samples").isNotNull(), F.coalesce("broken", F.lit(0))))
-
-
-def lines(rows: DataFrame, detailed: int = DETAILED, units: DataFrame | None = None) -> DataFrame:
-    """(path, place, line): the report as text, by place: the file, its headers, its first samples with their units, its damage."""
+    # Everything that is counted, as one table of facts: what kind it is, and its name.
+    fact = lambda df, kind, name="": df.select("path", F.lit(kind).alias("kind"), (F.lit(name) if isinstance(name, str) else name).alias("name"))
+    facts = fact(whole, "unit", F.coalesce(names[F.col("obu_type")], F.lit("UNKNOWN")))
+    kind = F.array_compact(F.array(F.lit("sample"), F.when(F.col("bad"), "broken"), F.when(F.col("is_sync").isNotNull(), "told"), F.when(F.col("is_sync") & F.col("bad").isNull(), "sync")))
+    facts = facts.unionByName(samples.select("path", F.explode(kind).alias("kind"), F.lit("").alias("name")))
+    shown = F.array_compact(F.array(F.when(F.col("frame_type_name").isNotNull(), F.struct(F.lit("frame").alias("kind"), F.col("frame_type_name").alias("name"))), F.when(F.col("show_frame"), F.struct(F.lit("shown").alias("kind"), F.lit("").alias("name")))))
+    facts = facts.unionByName(frames.select("path", F.explode(shown).alias("f")).select("path", "f.*"))
+    counted = facts.groupBy("path", "kind", "name").agg(F.count("*").alias("n"))
+    of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("n")))
+    listed = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("name", "n"))))
+    as_map = lambda kind: F.when(F.size(listed(kind)) > 0, F.map_from_entries(listed(kind)))
+    total = counted.groupBy("path").agg(
+        of("sample").alias("samples"), F.when(of("told") > 0, F.coalesce(of("sync"), F.lit(0))).alias("sync_samples"), F.when(of("sample") > 0, F.coalesce(of("broken"), F.lit(0))).alias("broken"),
+        as_map("unit").alias("units"), as_map("frame").alias("frames"), of("shown").alias("shown"),
+    )
+    last = sequence_headers(whole).groupBy("path").agg(F.max_by(F.struct("profile", "width", "height", "bit_depth"), F.struct("sample_index", "obu_index")).alias("s"))
+    return known.select("path", "format").join(total, "path", "left").join(last.select("path", "s.*"), "path", "left")
+
+
+def lines(rows: DataFrame, detailed: int = DETAILED, units: DataFrame | None = None, told: DataFrame | None = None) -> DataFrame:
+    """(path, place, line): the report as text, by place: the file, its headers, its first samples with their units, its damage.
+
+    units and told: what file_units(rows) and summary(rows) gave, where they are at hand.
+    """
     units = file_units(rows) if units is None else units
-    told = summary(rows, units)
+    told = summary(rows, units) if told is None else told
     counts = lambda name: F.array_join(F.transform(F.map_entries(name), lambda e: F.concat(e["key"], F.lit(" "), e["value"].cast("string"))), ", ")
     place = lambda *of: F.struct(*[(F.lit(x) if isinstance(x, int) else F.col(x)).cast("int").alias(n) for x, n in zip(of, "abc")])
     said = [
