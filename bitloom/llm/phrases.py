@@ -29,9 +29,9 @@ from .common import materialize
 
 DEPTH = 3
 #: Words of a shard, about: it is closed after the text or stretch of text that reaches this number.
-SHARD_WORDS = 400_000
+SHARD_WORDS = 200_000
 #: Bytes of a long text that are cut into words at once, up to the end of a piece.
-STRETCH = 4_000_000
+STRETCH = 2_000_000
 #: Bits of the filter of frequent pairs: 8 MB.
 FILTER_BITS = 1 << 26
 #: Copies of each part's row in the look-up of parts, so that a part in many phrases is no single task.
