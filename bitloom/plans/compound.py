@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bits
@@ -31,8 +31,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: The day of an event, and what it adds to a level.
-_DAY, _DELTA = F.datediff(F.to_date("ts"), F.lit("1970-01-01")), F.floor("value").cast("long") % 41 - 20
+def _day() -> Column:
+    """The day of an event, as a number."""
+    return F.datediff(F.to_date("ts"), F.lit("1970-01-01"))
+
+
+def _delta() -> Column:
+    """What an event adds to a level."""
+    return F.floor("value").cast("long") % 41 - 20
 
 
 @_query("""with runs as (select p_partkey % 16 as track, p_partkey as a, lead(p_partkey) over (partition by p_partkey % 16 order by p_partkey) as b, p_size from part where p_size >= 25)
@@ -49,15 +55,15 @@ def stsc_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ordered_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The checksum h = 31 h + v modulo 2^64 over all events of a type, in order: few keys, each with much of the table."""
     events = _table(spark, sf_dir, "events")
-    quarter_day = _DAY * 4 + F.floor(F.hour("ts") / 6)
+    quarter_day = _day() * 4 + F.floor(F.hour("ts") / 6)
     return scans.fold(events, ["event_type"], ["ts", "event_id"], F.col("event_id") % 1000, scans.Polynomial(31), 0, quarter_day).select("event_type", F.col("value").alias("checksum"))
 
 
 @_query("""select user_id, list_reduce(list_prepend(cast(128 as bigint), list(cast(floor(value) as bigint) % 41 - 20 order by ts, event_id)), lambda q, d: greatest(1, least(255, q + d))) as q from events group by user_id""")
 def clamped_running_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A level that all of a user's deltas move in turn, kept within 1 to 255."""
-    week = F.floor(_DAY / 7)
-    return scans.fold(_table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], _DELTA, scans.Clamped(1, 255), 128, week).select("user_id", F.col("value").alias("q"))
+    week = F.floor(_day() / 7)
+    return scans.fold(_table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], _delta(), scans.Clamped(1, 255), 128, week).select("user_id", F.col("value").alias("q"))
 
 
 @_query("""with recursive n as (select event_type, event_id, cast(floor(value) as bigint) % 41 - 20 as d, row_number() over (partition by event_type order by ts, event_id) as k from events),
@@ -65,7 +71,7 @@ def clamped_running_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     select event_id, q as level from walk""")
 def clamped_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The level after each event, its type being the key: few keys, each in as many tasks as it has days."""
-    levels = scans.running(_table(spark, sf_dir, "events"), ["event_type"], ["ts", "event_id"], _DELTA, scans.Clamped(1, 255), 128, _DAY, ["event_id"])
+    levels = scans.running(_table(spark, sf_dir, "events"), ["event_type"], ["ts", "event_id"], _delta(), scans.Clamped(1, 255), 128, _day(), ["event_id"])
     return levels.select("event_id", F.col("value").alias("level"))
 
 
