@@ -29,7 +29,7 @@ END = 2
 #: Windows of a block, about.
 BLOCK = 128
 #: Strings between blanks that a task remembers the ids of.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 #: By tokenizer file and its treatment of special tokens: what this worker process has encoded so far, over all of its tasks.
 _known: dict[tuple[str, bool], dict[str, bytes]] = {}
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -74,7 +74,7 @@ def _stem(word: str, special: list[str]) -> tuple[str, str]:
     Only words of letters below U+0130 are taken apart: from there on, lower case can add a mark of its own (U+0130),
     which the tokenizer would join with the mark that follows. Words that hold the name of a special token stay as they are.
     """
-    if any(x in word.lower() for x in special):
+    if special and any(x in word.lower() for x in special):
         return word, ""
     if not word.isascii() and max(word) >= "\u0130":
         return word, ""
@@ -105,11 +105,12 @@ def _ids_of_words(words: list[str], tokenizer, ends: np.ndarray) -> dict[str, by
     return found
 
 
-def token_bytes(texts: list[str], tokenizer, known: dict[str, bytes] | None, ends: np.ndarray | None = None) -> list[bytes]:
+def token_bytes(texts: list[str], tokenizer, known: dict[str, bytes] | None, ends: np.ndarray | None = None, special: list[str] | None = None) -> list[bytes]:
     """The ids of each text, four bytes each, little-endian; known None: texts are encoded whole.
 
     Strings between blanks are encoded once and looked up. With ends (see word_ends), words of letters below U+0130,
-    which the tokenizer leaves whole, are encoded many at once; other strings one by one.
+    which the tokenizer leaves whole, are encoded many at once; other strings one by one. special: what special_names()
+    says, where it is known already.
     """
     if known is None:
         return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -117,7 +118,8 @@ def token_bytes(texts: list[str], tokenizer, known: dict[str, bytes] | None, end
     if len(known) > REMEMBERED:
         known.clear()
     if new := list(set().union(*split).difference(known)):
-        special = special_names(tokenizer.to_str())
+        # Few texts hold such a name; where none does, words need no look of their own.
+        special = [x for x in (special_names(tokenizer.to_str()) if special is None else special) if any((x[0].isalpha() or x[0] in t) and x in t.lower() for t in texts)]
         stems = [_stem(w, special) for w in new]
         unknown = {x for pair in stems for x in pair if x not in known}
         if ends is not None:
@@ -152,11 +154,11 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
         tokenizer = Tokenizer.from_file(tokenizer_path)
         settings = tokenizer.to_str()
         known = _known.setdefault((tokenizer_path, special_as_text), {}) if separable(settings) else None
-        ends = word_ends(settings)
+        ends, special = word_ends(settings), special_names(settings)
         tokenizer.encode_special_tokens = special_as_text
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), token_bytes(batch.column(1).to_pylist(), tokenizer, known, ends), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), token_bytes(batch.column(1).to_pylist(), tokenizer, known, ends, special), strict=True):
                 ids += last
                 n = len(ids) // 4
                 for start in range(0, n, capacity):
