@@ -345,3 +345,41 @@ def packed_key_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_partkey div 4096 as region")
     found = lines.join(maps, "region", "left")
     return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.coalesce(F.expr("known[l_partkey]"), F.lit(-1)).alias("strength"), F.coalesce(F.cardinality("known"), F.lit(0)).cast("long").alias("known"))
+
+
+@_query("""with rows as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_partkey % 500 as y, l_partkey % 2 as sub from lineitem), params as (select p_partkey % 8 as unit, max(p_size) as strength from part where p_size > 20 group by p_partkey % 8),
+    placed as (select *, (y * (1 + sub) + 8) // 64 as stripe, (select min(u) from (select unnest(range(8)) as u) t where 64 * (u + 1) > y or u = 7) as unit from rows)
+    select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, stripe, greatest(0, (64 * stripe - 8) // (1 + sub)) as begins, least(500, (64 * stripe + 56) // (1 + sub)) as ends, coalesce(strength, 0) as strength from placed left join params using (unit)""")
+def restoration_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as rows of planes 500 high, every other one of half height: their stripe (64 rows of the whole height, eight rows early), and the parameters of their unit.
+
+    Of units of 64 rows a plane has as many as fit, the last one up to half as high again.
+    """
+    height, unit = 500, 64
+    units = max(1, (height + unit // 2) // unit)
+    params = _table(spark, sf_dir, "part").where("p_size > 20").groupBy((F.col("p_partkey") % 8).alias("unit")).agg(F.max("p_size").alias("strength"))
+    lines = _table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", f"l_partkey % {height} as y", "cast(l_partkey % 2 as int) as sub")
+    stripe = F.expr("shiftright(if(sub = 1, 2 * y, y) + 8, 6)")
+    rows = lines.withColumn("stripe", stripe).withColumn("unit", F.least(F.lit(units - 1), F.floor(F.col("y") / unit)))
+    found = grids.look_up(rows, params, ["unit"])
+    half = lambda x: f"if(sub = 1, shiftright({x}, 1), {x})"
+    return found.selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "stripe", f"greatest(0, {half('64 * stripe - 8')}) as begins", f"least({height}, {half('64 * stripe + 56')}) as ends", "coalesce(strength, 0) as strength")
+
+
+@_query("""with b as (select p_partkey, p_partkey % 3 as kind, p_partkey % 2 as coarse, 4 * (p_partkey % 90) + 2 * (1 + p_size % 8) - 1 as x, 4 * (p_partkey % 60) + 2 * (1 + p_size % 4) - 1 as y, (p_partkey * 7919 % 200000) - 100000 as m0, (p_partkey * 104729 % 200000) - 100000 as m1, p_partkey % 801 - 400 as a, p_partkey % 601 - 300 as c from part),
+    f as (select *, a * x + c * y + m0 as xc, a * y - c * x + m1 as yc, case when coarse = 1 then 16384.0 else 8192.0 end as unit from b)
+    select p_partkey, cast(case kind when 0 then 0 when 1 then floor(m1 / 8192.0) else sign(xc) * floor(abs(xc) / unit + 0.5) * (1 + coarse) end as bigint) as mv_x, cast(case kind when 0 then 0 when 1 then floor(m0 / 8192.0) else sign(yc) * floor(abs(yc) / unit + 0.5) * (1 + coarse) end as bigint) as mv_y from f""")
+def global_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as blocks under a motion of the whole frame (none, a shift, a turn with zoom): the block's vector in eighths of a sample.
+
+    A shift is cut down to eighths; a turn moves the block's centre, halves rounded away from zero, to quarters where
+    vectors are coarse.
+    """
+    blocks = _table(spark, sf_dir, "part").selectExpr(
+        "p_partkey", "p_partkey % 3 as kind", "cast(p_partkey % 2 as int) as coarse", "4 * (p_partkey % 90) + 2 * (1 + p_size % 8) - 1 as x", "4 * (p_partkey % 60) + 2 * (1 + p_size % 4) - 1 as y",
+        "p_partkey * 7919 % 200000 - 100000 as m0", "p_partkey * 104729 % 200000 - 100000 as m1", "p_partkey % 801 - 400 + 65536 as m2", "p_partkey % 601 - 300 as m3",
+    )
+    moved = blocks.selectExpr("*", "(m2 - 65536) * x + m3 * y + m0 as xc", "(m2 - 65536) * y - m3 * x + m1 as yc")
+    turned = lambda v: f"if({v} < 0, -1, 1) * if(coarse = 1, 2 * shiftright(abs({v}) + 8192, 14), shiftright(abs({v}) + 4096, 13))"
+    vector = lambda shift, v: f"cast(case kind when 0 then 0 when 1 then shiftright({shift}, 13) else {turned(v)} end as bigint)"
+    return moved.selectExpr("p_partkey", f"{vector('m1', 'xc')} as mv_x", f"{vector('m0', 'yc')} as mv_y")

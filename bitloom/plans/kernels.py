@@ -357,8 +357,9 @@ SQL: dict[str, tuple[str, str]] = {
         select event_id, level, inner_limit, 4 + 2 * level + inner_limit as edge_limit from i""",
     ),
     "tick_times": (
-        "select event_id, (event_id * 1001) * 1000000 div 24000 as micros, cast(floor(event_id * 1001 / 24000) as bigint) as seconds from {events}",
-        "select event_id, cast(floor(cast(event_id as hugeint) * 1001000000 / 24000) as bigint) as micros, event_id * 1001 // 24000 as seconds from events",
+        """select event_id, floor((t + c) * 1000000 / 24000) as micros, cast(t * 1000000 div 24000 as bigint) as decode_micros, (t + c) < 0 as before_start from (select event_id, event_id * 1001 as t, (user_id % 5 - 3) * 1001 as c from {events})""",
+        """with e as (select event_id, event_id * 1001 as t, (event_id + user_id % 5 - 3) * 1001 as p from events)
+        select event_id, cast(case when p < 0 then -((-p * 1000000 + 23999) // 24000) else p * 1000000 // 24000 end as bigint) as micros, cast(t * 1000000 // 24000 as bigint) as decode_micros, p < 0 as before_start from e""",
     ),
     # --- strings -------------------------------------------------------------------------------------------------
     "enum_labels": (
