@@ -157,7 +157,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """The contract's query: fingerprints of every text and its edited text, and how like they are.
 
     Null text counts as empty: no cells, an empty fingerprint. Repeated rows are each other's next documents. One
-    document alone is its own next one. Other columns are ignored. Empty input: empty result.
+    document alone is its own next one. A long text is one row, cut into parts in one pass. Other columns are ignored. Empty input: empty result.
     """
     n = F.length("text")
     half = F.floor(n / 2).cast("int")

@@ -114,6 +114,11 @@ def predict_language(docs: DataFrame, model: LanguageModel, text: str = "text",
 
 
 def identify_languages(docs: DataFrame) -> DataFrame:
-    """The contract's query: doc_id, held_out, lang_pred and score of every document."""
+    """The contract's query: doc_id, held_out, lang_pred and score of every document.
+
+    Null texts and texts without a letter are `und` with score 0, as are all where nothing was learned. Repeated rows
+    each have a row; a null doc_id is neither learned from nor held out. Languages that are equally likely go to the
+    first by name. A long text is one row, read whole. Other columns are ignored. Empty input: empty result.
+    """
     model = train_language_model(docs.where(is_training()))
     return predict_language(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -99,7 +99,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, contai
 
     containment is the largest share of the template's shingles in one place, start_word the first window that has it.
     Null, empty and shorter texts than five words hold nothing, as do templates of fewer words. Repeated rows, and
-    rows with a null doc_id, are one document each id; other columns are ignored. Empty input: empty result.
+    rows with a null doc_id, are one document each id; other columns are ignored. Of places that are equally like a
+    template the first counts; templates that are equally like a place are all reported. A long text is one row whose
+    windows are laid over all of it; its cost is linear. Empty input: empty result.
     templates is a parameter, and so of known size; it is the only thing that is broadcast.
     """
     spark = docs.sparkSession

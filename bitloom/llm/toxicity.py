@@ -193,5 +193,10 @@ def predict_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The contract's query: fit on rows outside the held-out fold, score every document."""
+    """The contract's query: fit on rows outside the held-out fold, score every document.
+
+    Null and empty texts have a score like any other. Repeated rows each have a row, and are learned from once each;
+    a null doc_id is neither learned from nor held out. A long text is scored by all of its windows. Other columns are
+    ignored. Empty input: empty result.
+    """
     return predict_toxicity(docs, train_toxicity_model(docs.where(is_training()), labels.where(is_training())))
