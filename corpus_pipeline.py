@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
 
-Null texts: the language stage rejects them, the later stages would keep them as empty. Rows with a null doc_id stay and
-are compared as texts, but nothing is cut from or for them. Repeated rows count as equal documents, of which near-dedup
+Null texts: the language stage rejects them, the later stages would keep them as empty. Rows with a null doc_id are judged
+by language and quality; near-dedup keeps all of them, and nothing is cut from or for them. Repeated rows count as equal documents, of which near-dedup
 keeps one. Texts of any length are worked on whole, each as one row. More columns, whatever their names, are carried to
 the packing stage. Empty tables give empty results.
 """
