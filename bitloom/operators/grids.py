@@ -23,6 +23,8 @@ SLOPES = {
     3: 1023, 6: 547, 9: 372, 14: 273, 17: 215, 20: 178, 23: 151, 26: 132, 29: 116, 32: 102, 36: 90, 39: 80, 42: 71, 45: 64,
     48: 57, 51: 51, 54: 45, 58: 40, 61: 35, 64: 31, 67: 27, 70: 23, 73: 19, 76: 15, 81: 11, 84: 7, 87: 3,
 }
+#: Squares that one task splits, about.
+ROOTS = 16_384
 
 
 def neighbour_masks(blocks: DataFrame, cells: DataFrame) -> DataFrame:
@@ -56,41 +58,34 @@ def partition_areas(roots: DataFrame, size: int, symbol) -> DataFrame:
     columns by name, row, col, size) gives 0 for a whole block, 1 for halves above one another, 2 for halves side by
     side, 3 for four quarters. A square whose lower half begins beyond the area is halved for 0 to 2; one whose right
     half does, likewise, side by side; where both do, it is quartered. What begins beyond the area is left out; a square
-    of one cell is whole. All levels of a root are steps of one expression: no shuffle, no recursion of plans.
+    of one cell is whole. Every level is one compiled step that turns a square into its parts, and leaves what is whole
+    as it is: no lists of nodes, no recursion of plans. A root has many leaves, so roots are dealt out evenly first,
+    ROOTS to a task; a table in one file would otherwise be one task.
     """
-    node = "array<struct<row:long,col:long,size:long>>"
-    block = "array<struct<row:long,col:long,w:long,h:long>>"
-    at = lambda row, col, n: F.struct(row.cast("long").alias("row"), col.cast("long").alias("col"), n.cast("long").alias("size"))
-    leaf = lambda row, col, w, h: F.struct(row.cast("long").alias("row"), col.cast("long").alias("col"), w.cast("long").alias("w"), h.cast("long").alias("h"))
-    inside = lambda b: (b["row"] < F.col("rows")) & (b["col"] < F.col("cols"))
-
-    def kind(b: Column) -> Column:
-        half = F.floor(b["size"] / 2)
-        below, beside = b["row"] + half < F.col("rows"), b["col"] + half < F.col("cols")
-        said = symbol(b["row"], b["col"], b["size"])
-        return F.when(b["size"] == 1, 0).when(below & beside, said).when(beside, F.when(said == 3, 3).otherwise(1)).when(below, F.when(said == 3, 3).otherwise(2)).otherwise(3)
-
-    def leaves(b: Column) -> Column:
-        k, half = kind(b), F.floor(b["size"] / 2)
-        whole = F.array(leaf(b["row"], b["col"], b["size"], b["size"]))
-        over = F.array(leaf(b["row"], b["col"], b["size"], half), leaf(b["row"] + half, b["col"], b["size"], half))
-        beside = F.array(leaf(b["row"], b["col"], half, b["size"]), leaf(b["row"], b["col"] + half, half, b["size"]))
-        return F.when(k == 0, whole).when(k == 1, over).when(k == 2, beside).otherwise(F.array().cast(block))
-
-    def quarters(b: Column) -> Column:
-        half = F.floor(b["size"] / 2)
-        return F.array(*[at(b["row"] + dy * half, b["col"] + dx * half, half) for dy in (0, 1) for dx in (0, 1)])
-
-    def step(s: Column, _: Column) -> Column:
-        found = F.flatten(F.transform(s["open"], leaves)).cast(block)
-        split = F.flatten(F.transform(F.filter(s["open"], lambda b: kind(b) == 3), quarters)).cast(node)
-        return F.struct(F.filter(split, inside).alias("open"), F.concat(s["leaves"], F.filter(found, inside)).alias("leaves"))
-
-    begin = F.struct(F.filter(F.array(at(F.col("top"), F.col("left"), F.lit(size))), inside).cast(node).alias("open"), F.array().cast(block).alias("leaves"))
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(size.bit_length())), begin, step, lambda s: s["leaves"])
-    rows = roots.withColumn("__b", F.explode(found))
-    seen_w, seen_h = F.least(F.col("__b.w"), F.col("cols") - F.col("__b.col")), F.least(F.col("__b.h"), F.col("rows") - F.col("__b.row"))
-    return rows.select(*roots.columns, "__b.row", "__b.col", "__b.w", "__b.h", seen_w.cast("long").alias("seen_w"), seen_h.cast("long").alias("seen_h"))
+    names, place = roots.columns, ["__row", "__col", "__w", "__h", "__open"]
+    rows, cols = F.col("rows"), F.col("cols")
+    inside = (F.col("__row") < rows) & (F.col("__col") < cols)
+    part = lambda row, col, w, h, open_: F.struct(*[x.alias(c) for x, c in zip((row, col, F.lit(w).cast("long"), F.lit(h).cast("long"), F.lit(open_)), place, strict=True)])
+
+    found = roots.repartition(max(1, -(-roots.count() // ROOTS)))
+    found = found.select(*names, F.col("top").cast("long").alias("__row"), F.col("left").cast("long").alias("__col"), F.lit(size).cast("long").alias("__w"), F.lit(size).cast("long").alias("__h"), F.lit(True).alias("__open")).where(inside)
+    n = size
+    while n > 1:
+        half, row, col = n // 2, F.col("__row"), F.col("__col")
+        below, beside, said = row + half < rows, col + half < cols, symbol(row, col, F.lit(n).cast("long"))
+        kind = F.when(below & beside, said).when(beside, F.when(said == 3, 3).otherwise(1)).when(below, F.when(said == 3, 3).otherwise(2)).otherwise(3)
+        k = F.col("__kind")
+        parts = (
+            F.when(~F.col("__open"), F.array(F.struct(*place)))
+            .when(k == 0, F.array(part(row, col, n, n, False)))
+            .when(k == 1, F.array(part(row, col, n, half, False), part(row + half, col, n, half, False)))
+            .when(k == 2, F.array(part(row, col, half, n, False), part(row, col + half, half, n, False)))
+            .when(k == 3, F.array(*[part(row + dy * half, col + dx * half, half, half, True) for dy in (0, 1) for dx in (0, 1)]))
+        )
+        found = found.withColumn("__kind", kind).select(*names, F.inline(parts)).where(inside)
+        n = half
+    seen_w, seen_h = F.least(F.col("__w"), cols - F.col("__col")), F.least(F.col("__h"), rows - F.col("__row"))
+    return found.select(*names, F.col("__row").alias("row"), F.col("__col").alias("col"), F.col("__w").alias("w"), F.col("__h").alias("h"), seen_w.cast("long").alias("seen_w"), seen_h.cast("long").alias("seen_h"))
 
 
 def affine_fit(samples: DataFrame) -> DataFrame:

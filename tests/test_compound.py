@@ -86,6 +86,28 @@ def test_partitions_tile_their_areas(spark):
         assert (seen == 1).all()
 
 
+def test_squares_of_one_file_are_split_in_many_tasks(spark, monkeypatch):
+    """All leaves of a recursion in plain Python; roots that lie in one task are dealt out, null and unknown symbols are left out."""
+    monkeypatch.setattr(grids, "ROOTS", 10, raising=False)
+    areas = [(i, 1 + i * 7 % 30, 1 + i * 11 % 30) for i in range(120)]
+    df = spark.createDataFrame([(i, n, m, t, c) for i, n, m in areas for t in range(0, n, 16) for c in range(0, m, 16)], "id int, rows long, cols long, top long, left long").coalesce(1)
+    symbol = lambda i, r, c, n: None if i == 7 else (i + r + 3 * c + n) % (6 if i % 5 == 0 else 4)
+    found = grids.partition_areas(df, 16, lambda r, c, n: F.when(F.col("id") != 7, F.pmod(F.col("id") + r + 3 * c + n, F.when(F.col("id") % 5 == 0, 6).otherwise(4))))
+    assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 5
+
+    def leaves(i, rows, cols, r, c, n):
+        if r >= rows or c >= cols:
+            return []
+        h, s = n // 2, symbol(i, r, c, n)
+        below, beside = r + h < rows, c + h < cols
+        k = 0 if n == 1 else s if below and beside else (3 if s == 3 else 1) if beside else (3 if s == 3 else 2) if below else 3
+        whole = {0: [(r, c, n, n)], 1: [(r, c, n, h), (r + h, c, n, h)], 2: [(r, c, h, n), (r, c + h, h, n)]}.get(k, [])
+        return [x for x in whole if x[0] < rows and x[1] < cols] + [x for a in (r, r + h) for b in (c, c + h) if k == 3 for x in leaves(i, rows, cols, a, b, h)]
+
+    want = [(i, *x) for i, n, m in areas for t in range(0, n, 16) for c in range(0, m, 16) for x in leaves(i, n, m, t, c, 16)]
+    assert sorted(map(tuple, found.select("id", "row", "col", "w", "h").collect())) == sorted(want)
+
+
 def wedge(way):
     """A mask of 64 by 64 by drawing its lines and turning it."""
     line = lambda border, centre: [0 if x < centre - 4 else 64 if x >= centre + 4 else border[x - centre + 4] for x in range(64)]
