@@ -154,6 +154,18 @@ def test_tokens_equal_those_of_whole_texts():
     assert packing.token_bytes(["Écoute ça."], tokenizer, None) == packing.token_bytes(["Écoute ça."], tokenizer, {})
 
 
+def test_a_word_is_encoded_once_whatever_its_case_and_marks():
+    """What a worker remembers are stems and marks, not each word in every dress."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ends, known = packing.word_ends(tokenizer.to_str()), {}
+    texts = ["Écoute! écoute, ÉCOUTE### écoute", "", "Word word. İ. it's x\tY", "word"]
+    assert packing.token_bytes(texts, tokenizer, known, ends) == packing.token_bytes(texts, tokenizer, None)
+    assert set(known) == {"écoute", "word", "İ.", "it's", "x\ty", "", "!", ",", "###", "."}
+    assert packing.token_bytes([], tokenizer, known, ends) == []
+
+
 def test_packing_of_tiny_pieces_is_bounded():
     import pandas as pd
 
