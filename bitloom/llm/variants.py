@@ -132,16 +132,22 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_words(words: DataFrame) -> DataFrame:
-    """(word, near, near_n): for all distinct words (word, n) of these letters, every word one edit apart, in both directions."""
+    """(word, near, near_n): for all distinct words (word, n) of these letters, every word one edit apart, in both directions.
+
+    Joins are merged: what they meet is larger than Spark estimates from compressed columns and before an explode, and
+    grows with the words. The places that a block's words go to are found once a block, so that words are joined before they are copied.
+    """
     placed = words.select("word", "n", _block(F.col("word")).alias("block"))
     sizes = placed.groupBy("block").agg(F.count("*").alias("n_home"))
     visits = sizes.select(F.explode(_homes(F.col("block"))).alias("block"), F.col("n_home").alias("n")).groupBy("block").agg(F.sum("n").alias("n_guest"))
-    plan = sizes.join(visits, "block").select("block", _parts(F.col("n_home"), F.col("block")).alias("h"), _parts(F.col("n_guest"), F.col("block")).alias("g"))
+    plan = sizes.join(visits.hint("merge"), "block").select("block", _parts(F.col("n_home"), F.col("block")).alias("h"), _parts(F.col("n_guest"), F.col("block")).alias("g"))
+    asked = sizes.select(F.col("block").alias("own"), F.explode(_homes(F.col("block"))).alias("block"))
+    routes = asked.join(plan.hint("merge"), "block").groupBy("own").agg(F.collect_list(F.struct("block", "h", "g")).alias("routes"))
     part = lambda n, seed: F.pmod(F.xxhash64("word", F.lit(seed)), n).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    home = placed.join(plan, "block").select("block", part(F.col("h"), "home").alias("i"), upto(F.col("g")).alias("j"), F.lit(0).alias("side"), "word", "n")
-    guests = placed.select("word", "n", F.col("block").alias("own"), F.explode(_homes(F.col("block"))).alias("block")).join(plan, "block")
-    guests = guests.select("block", upto(F.col("h")).alias("i"), part(F.col("g"), "guest").alias("j"), F.when(F.col("own") == F.col("block"), 1).otherwise(2).alias("side"), "word", "n")
+    routed = placed.withColumnRenamed("block", "own").join(routes.hint("merge"), "own").select("word", "n", "own", F.explode("routes").alias("to")).select("word", "n", "own", "to.*")
+    home = routed.where("own = block").select("block", part(F.col("h"), "home").alias("i"), upto(F.col("g")).alias("j"), F.lit(0).alias("side"), "word", "n")
+    guests = routed.select("block", upto(F.col("h")).alias("i"), part(F.col("g"), "guest").alias("j"), F.when(F.col("own") == F.col("block"), 1).otherwise(2).alias("side"), "word", "n")
     rows = home.unionByName(guests).select(F.concat_ws(".", F.array_join("block", "."), "i", "j").alias("tile"), "side", "word", "n")
     return rows.repartition("tile").sortWithinPartitions("tile", "side").mapInArrow(_tiles, "word string, near string, near_n long")
 
@@ -155,14 +161,14 @@ def spelling_forms(words: DataFrame) -> DataFrame:
     words = materialize(words)
     # Strings compare by their UTF-8 bytes, which is code-point order.
     best = near_words(words).groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("m"), F.col("near"))).alias("b"))
-    found = words.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(-F.col("b.m") >= 2 * F.col("n"), F.col("b")).alias("b"))
+    found = words.join(best.hint("merge"), "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(-F.col("b.m") >= 2 * F.col("n"), F.col("b")).alias("b"))
     found = materialize(found.select("word", F.col("b.near").alias("form"), "n", "n_near", (-F.col("b.m")).alias("form_n")))
     most = words.agg(F.max("n")).first()[0] or 1
     roots = found.where("form is not null").select("word", F.col("form").alias("root"))
     for _ in range(math.ceil(math.log2(math.log2(most) + 2))):
         further = roots.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        roots = materialize(roots.join(further, "root", "left").select("word", F.coalesce("further", "root").alias("root")))
-    return found.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+        roots = materialize(roots.join(further.hint("merge"), "root", "left").select("word", F.coalesce("further", "root").alias("root")))
+    return found.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def group_variants(docs: DataFrame) -> DataFrame:

@@ -79,6 +79,13 @@ def test_spelling_variants(docs, rows, monkeypatch):
     assert read() == want
 
 
+def test_no_table_of_words_is_broadcast(spark, docs):
+    """Spark estimates tables of words by their compressed size before an explode, far too low to broadcast them."""
+    plans = [variants.near_words(variants.word_counts(docs)), variants.group_variants(docs)]
+    for plan in (p._jdf.queryExecution().executedPlan().toString() for p in plans):
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_near_words_of_any_shape():
     r = random.Random(1)
     words = sorted({"".join(r.choice("abà") for _ in range(r.choice((5, 6)))) for _ in range(400)})
