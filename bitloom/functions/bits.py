@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,15 +25,22 @@ def field(bits: Column, start: Column | int, n: Column | int) -> Column:
     return F.conv(F.substring(bits, start + 1, n), 2, 10).cast("long")
 
 
+def _let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """body of x, which is made once, however often body names it."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
 def leb128_encode(v: Column) -> Column:
-    """Seven bits a byte, least significant first; the top bit says that another byte follows."""
-    n = F.greatest(F.lit(1), F.ceil(F.length(F.bin(v)) / 7).cast("int"))
-    text = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.lpad(F.hex(_septet(v, i) + F.when(i < n - 1, 128).otherwise(0)), 2, "0")), "")
-    return F.unhex(text)
+    """Seven bits a byte, least significant first; the top bit says that another byte follows. A number of 64 bits takes ten bytes at most."""
 
+    def parts(v: Column) -> Column:
+        rest = [v, *[F.shiftrightunsigned(v, 7 * i) for i in range(1, 10)]]
+        byte = lambda r, more: F.substring(F.lit(bytes(range(256))), (r.bitwiseAND(127) + more).cast("int") + 1, F.lit(1))
+        # A byte is the last one if its number is below 128 and not negative.
+        made = [F.when(r.between(0, 127), byte(r, 0)).otherwise(byte(r, 128)) for r in rest]
+        return F.concat(made[0], *[F.when(r == 0, F.lit(b"")).otherwise(m) for r, m in zip(rest[1:], made[1:], strict=True)])
 
-def _septet(v: Column, i: Column) -> Column:
-    return F.floor(v / F.pow(F.lit(2.0), (7 * i).cast("double"))).cast("long").bitwiseAND(127)
+    return _let(v.cast("long"), parts)
 
 
 def leb128_decode(data: Column, strict: bool = True) -> Column:
@@ -39,11 +48,24 @@ def leb128_decode(data: Column, strict: bool = True) -> Column:
 
     strict: null if the eighth byte (or the last one there is) says that another follows; else what was read counts.
     """
-    values = F.transform(F.sequence(F.lit(0), F.least(F.octet_length(data), F.lit(8)) - 1), lambda i: byte_at(data, i))
-    ends = F.filter(F.transform(values, lambda b, i: F.when(b < 128, i + 1)), lambda i: i.isNotNull())
-    n = F.coalesce(F.get(ends, F.lit(0)), *([] if strict else [F.size(values)]))
-    shifted = F.zip_with(F.slice(values, F.lit(1), n), F.sequence(F.lit(0), n - 1), lambda b, i: b.bitwiseAND(127).cast("long") * F.pow(F.lit(2.0), (7 * i).cast("double")).cast("long"))
-    return F.when((F.octet_length(data) > 0) & n.isNotNull(), F.struct(F.aggregate(shifted, F.lit(0).cast("long"), lambda a, x: a + x).alias("value"), n.alias("n")))
+    size = F.least(F.octet_length(data), F.lit(8))
+    # The eight bytes as one number, the first in its highest bits; data that ends before is followed by zeros.
+    word = F.conv(F.rpad(F.hex(F.substring(data, 1, 8)), 16, "0"), 16, -10).cast("long")
+
+    def read(x: Column) -> Column:
+        # The highest bit of a byte that is not set there: its place is the length of the number that these bits make.
+        length = F.length(F.bin(F.bitwise_not(x["word"]).bitwiseAND(-0x7F7F7F7F7F7F7F80)))
+        n = F.when(length > 1, 9 - F.shiftright(length, 3)).otherwise(9)
+        return F.struct(x["word"].alias("word"), (F.when(n <= x["size"], n) if strict else F.least(n, x["size"])).alias("n"))
+
+    def number(x: Column) -> Column:
+        septet = lambda i: F.shiftleft(F.shiftrightunsigned(x["word"], 56 - 8 * i).bitwiseAND(127), 7 * i)
+        value = F.shiftrightunsigned(x["word"], 56).bitwiseAND(127)
+        for i in range(1, 8):
+            value = value + F.when(x["n"] > i, septet(i)).otherwise(0)
+        return F.when((x["n"] > 0), F.struct(value.alias("value"), x["n"].alias("n")))
+
+    return _let(_let(F.struct(word.alias("word"), size.alias("size")), read), number)
 
 
 def uvlc_encode(v: Column) -> Column:

@@ -260,12 +260,13 @@ def ivf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers written in four codes of variable length and read back."""
     e = F.col("event_id")
-    data, said = bits.leb128_encode(e * e), bits.uvlc_encode(e % 5000)
-    read = bits.leb128_decode(F.concat(data, F.lit(b"\x05\x80")))
+    # Each code is a column of its own before it is read, so that it is made once a row.
+    said = _table(spark, sf_dir, "events").select("event_id", F.concat(bits.leb128_encode(e * e), F.lit(b"\x05\x80")).alias("data"), bits.uvlc_encode(e % 5000).alias("said"))
+    read = said.select("event_id", bits.leb128_decode(F.col("data")).alias("read"), "said")
     # A number below 11: three bits up to 4, four beyond.
     low = F.when(e % 11 < 5, F.lpad(F.bin(e % 11), 3, "0")).otherwise(F.lpad(F.bin(e % 11 + 5), 4, "0"))
-    return _table(spark, sf_dir, "events").select(
-        "event_id", read["value"].alias("leb128"), read["n"].cast("int").alias("n_bytes"), bits.uvlc_decode(F.concat(said, F.lit("01"))).alias("uvlc"), F.length(said).cast("long").alias("uvlc_bits"),
+    return read.select(
+        "event_id", F.col("read.value").alias("leb128"), F.col("read.n").cast("int").alias("n_bytes"), bits.uvlc_decode(F.concat("said", F.lit("01"))).alias("uvlc"), F.length("said").cast("long").alias("uvlc_bits"),
         bits.su_decode(F.lpad(F.bin(F.pmod(e % 64 - 32, F.lit(64))), 6, "0"), 6).alias("su"), bits.ns_decode(F.concat(low, F.lit("10")), 11).alias("ns"),
     )
 

@@ -35,6 +35,19 @@ def test_leb128_round_trip(spark, values):
     assert [r["value"] for r in got] == values
 
 
+def test_leb128_of_large_numbers(spark):
+    values = [(1 << 53) + 1, (1 << 56) - 1, (1 << 42) - 1, 1 << 42]
+    got = rows(spark, values, "long", lambda x: B.leb128_decode(B.leb128_encode(x)))
+    assert [(r["value"], r["n"]) for r in got] == [(values[0], 8), (values[1], 8), (values[2], 6), (values[3], 7)]
+    assert bytes(rows(spark, [(1 << 63) - 1], "long", B.leb128_encode)[0]).hex() == "ff" * 8 + "7f"
+
+
+def test_a_code_is_made_once(spark):
+    """The code that is read is named many times; it is an argument, not a part of each of them."""
+    plan = spark.range(1).select(B.leb128_decode(B.leb128_encode(F.col("id") * 3)).alias("y"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("id#") < 10
+
+
 def test_uvlc(spark):
     assert rows(spark, ["1", "010", "011", "00100", "00111", "0" * 33 + "1", "000"], "string", B.uvlc_decode) == [0, 1, 2, 3, 6, None, None]
     assert [len(x) for x in rows(spark, [0, 1, 2, 3, 6, 7], "long", B.uvlc_encode)] == [1, 3, 3, 5, 5, 7]
